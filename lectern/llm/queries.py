@@ -8,12 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.bpe import op6_bpe
 from lectern.llm.decontaminate import op5_decontaminate
+from lectern.llm.fingerprint import op10_fingerprints
+from lectern.llm.html import op1_html
+from lectern.llm.language import op8_language
+from lectern.llm.licenses import op2_licenses
 from lectern.llm.token_counts import op7_token_counts
+from lectern.llm.warc import OP4_SQL, op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": op1_html,
+    "op2_licenses": op2_licenses,
+    "op4_warc": op4_warc,
     "op5_decontaminate": op5_decontaminate,
     "op6_bpe": op6_bpe,
     "op7_token_counts": op7_token_counts,
+    "op8_language": op8_language,
+    "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_warc": OP4_SQL}
