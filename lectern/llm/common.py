@@ -9,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.session import checkpointed, saved
+
+__all__ = ["checkpointed", "column", "map_batches", "read", "saved", "small_batches", "utf8", "words"]
+
 #: Words of the licence and benchmark operators, on UTF-8 bytes with A-Z lower-cased.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -77,15 +81,3 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
 
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder of spark.checkpoint.dir.
-
-    Where no folder is named, as in tests on one machine, one under the warehouse is used.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
-    return df.checkpoint(eager=True)

@@ -76,73 +76,88 @@ def _base(tokens: list[bytes]) -> tuple[int, int | None, int | None, str]:
     return count, min(starts, default=None), max(starts, default=None), ",".join(sorted(labels))
 
 
-def scan(docs: DataFrame, k: int = K, slack: int = SLACK, least: float = LEAST) -> DataFrame:
-    """Base places and verified license spans of every whole text.
-
-    The rolling k-grams of a text are joined to the templates' (a fixed table, broadcast);
-    a k-gram with a word that is in no template can't join and isn't sent. Each hit votes for
-    its document's diagonal (place less template place); neighbouring diagonals of up to
-    `slack` apart merge, so that a few words more or fewer don't break a span; a span is
-    verified on the words that its k-grams cover in order and kept from `least` of the
-    template's. One row a document, also for null texts (no words); repeated rows stay apart.
+def _places(tokens: list[bytes], known: frozenset, k: int) -> list[int]:
+    """Where k-grams of known words alone start."""
+    if len(tokens) < k:
+        return []
+    inside = np.fromiter((w in known for w in tokens), bool, len(tokens))
+    full = inside[: len(tokens) - k + 1].copy()
+    for i in range(1, k):
+        full &= inside[i : len(tokens) - k + 1 + i]
+    return np.flatnonzero(full).tolist()
+
+
+def spans(docs: DataFrame, k: int = K, slack: int = SLACK, least: float = LEAST) -> DataFrame:
+    """doc_id, h, label, share, first, last: verified license spans (words from first to last).
+
+    docs: doc_id, h and text (bytes). The rolling k-grams of a text are joined to the
+    templates' (a fixed table, broadcast); a k-gram with a word that is in no template can't
+    join and isn't sent. Each hit votes for its document's diagonal (place less template
+    place); neighbouring diagonals of up to `slack` apart merge, so that a few words more or
+    fewer don't break a span; a span is verified on the words that its k-grams cover in order
+    and kept from `least` of the template's.
     """
     spark = docs.sparkSession
     known = frozenset(w for _, text in TEMPLATES for w in words(text.encode()))
 
     def make():
-        shown = known
-
-        def step(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {n: [] for n in ("n_words", "n_base", "first_word", "last_word", "base_labels", "at", "gram")}
-            for text in column(batch, "text"):
+        def step(batch: pa.RecordBatch) -> dict | None:
+            owners, at, found = [], [], []
+            for row, text in enumerate(column(batch, "text")):
                 tokens = words(text)
-                count, first, last, labels = _base(tokens)
-                inside = np.fromiter((w in shown for w in tokens), bool, len(tokens))
-                places: list[int] = []
-                if len(tokens) >= k:
-                    full = inside[: len(tokens) - k + 1].copy()
-                    for i in range(1, k):
-                        full &= inside[i : len(tokens) - k + 1 + i]
-                    places = np.flatnonzero(full).tolist()
-                for n, v in (("n_words", len(tokens)), ("n_base", count), ("first_word", first), ("last_word", last), ("base_labels", labels), ("at", places), ("gram", [b" ".join(tokens[i : i + k]) for i in places])):
-                    out[n].append(v)
-            return out | {"doc_id": batch.column(0)}
+                own = _places(tokens, known, k)
+                owners += [row] * len(own)
+                at += own
+                found += [b" ".join(tokens[i : i + k]) for i in own]
+            if not at:
+                return None
+            rows = pa.array(owners, pa.int64())
+            return {"doc_id": batch.column(0).take(rows), "h": batch.column(1).take(rows), "pos": at, "gram": found}
 
         return step
 
-    one = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string"
-    seen = map_batches(docs.select(F.col("doc_id").cast("long"), utf8().alias("text")), f"{one}, at array<int>, gram array<binary>", make)
-    keep = ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
-    placed = seen.withColumn("row", F.monotonically_increasing_id()).select(*keep, F.explode_outer(F.arrays_zip("at", "gram")).alias("g"))
-    placed = placed.select(*keep, F.col("g.at").alias("pos"), F.col("g.gram").alias("gram"), F.xxhash64("g.gram").alias("hash"))
-    small = F.broadcast(templates(spark, k))
-    hits = placed.join(small, ["hash"], "left").withColumn("same", F.col("gram") == F.col("t_gram"))
-    diagonal = F.when(F.col("same"), F.col("pos") - F.col("t_pos"))
-    votes = hits.groupBy("row", F.when(F.col("same"), F.col("template")).alias("template"), diagonal.alias("diagonal")).agg(
-        *[F.first(c).alias(c) for c in keep[1:]], F.first("label").alias("label"), F.first("t_words").alias("t_words"),
-        F.collect_set(F.when(F.col("same"), F.struct("t_pos", "pos"))).alias("hits"),
-    )
-    by = Window.partitionBy("row", "template").orderBy("diagonal")
+    rolling = map_batches(docs.select("doc_id", "h", "text"), "doc_id long, h long, pos int, gram binary", make)
+    hits = rolling.withColumn("hash", F.xxhash64("gram")).join(F.broadcast(templates(spark, k)), "hash").where("gram = t_gram")
+    row = ["doc_id", "h", "template", "label", "t_words"]
+    votes = hits.groupBy(*row, (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.collect_set(F.struct("t_pos", "pos")).alias("hits"))
+    by = Window.partitionBy("doc_id", "h", "template").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > slack).cast("int"), F.lit(0))
-    merged = votes.withColumn("apart", apart).withColumn("band", F.sum("apart").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = merged.groupBy("row", "template", "band").agg(
-        *[F.first(c).alias(c) for c in keep[1:]], F.first("label").alias("label"), F.first("t_words").alias("t_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
-    )
-    covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["t_pos"], h["t_pos"] + k - 1)))))
+    bands = votes.withColumn("apart", apart).withColumn("band", F.sum("apart").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = bands.groupBy(*row, "band").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["t_pos"], x["t_pos"] + k - 1)))))
     # In order: a template's later k-grams stand later in the text.
-    ordered = F.size(F.filter(F.transform("hits", lambda h, i: (i == 0) | (h["pos"] >= F.try_element_at("hits", i)["pos"])), lambda x: x)) >= F.size("hits") * least
-    share = F.when((F.size("hits") > 0) & ordered, covered / F.col("t_words")).otherwise(0.0)
-    spans = spans.withColumn("share", F.least(F.lit(1.0), share))
-    good = F.col("share") >= least
-    found = spans.groupBy("row").agg(
-        *[F.first(c).alias(c) for c in keep[1:]], F.max("share").alias("share"),
-        F.collect_set(F.when(good, F.col("label"))).alias("more"),
-    )
-    base = F.filter(F.split("base_labels", ","), lambda x: x != "")
+    ordered = F.filter(F.transform("hits", lambda x, i: (i == 0) | (x["pos"] >= F.get("hits", i - 1)["pos"])), lambda x: x)
+    share = F.when(F.size(ordered) >= F.size("hits") * least, F.least(F.lit(1.0), covered / F.col("t_words"))).otherwise(0.0)
+    made = merged.select("doc_id", "h", "label", share.alias("share"), F.array_min("hits.pos").alias("first"), (F.array_max("hits.pos") + k - 1).alias("last"))
+    return made.where(F.col("share") >= least)
+
+
+def scan(docs: DataFrame, k: int = K, slack: int = SLACK, least: float = LEAST) -> DataFrame:
+    """Base places and license labels of every whole text; null texts have no words.
+
+    One row a document, repeated rows too. score: 1 for a base phrase, else the largest share
+    of a template that a span covers, else 0.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
+    own = own.withColumn("h", F.xxhash64("text")).select("doc_id", "h", "text")
+
+    def make():
+        def step(batch: pa.RecordBatch) -> dict:
+            found = [(len(tokens), *_base(tokens)) for tokens in map(words, column(batch, "text"))]
+            names = ("n_words", "n_base", "first_word", "last_word", "base_labels")
+            return {"doc_id": batch.column(0), "h": batch.column(1)} | dict(zip(names, map(list, zip(*found, strict=True)), strict=True))
+
+        return step
+
+    base = map_batches(own, "doc_id long, h long, n_words long, n_base long, first_word long, last_word long, base_labels string", make)
+    more = spans(own, k, slack, least).groupBy("doc_id", "h").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
+    more = more.withColumnRenamed("doc_id", "d").withColumnRenamed("h", "x")
+    found = base.join(more, base.doc_id.eqNullSafe(more.d) & (base.h == more.x), "left")
+    known = F.filter(F.split("base_labels", ","), lambda x: x != "")
+    none = F.array().cast("array<string>")
     return found.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels",
-        F.array_join(F.array_sort(F.array_union(base, F.col("more"))), ",").alias("labels"),
+        F.array_join(F.array_sort(F.array_union(known, F.coalesce("more", none))), ",").alias("labels"),
         F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
     )
 

@@ -15,6 +15,7 @@ from lectern.llm.licenses import op2_licenses
 from lectern.llm.token_counts import op7_token_counts
 from lectern.llm.warc import OP4_SQL, op4_warc
 
+from lectern.llm.jaccard import op9_jaccard
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_licenses": op2_licenses,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_token_counts": op7_token_counts,
     "op8_language": op8_language,
+    "op9_jaccard": op9_jaccard,
     "op10_fingerprints": op10_fingerprints,
 }
 
