@@ -368,11 +368,17 @@ def components(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, but for those that link to one with a smaller
-    doc_id: each group keeps one. Repeated rows of a kept doc_id stay one."""
-    groups = components(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
+    doc_id: each group keeps one. Where a kept doc_id is on several rows, equal texts of it
+    are one row; documents without an id stay."""
+    groups = saved(components(docs).where("doc_id = component_id or doc_id is null").groupBy("doc_id").agg(F.count("*").alias("times")))
     few = groups.count() <= BROADCAST_IDS
-    kept = F.broadcast(groups) if few else groups
-    return docs.join(kept, docs.doc_id.cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+    ids = groups.select(F.col("doc_id").alias("_kept"))
+    kept = docs.join(F.broadcast(ids) if few else ids, docs.doc_id.cast("long").eqNullSafe(ids["_kept"]), "left_semi")
+    again = groups.where("doc_id is not null and times > 1").select(F.col("doc_id").alias("_kept"))
+    if again.isEmpty():
+        return kept
+    many = kept.join(again, kept.doc_id.cast("long") == again["_kept"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, kept.doc_id.cast("long") == again["_kept"], "left_anti").unionByName(many)
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,9 +16,11 @@ from lectern.llm.token_counts import op7_token_counts
 from lectern.llm.warc import OP4_SQL, op4_warc
 
 from lectern.llm.jaccard import op9_jaccard
+from lectern.llm.suffixes import op3_suffixes
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_licenses": op2_licenses,
+    "op3_suffixes": op3_suffixes,
     "op4_warc": op4_warc,
     "op5_decontaminate": op5_decontaminate,
     "op6_bpe": op6_bpe,
