@@ -122,62 +122,38 @@ class CountTree:
         return self.order[at]
 
 
-def block_pairs(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of a block whose labels differ and whose bound allows a link."""
-    if len(sizes) < TREE_FROM:
-        a, b = np.triu_indices(len(sizes), 1)
-        keep = (labels[a] != labels[b]) & (np.minimum(sizes[a], sizes[b]) * 100 >= PERCENT * np.maximum(sizes[a], sizes[b]))
-        a, b = a[keep], b[keep]
-        keep = np.minimum(points[a], points[b]).sum(axis=1) >= needed(sizes[a], sizes[b])
-        return a[keep], b[keep]
-    tree = CountTree(points, sizes, labels)
-    left, right = [], []
-    for i in range(len(sizes)):
-        near = tree.partners(i)
-        near = near[near > i]
-        left.append(np.full(len(near), i))
-        right.append(near)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
-    """Sorted hashes of the shingles in over COMMON of the n documents.
-
-    Counted over all documents. A batch sends those it holds often enough to matter; at most
-    (mean set size / COMMON) shingles can be common, whatever n is.
-    """
-
-    def make():
-        def step(batch: pa.RecordBatch) -> dict | None:
-            own = [shingles(t) for t in column(batch, "text")]
-            found, counts = np.unique(np.concatenate(own), return_counts=True)
-            often = counts >= max(3, len(own) * COMMON / 4)
-            if not often.any():
-                return None
-            return {"s": pa.array(found[often].view(np.int64)), "c": pa.array(counts[often])}
-
-        return step
-
-    counted = map_batches(docs.select(utf8().alias("text")), "s long, c long", make).groupBy("s").agg(F.sum("c").alias("c"))
-    rows = counted.where(F.col("c") > max(MIN_COMMON, n * COMMON)).select("s").toPandas()
-    return np.sort(rows["s"].to_numpy(np.int64).view(np.uint64))
-
-
 def classes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cls (null for empty sets), point of every whole text."""
+    """doc_id, n_shingles, cls (null for empty sets) and point of every whole text; and, once a
+    batch, the shingles that it holds often enough to matter (s) and how often (c)."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
             own = [shingles(t) for t in column(batch, "text")]
+            found, counts = np.unique(np.concatenate(own), return_counts=True)
+            often = counts >= max(3, len(own) * COMMON / 4)
+            none = [None] * (len(own) - 1)
             return {
                 "doc_id": batch.column(0), "n_shingles": [len(x) for x in own],
                 "cls": [set_id(x) if len(x) else None for x in own], "point": [point(x) for x in own],
+                "s": [found[often].view(np.int64), *none], "c": [counts[often], *none],
             }
 
         return step
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
-    return map_batches(source, "doc_id long, n_shingles long, cls long, point binary", make)
+    return map_batches(source, "doc_id long, n_shingles long, cls long, point binary, s array<long>, c array<long>", make)
+
+
+def common_shingles(base: DataFrame) -> np.ndarray:
+    """Sorted hashes of the shingles in over COMMON of the documents.
+
+    Counted over all documents; a shingle that no batch holds often isn't common. At most
+    (mean set size / COMMON) shingles can be common, however many documents there are.
+    """
+    n = base.count()
+    counts = base.where("s is not null").select(F.explode(F.arrays_zip("s", "c")).alias("x")).groupBy("x.s").agg(F.sum("x.c").alias("c"))
+    rows = counts.where(F.col("c") > max(MIN_COMMON, n * COMMON)).select("s").toPandas()
+    return np.sort(rows["s"].to_numpy(np.int64).view(np.uint64))
 
 
 def _blocks(docs: DataFrame, common: np.ndarray) -> DataFrame:
@@ -241,12 +217,21 @@ def _hubs(blocks: DataFrame) -> DataFrame:
     large = blocks.where(F.col("m") >= HUB_FROM)
     degree = large.groupBy("cls").agg(F.count("*").alias("d"))
     hub = large.join(degree, "cls").groupBy("key").agg(F.max_by("cls", F.struct("d", "cls")).alias("hub"))
-    met = large.join(hub, "key").where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("c"))
-    return met.groupBy("cls").agg(F.max_by("hub", F.struct("c", "hub")).alias("b")).select(F.col("cls").alias("a"), "b")
+    met = large.join(hub, "key").where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    best = met.groupBy("cls").agg(F.max_by("hub", F.struct("c", "hub")).alias("b"), F.max("c").alias("c"), F.max("n").alias("n"))
+    return best.where(F.col("c") * 20 >= F.col("n")).select(F.col("cls").alias("a"), "b")
+
+
+def prefix_size(n: np.ndarray) -> np.ndarray:
+    return n - (-(-n * PERCENT // 100)) + 1
 
 
 def _cross_pairs(blocks: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """a, b: pairs of classes in a block, not yet in one component, that the bound allows."""
+    """a, b: pairs of classes that meet in blocks, not yet in one component, that may link.
+
+    A pair must pass the bound of its points, found by the trees of its blocks, and share
+    enough of its prefixes: beyond the shared ones, at most the rest of one set is common.
+    """
     rows = blocks.join(classes.select("cls", "point"), "cls")
     label = F.col("cls")
     if labels is not None:
@@ -254,41 +239,73 @@ def _cross_pairs(blocks: DataFrame, classes: DataFrame, labels: DataFrame | None
         label = F.coalesce("component", "cls")
     rows = rows.select("key", "cls", "n", "point", label.alias("label"))
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fields = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    fields = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("least", pa.int32()), ("c", pa.int32())])
 
     def compare(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         key, cls, n, label = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in (0, 1, 2, 4))
-        at = counts_of([p for b in got for p in b.column(3).to_pylist()])
+        points = [p for b in got for p in b.column(3).to_pylist()]
         got.clear()
-        _, label = np.unique(label, return_inverse=True)
-        order = np.argsort(key, kind="stable")
-        starts = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
-        n = n.astype(np.int64)
-        left, right, held = [], [], 0
-        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
-            own = order[s:e]
-            if len(own) < 2 or label[own].min() == label[own].max():
-                continue
-            a, b = block_pairs(at[own], n[own], label[own])
-            left.append(cls[own[a]])
-            right.append(cls[own[b]])
-            held += len(a)
-            if held > 200_000:
-                yield _distinct(left, right, fields)
-                left, right, held = [], [], 0
+        cls, first, own = np.unique(cls, return_index=True, return_inverse=True)
+        at, n = counts_of([points[i] for i in first.tolist()]), n[first].astype(np.int64)
+        del points
+        label = np.unique(label[first], return_inverse=True)[1]
+        own = own[np.argsort(key, kind="stable")]
+        key = np.sort(key)
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sizes = np.diff(np.append(starts, len(key)))
+        codes, held = [], 0
+
+        def out(codes: list[np.ndarray]) -> pa.RecordBatch:
+            code, c = np.unique(np.concatenate(codes), return_counts=True)
+            a, b = code // len(cls), code % len(cls)
+            keep = _possible(at, n, a, b)
+            a, b, c = a[keep], b[keep], c[keep]
+            least = needed(n[a], n[b]) - np.maximum(n[a] - prefix_size(n[a]), n[b] - prefix_size(n[b]))
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((cls[a], cls[b], least, c), fields, strict=True)], schema=fields)
+
+        for m in np.unique(sizes).tolist():
+            of_size = starts[sizes == m]
+            if 1 < m < TREE_FROM:
+                block = own[of_size[:, None] + np.arange(m)]
+                for i, j in zip(*np.triu_indices(m, 1), strict=True):
+                    a, b = np.minimum(block[:, i], block[:, j]), np.maximum(block[:, i], block[:, j])
+                    fit = (label[a] != label[b]) & (np.minimum(n[a], n[b]) * 100 >= PERCENT * np.maximum(n[a], n[b]))
+                    codes.append(a[fit] * len(cls) + b[fit])
+                    held += len(codes[-1])
+            elif m > 1:
+                for s in of_size.tolist():
+                    mine = own[s : s + m]
+                    if (label[mine] == label[mine[0]]).all():
+                        continue
+                    tree = CountTree(at[mine], n[mine], label[mine])
+                    for i in range(m):
+                        near = tree.partners(i)
+                        near = mine[near[near > i]]
+                        codes.append(np.minimum(near, mine[i]) * len(cls) + np.maximum(near, mine[i]))
+                        held += len(near)
+                    if held > 2_000_000:
+                        yield out(codes)
+                        codes, held = [], 0
+            if held > 2_000_000:
+                yield out(codes)
+                codes, held = [], 0
         if held:
-            yield _distinct(left, right, fields)
+            yield out(codes)
 
-    return rows.repartition(parts, "key").mapInArrow(compare, "a long, b long").distinct()
+    made = rows.repartition(parts, "key").mapInArrow(compare, "a long, b long, least int, c int")
+    return made.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("least").alias("least")).where("c >= least").select("a", "b")
 
 
-def _distinct(left: list, right: list, fields: pa.Schema) -> pa.RecordBatch:
-    a, b = np.concatenate(left), np.concatenate(right)
-    both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], schema=fields)
+def _possible(at: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs the summed minima of their points allow."""
+    out = np.empty(len(a), bool)
+    for s in range(0, len(a), 1 << 16):
+        x, y = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
+        out[s : s + (1 << 16)] = np.minimum(at[x], at[y]).sum(axis=1) >= needed(n[x], n[y])
+    return out
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -342,7 +359,7 @@ def components(docs: DataFrame) -> DataFrame:
     one's smallest.
     """
     base = saved(classes_of(docs))
-    common = common_shingles(docs, base.count())
+    common = common_shingles(base)
     classes = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("point").alias("point"))
     classes = saved(classes)
     blocks = saved(_blocks(docs, common))
