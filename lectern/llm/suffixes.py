@@ -106,6 +106,14 @@ def encode_run(entries: list[tuple[bytes, bytes, int, int, int]]) -> bytes:
     return b"".join(parts)
 
 
+def _pack(run: bytes) -> bytes:
+    return struct.pack("<i", len(run)) + pa.compress(run, codec="zstd", asbytes=True)
+
+
+def _unpack(run: bytes) -> bytes:
+    return pa.decompress(run[4:], struct.unpack("<i", run[:4])[0], codec="zstd", asbytes=True)
+
+
 def decode_run(run: bytes) -> Iterator[tuple[int, bytes, tuple[bytes, int, int, int]]]:
     """Each suffix with the bytes that it shares with the one before, as they were sent."""
     at, right, left = 0, b"", b""
@@ -211,7 +219,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _anchors_met(own: DataFrame, parts: int) -> DataFrame:
-    """h, place: anchors whose k-gram another anchor has too."""
+    """h, place: anchors whose k-gram another anchor has too.
+
+    Anchors that meet within a batch are found at once; for all of them only one row goes to
+    those of other batches, so a k-gram of any number of texts costs a row a batch.
+    """
+    alone, met, stands = 0, 1, 2
 
     def make():
         def step(batch: pa.RecordBatch) -> dict | None:
@@ -220,23 +233,39 @@ def _anchors_met(own: DataFrame, parts: int) -> DataFrame:
             if not got:
                 return None
             h, place, gram = (np.concatenate(x) for x in zip(*got, strict=True))
-            return {"gram": pa.array(gram.view(np.int64)), "h": pa.array(h), "place": pa.array(place)}
+            gram = gram.view(np.int64)
+            each, back, counts = np.unique(gram, return_inverse=True, return_counts=True)
+            many = counts[back] > 1
+            first = each[counts > 1]
+            kind = np.concatenate((np.where(many, met, alone), np.full(len(first), stands)))
+            none = np.zeros(len(first), np.int64)
+            return {
+                "gram": pa.array(np.concatenate((np.where(many, h, gram), first))), "h": pa.array(np.concatenate((h, none))),
+                "place": pa.array(np.concatenate((place, none.astype(np.int32)))), "kind": pa.array(kind.astype(np.int32)),
+            }
 
         return step
 
-    rows = map_batches(own.select("h", "text"), "gram long, h long, place int", make)
+    rows = map_batches(own.select("h", "text"), "gram long, h long, place int, kind int", make)
     fields = pa.schema([("h", pa.int64()), ("place", pa.int32())])
 
     def meet(batches):
-        got = [b for b in batches if b.num_rows]
+        got = []
+        for batch in batches:
+            gram, h, place, kind = (batch.column(i).to_numpy() for i in range(4))
+            sure = kind == met
+            if sure.any():
+                yield pa.RecordBatch.from_arrays([pa.array(h[sure]), pa.array(place[sure])], schema=fields)
+            got.append((gram[~sure], h[~sure], place[~sure], kind[~sure]))
         if not got:
             return
-        gram, h, place = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(3))
+        gram, h, place, kind = (np.concatenate(x) for x in zip(*got, strict=True))
         got.clear()
         order = np.argsort(gram, kind="stable")
         gram = gram[order]
         same = gram[1:] == gram[:-1]
-        again = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+        again = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(gram) else order
+        again = again[kind[again] == alone]
         for s in range(0, len(again), 1 << 18):
             part = again[s : s + (1 << 18)]
             yield pa.RecordBatch.from_arrays([pa.array(h[part]), pa.array(place[part])], schema=fields)
@@ -280,7 +309,7 @@ def _runs(placed: DataFrame, parts: int) -> DataFrame:
                     for _, _, h, place in entries[i:j]:
                         covers.setdefault(h, []).append((place - len(left), place + len(right)))
                 i = j
-            out.append((bucket, encode_run(kept), b""))
+            out.append((bucket, _pack(encode_run(kept)), b""))
             entries.clear()
         rows = [(h, s, e) for h, found in covers.items() for s, e in _merge_intervals(found)]
         for i, s in enumerate(range(0, len(rows), 1 << 14)):
@@ -325,7 +354,7 @@ def _merged(runs: DataFrame, parts: int) -> DataFrame:
                     own.setdefault(bucket, []).append(blob)
         for blobs in own.values():
             shared, rights, found = [], [], []
-            for n, right, rest in merge([decode_run(b) for b in blobs]):
+            for n, right, rest in merge([decode_run(_unpack(b)) for b in blobs]):
                 if n < GRAM and len(rights) >= RUN_SUFFIXES:
                     if got := _spans(shared, rights, found):
                         yield rows(*got)
@@ -358,7 +387,7 @@ def spans(docs: DataFrame) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = _keyed(docs)
     met = _anchors_met(own, parts).groupBy("h").agg(F.collect_set("place").alias("places"))
-    placed = own.join(met, "h").select("h", "text", "places")
+    placed = own.join(met, "h").select("h", "doc_id", "text", "places")  # the same exchange of texts as below
     found = _merged(_runs(placed, parts), parts).groupBy("h").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     return own.join(found, "h", "left")
 
