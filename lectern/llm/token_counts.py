@@ -14,7 +14,9 @@ from lectern.llm.common import column, map_batches, read
 
 LIMIT = 2048
 #: Words whose prefix counts are kept by a task.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
+#: Bytes at the start of words whose tables are kept.
+HEAD = 6
 #: The split pattern of the word vocabulary (fixed value).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Characters on which every Unicode release and library agrees; others go through the
@@ -59,6 +61,7 @@ class PrefixCounter:
         self.fits: dict[tuple[int, int], bool] = {}
         self.counts: dict[str, int] = {}
         self.older: dict[str, int] = {}
+        self.heads: dict[bytes, tuple[list[int], list[int]]] = {}
 
     def _merge(self, raw: bytes, last: bool) -> list[int]:
         """Plain BPE of a few bytes; settles which two tokens may stand side by side."""
@@ -115,6 +118,20 @@ class PrefixCounter:
                     return token, count[j] + 1
         raise ValueError(f"no encoding of {word[:i]!r}")
 
+    def _begun(self, head: bytes) -> tuple[list[int], list[int]]:
+        """The tables up to a word's first few bytes, which many words share."""
+        found = self.heads.get(head)
+        if found is None:
+            if not head:
+                return [-1], [0]
+            last, count = self._begun(head[:-1])
+            last, count = [*last, -1], [*count, 0]
+            last[-1], count[-1] = self._last(self.inner, head, len(head), last, count)
+            found = last, count
+            if len(self.heads) < CACHED_WORDS // 2:
+                self.heads[head] = found
+        return found
+
     def word(self, word: str) -> int:
         """Tokens of a whole word: the last step of the recurrence alone needs word ends."""
         found = self.counts.get(word)
@@ -123,8 +140,9 @@ class PrefixCounter:
             if found is None:
                 raw = word.encode()
                 n = len(raw)
-                last, count = [-1] * (n + 1), [0] * (n + 1)
-                for i in range(1, n):
+                last, count = self._begun(raw[: min(n - 1, HEAD)])
+                last, count = [*last, *[-1] * (n + 1 - len(last))], [*count, *[0] * (n + 1 - len(count))]
+                for i in range(min(n - 1, HEAD) + 1, n):
                     last[i], count[i] = self._last(self.inner, raw, i, last, count)
                 found = self._last(self.final, raw, n, last, count)[1]
             if len(self.counts) >= CACHED_WORDS // 2:
