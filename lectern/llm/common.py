@@ -17,7 +17,7 @@ __all__ = ["checkpointed", "column", "map_batches", "read", "saved", "small_batc
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 #: Rows and bytes of an Arrow batch: a batch of long texts must fit a Python worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

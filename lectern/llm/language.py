@@ -21,8 +21,8 @@ FOLDS, HELD_OUT = 3, 1
 #: words; features are hashed to 2 ** TABLE_BITS rows; each language's lexicon is bounded.
 SAMPLE_DOCS, SAMPLE_WORDS, TABLE_BITS, LEXICON_WORDS = 3000, 256, 18, 2000
 SPAN, BATCH, STEPS, RATE = 32, 64, 900, 0.3
-#: Words whose scores a task keeps.
-CACHED_WORDS = 200_000
+#: Words whose scores a task keeps, and words labelled at once.
+CACHED_WORDS, STEP_WORDS = 150_000, 60_000
 
 
 def words(text: str | None) -> list[str]:
@@ -125,7 +125,20 @@ class Predictor:
         self.table = np.empty((1024, self.model.weights.shape[1]))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        split = [words(t) for t in texts]
+        """Label and share of each text; some texts at a time, so that memory is bounded."""
+        labels, shares, some, held = [], [], [], 0
+        for text in texts:
+            some.append(words(text))
+            held += len(some[-1])
+            if held >= STEP_WORDS:
+                for out, new in zip((labels, shares), self._predict(some), strict=True):
+                    out += new
+                some, held = [], 0
+        for out, new in zip((labels, shares), self._predict(some), strict=True):
+            out += new
+        return labels, shares
+
+    def _predict(self, split: list[list[str]]) -> tuple[list[str], list[float]]:
         if len(self.known) > CACHED_WORDS:
             self._clear()
         known = self.known
@@ -137,7 +150,7 @@ class Predictor:
             self.table[first : first + len(new)] = self.model.scores(new)
             known.update(zip(new, range(first, first + len(new)), strict=True))
         lengths = np.fromiter(map(len, split), np.int64, len(split))
-        out, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        out, score = [UNKNOWN] * len(split), [0.0] * len(split)
         some = np.flatnonzero(lengths)
         if len(some) and self.model.labels:
             ids = np.fromiter((known[w] for tokens in split for w in tokens), np.int64, int(lengths.sum()))
