@@ -58,7 +58,7 @@ def map_batches(
     output (None: no rows).
     """
     small_batches(df.sparkSession)
-    fields = _arrow_schema(df.sparkSession, schema)
+    fields = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
@@ -72,7 +72,7 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
-def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 

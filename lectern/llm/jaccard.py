@@ -8,18 +8,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import column, map_batches, read, saved, utf8
+from lectern.llm.common import arrow_schema, column, map_batches, read, saved, small_batches, utf8
 from lectern.operators.graph import connected_components
 
 #: Words of a shingle; two sets link when PERCENT * union <= 100 * intersection.
 WORDS, PERCENT = 5, 80
 #: Groups that shingles are hashed to; a document's counts in them are its point.
-GROUPS = 32
-#: Shingles of more than this share of documents (and MIN_COMMON) come last in the order of
-#: prefixes. It sets the order only; results don't depend on it.
-COMMON, MIN_COMMON = 1e-3, 64
+GROUPS = 128
+#: Shingles that more documents than this are seen to hold come last in the order of prefixes;
+#: at most so many of them, the commonest. It sets the order only; results don't depend on it.
+COMMON, COMMON_ROWS = 32, 2_000_000
+#: Shingles that a task counts before it sends those met twice.
+COUNTED = 3_000_000
 #: Blocks from this size get an R-tree and meet a hub first; smaller ones are compared whole.
-TREE_FROM, HUB_FROM, FANOUT = 17, 32, 16
+TREE_FROM, HUB_FROM, FANOUT, NEAREST_ROUNDS = 17, 32, 16, 2
 #: Row ids of classes that a broadcast may hold (16 MB); more are joined.
 BROADCAST_IDS = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -123,37 +125,48 @@ class CountTree:
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cls (null for empty sets) and point of every whole text; and, once a
-    batch, the shingles that it holds often enough to matter (s) and how often (c)."""
-
-    def make():
-        def step(batch: pa.RecordBatch) -> dict:
+    """doc_id, n_shingles, cls (null for empty sets) and point of every whole text, kind 0; and
+    in further rows, kind 1, shingles that a task meets twice or more (s) and how often (c)."""
+    schema = "kind int, doc_id long, n_shingles long, cls long, point binary, s array<long>, c array<long>"
+    fields = arrow_schema(docs.sparkSession, schema)
+
+    def rows(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, fields, strict=True)], schema=fields)
+
+    def counts(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, times = np.unique(np.concatenate(held), return_counts=True)
+        found, times = found[times > 1].view(np.int64), times[times > 1]
+        cuts = range(0, max(1, len(found)), 1 << 16)
+        none = [None] * len(cuts)
+        return rows([1] * len(cuts), none, none, none, none, [found[i : i + (1 << 16)] for i in cuts], [times[i : i + (1 << 16)] for i in cuts])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
             own = [shingles(t) for t in column(batch, "text")]
-            found, counts = np.unique(np.concatenate(own), return_counts=True)
-            often = counts >= max(3, len(own) * COMMON / 4)
-            none = [None] * (len(own) - 1)
-            return {
-                "doc_id": batch.column(0), "n_shingles": [len(x) for x in own],
-                "cls": [set_id(x) if len(x) else None for x in own], "point": [point(x) for x in own],
-                "s": [found[often].view(np.int64), *none], "c": [counts[often], *none],
-            }
-
-        return step
+            none = [None] * len(own)
+            ids = [set_id(x) if len(x) else None for x in own]
+            yield rows([0] * len(own), column(batch, "doc_id"), [len(x) for x in own], ids, [point(x) for x in own], none, none)
+            held += own
+            size += sum(map(len, own))
+            if size >= COUNTED:
+                yield counts(held)
+                held, size = [], 0
+        if held:
+            yield counts(held)
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
-    return map_batches(source, "doc_id long, n_shingles long, cls long, point binary, s array<long>, c array<long>", make)
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(run, schema)
 
 
-def common_shingles(base: DataFrame) -> np.ndarray:
-    """Sorted hashes of the shingles in over COMMON of the documents.
+def common_shingles(counted: DataFrame) -> np.ndarray:
+    """Sorted hashes of the commonest shingles, counted over all documents.
 
-    Counted over all documents; a shingle that no batch holds often isn't common. At most
-    (mean set size / COMMON) shingles can be common, however many documents there are.
+    A shingle that no task meets twice isn't common. The table is bounded by COMMON_ROWS (16 MB).
     """
-    n = base.count()
-    counts = base.where("s is not null").select(F.explode(F.arrays_zip("s", "c")).alias("x")).groupBy("x.s").agg(F.sum("x.c").alias("c"))
-    rows = counts.where(F.col("c") > max(MIN_COMMON, n * COMMON)).select("s").toPandas()
-    return np.sort(rows["s"].to_numpy(np.int64).view(np.uint64))
+    each = counted.where("kind = 1").select(F.explode(F.arrays_zip("s", "c")).alias("x")).groupBy("x.s").agg(F.sum("x.c").alias("c"))
+    top = each.where(F.col("c") > COMMON).orderBy(F.desc("c"), "s").limit(COMMON_ROWS)
+    return np.sort(top.select("s").toPandas()["s"].to_numpy(np.int64).view(np.uint64))
 
 
 def _blocks(docs: DataFrame, common: np.ndarray) -> DataFrame:
@@ -226,12 +239,15 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
     return n - (-(-n * PERCENT // 100)) + 1
 
 
-def _cross_pairs(blocks: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _cross_pairs(blocks: DataFrame, classes: DataFrame, labels: DataFrame | None, nearest: bool = False) -> DataFrame:
     """a, b: pairs of classes that meet in blocks, not yet in one component, that may link.
 
     A pair must pass the bound of its points, found by the trees of its blocks, and share
     enough of its prefixes: beyond the shared ones, at most the rest of one set is common.
+    nearest: of large blocks alone, and for each class only the pair of the greatest bound.
     """
+    if nearest:
+        blocks = blocks.where(F.col("m") >= HUB_FROM)
     rows = blocks.join(classes.select("cls", "point"), "cls")
     label = F.col("cls")
     if labels is not None:
@@ -283,7 +299,11 @@ def _cross_pairs(blocks: DataFrame, classes: DataFrame, labels: DataFrame | None
                     tree = CountTree(at[mine], n[mine], label[mine])
                     for i in range(m):
                         near = tree.partners(i)
-                        near = mine[near[near > i]]
+                        if nearest and len(near):
+                            near = near[[np.minimum(tree.points[near], tree.points[i]).sum(axis=1).argmax()]]
+                            near = mine[near]
+                        else:
+                            near = mine[near[near > i]]
                         codes.append(np.minimum(near, mine[i]) * len(cls) + np.maximum(near, mine[i]))
                         held += len(near)
                     if held > 2_000_000:
@@ -296,6 +316,8 @@ def _cross_pairs(blocks: DataFrame, classes: DataFrame, labels: DataFrame | None
             yield out(codes)
 
     made = rows.repartition(parts, "key").mapInArrow(compare, "a long, b long, least int, c int")
+    if nearest:
+        return made.select("a", "b").distinct()
     return made.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("least").alias("least")).where("c >= least").select("a", "b")
 
 
@@ -358,8 +380,9 @@ def components(docs: DataFrame) -> DataFrame:
     shingles, linked with nothing. Repeated rows link if they have words; null ids are no
     one's smallest.
     """
-    base = saved(classes_of(docs))
-    common = common_shingles(base)
+    counted = saved(classes_of(docs))
+    common = common_shingles(counted)
+    base = counted.where("kind = 0")
     classes = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("point").alias("point"))
     classes = saved(classes)
     blocks = saved(_blocks(docs, common))
@@ -368,6 +391,12 @@ def components(docs: DataFrame) -> DataFrame:
     if not hubs.isEmpty():
         links = saved(_linked(hubs, docs, classes))
         labels = saved(connected_components(links, "a", "b"))
+        for _ in range(NEAREST_ROUNDS):
+            near = saved(_linked(saved(_cross_pairs(blocks, classes, labels, nearest=True)), docs, classes))
+            if near.isEmpty():
+                break
+            links = links.unionByName(near)
+            labels = saved(connected_components(links, "a", "b"))
     more = saved(_cross_pairs(blocks, classes, labels))
     if not more.isEmpty():
         found = _linked(more, docs, classes)
