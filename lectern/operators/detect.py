@@ -29,6 +29,12 @@ def earliest_before(
     return early.join(counted, keys)
 
 
+def never_introduced(rows: DataFrame, keys: list[str], introduced: Column, used: Column) -> DataFrame:
+    """keys, n_used of what is used but never introduced. rows: one an occurrence."""
+    counts = rows.groupBy(*keys).agg(F.count_if(introduced).alias("_i"), F.count_if(used).alias("n_used"))
+    return counts.where("_i = 0 and n_used > 0").drop("_i")
+
+
 def used_before_introduction(nodes: DataFrame) -> DataFrame:
     """Concepts used, not in forward references, before they are introduced."""
     early = nodes.where("order_introduced is not null and used_at < order_introduced")

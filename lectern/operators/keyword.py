@@ -38,7 +38,7 @@ def is_defined(text: Column, term: Column) -> Column:
     shape = "|".join(f"(?:{d})" for d in DEFINITIONS)
     pieces = shape.split("{t}")
     pattern = F.concat(F.lit("(?imu)" + pieces[0]), *[x for p in pieces[1:] for x in (quoted(term), F.lit(p))])
-    return text.rlike(pattern)
+    return F.regexp(text, pattern)
 
 
 def first_places(parts: DataFrame, vocab: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -40,7 +40,8 @@ def segment(lectures: DataFrame) -> DataFrame:
     body = ~F.col("two") & ~F.col("title")
     # The preamble starts at its first line with text that is no fence.
     begun = F.max((body & ~F.col("fence") & (strip("line") != "")).cast("int")).over(upto) == 1
-    kept = rows.where(F.col("two") | F.col("title") | (F.col("section") > 0) | (body & begun))
+    rows = rows.withColumn("begun", begun)
+    kept = rows.where(F.col("two") | F.col("title") | (F.col("section") > 0) | (body & F.col("begun")))
     head = Window.partitionBy("lecture_id")
     kept = kept.withColumn("name", F.max(F.when(F.col("title"), strip(F.regexp_replace("line", r"^#[\s\p{Z}]+", "")))).over(head))
     units = kept.where(~F.col("title")).groupBy("lecture_id", "lecture_order", "file_name", "name", "section").agg(
