@@ -20,10 +20,10 @@ GROUPS = 128
 COMMON, COMMON_ROWS = 32, 2_000_000
 #: Shingles that a task counts before it sends those met twice.
 COUNTED = 3_000_000
-#: Blocks from this size get an R-tree and meet a hub first; smaller ones are compared whole.
-TREE_FROM, HUB_FROM, FANOUT, NEAREST_ROUNDS = 17, 32, 16, 2
-#: Row ids of classes that a broadcast may hold (16 MB); more are joined.
-BROADCAST_IDS = 1_000_000
+#: Blocks from these sizes get an R-tree, and meet a hub first; others are compared whole.
+TREE_FROM, HUB_FROM, FANOUT, NEAREST_ROUNDS = 17, 8, 16, 2
+#: Pairs or ids of classes, and bytes of sets, that a broadcast may hold; more are joined.
+BROADCAST_IDS, BROADCAST_BYTES = 1_000_000, 16 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -247,7 +247,7 @@ def _cross_pairs(blocks: DataFrame, classes: DataFrame, labels: DataFrame | None
     nearest: of large blocks alone, and for each class only the pair of the greatest bound.
     """
     if nearest:
-        blocks = blocks.where(F.col("m") >= HUB_FROM)
+        blocks = blocks.where(F.col("m") >= TREE_FROM)
     rows = blocks.join(classes.select("cls", "point"), "cls")
     label = F.col("cls")
     if labels is not None:
@@ -332,11 +332,9 @@ def _possible(at: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose whole sets link. Only their classes' texts are read again."""
-    spark = docs.sparkSession
     ids = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     reps = saved(classes.join(ids, "cls").select(F.col("rep").alias("doc_id"), "cls"))
-    small = reps.count() <= BROADCAST_IDS
-    near = F.broadcast(reps) if small else reps
+    near = _small(reps, reps.count() <= BROADCAST_IDS)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).join(near, "doc_id")
 
     def make():
@@ -346,8 +344,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
 
         return step
 
-    sets = map_batches(source.select("text"), "cls long, members binary", make)
-    sets = saved(sets.join(F.broadcast(reps.select("cls")) if small else reps.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
+    sets = saved(map_batches(source.select("text"), "cls long, members binary", make))
     fields = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def verify(batches):
@@ -363,9 +360,15 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep]), pa.array([b[i] for i in keep])], schema=fields)
 
     left = sets.select(F.col("cls").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("cls").alias("b"), F.col("members").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(verify, "a long, b long")
+    right = sets.join(F.broadcast(pairs.select("b").distinct()) if pairs.count() <= BROADCAST_IDS else pairs.select("b").distinct(), sets.cls == F.col("b"), "left_semi")
+    right = right.select(F.col("cls").alias("b"), F.col("members").alias("y"))
+    few = right.agg(F.coalesce(F.sum(F.length("y") + 64), F.lit(0)).alias("n")).first().n <= BROADCAST_BYTES
+    both = left.join(_small(pairs, pairs.count() <= BROADCAST_IDS), "a").join(_small(right, few), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(verify, "a long, b long").distinct()
+
+
+def _small(df: DataFrame, is_small: bool) -> DataFrame:
+    return F.broadcast(df) if is_small else df
 
 
 def components(docs: DataFrame) -> DataFrame:
