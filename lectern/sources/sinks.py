@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import flat, vocabulary_line
@@ -50,15 +50,21 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").parquet(f"{path}/edges")
 
 
+def _in_order(place: str, value: str) -> Column:
+    """The values of a column by place; values that hold maps can't be compared themselves."""
+    rows = F.collect_list(F.struct(F.col(place).alias("p"), F.col(value).alias("v")))
+    return F.transform(F.array_sort(rows, lambda a, b: F.when(a["p"] < b["p"], -1).when(a["p"] > b["p"], 1).otherwise(0)), lambda x: x["v"])
+
+
 def node_link(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row of `nodes` and `edges`, for tools that read one document. The whole graph is
     one value, so it is meant for single courses."""
     place = {k: F.when(F.col(f"order_{k}").isNotNull(), F.array(F.col(f"order_{k}.lec"), F.col(f"order_{k}.unit"))).alias(f"order_{k}") for k in ("introduced", "first_used")}
     own = [c for c in ("aliases", "definitions", "appearances", "roles", "n_introduced", "n_used", "lecture_introduced", "unit_introduced", "lecture_first_used", "unit_first_used") if c in nodes.columns]
     n = nodes.orderBy("place").select(F.col("place"), F.struct(F.col("name").alias("id"), F.col("name").alias("canonical_name"), *own, *place.values()).alias("n"))
-    e = edges.select(F.struct("first_seq", F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "reason", "evidence_lecture", "evidence_unit").alias("e")).alias("x"))
-    left = n.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "n"))), lambda x: x["n"]).alias("nodes"))
-    right = e.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"]).alias("edges"))
+    e = edges.select("first_seq", F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "reason", "evidence_lecture", "evidence_unit").alias("e"))
+    left = n.agg(_in_order("place", "n").alias("nodes"))
+    right = e.agg(_in_order("first_seq", "e").alias("edges"))
     return left.join(F.broadcast(right)).select(F.lit(True).alias("directed"), F.lit(False).alias("multigraph"), "nodes", "edges")
 
 
