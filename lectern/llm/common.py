@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.session import checkpointed, saved
+from lectern.session import Scratch, checkpointed
 
-__all__ = ["checkpointed", "column", "map_batches", "read", "saved", "small_batches", "utf8", "words"]
+__all__ = ["Scratch", "checkpointed", "column", "map_batches", "read", "small_batches", "utf8", "words"]
 
 #: Words of the licence and benchmark operators, on UTF-8 bytes with A-Z lower-cased.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import arrow_schema, column, map_batches, read, saved, small_batches, utf8
+from lectern.llm.common import Scratch, arrow_schema, column, map_batches, read, small_batches, utf8
 from lectern.operators.graph import connected_components
 
 #: Words of a shingle; two sets link when PERCENT * union <= 100 * intersection.
@@ -330,10 +330,10 @@ def _possible(at: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np
     return out
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs whose whole sets link. Only their classes' texts are read again."""
     ids = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    reps = saved(classes.join(ids, "cls").select(F.col("rep").alias("doc_id"), "cls"))
+    reps = scratch.save(classes.join(ids, "cls").select(F.col("rep").alias("doc_id"), "cls"))
     near = _small(reps, reps.count() <= BROADCAST_IDS)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).join(near, "doc_id")
 
@@ -344,7 +344,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
 
         return step
 
-    sets = saved(map_batches(source.select("text"), "cls long, members binary", make))
+    sets = scratch.save(map_batches(source.select("text"), "cls long, members binary", make))
     fields = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def verify(batches):
@@ -383,35 +383,42 @@ def components(docs: DataFrame) -> DataFrame:
     shingles, linked with nothing. Repeated rows link if they have words; null ids are no
     one's smallest.
     """
-    counted = saved(classes_of(docs))
+    scratch = Scratch(docs.sparkSession)
+    counted = scratch.save(classes_of(docs))
     common = common_shingles(counted)
-    base = counted.where("kind = 0")
-    classes = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("point").alias("point"))
-    classes = saved(classes)
-    blocks = saved(_blocks(docs, common))
-    hubs = saved(_hubs(blocks))
+    base = scratch.save(counted.where("kind = 0").select("doc_id", "n_shingles", "cls"))
+    classes = scratch.save(counted.where("kind = 0 and cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("point").alias("point")))
+    scratch.drop(base, classes)
+    blocks = scratch.save(_blocks(docs, common))
+    hubs = scratch.save(_hubs(blocks))
     labels = links = None
-    if not hubs.isEmpty():
-        links = saved(_linked(hubs, docs, classes))
-        labels = saved(connected_components(links, "a", "b"))
+
+    def more_links(pairs: DataFrame) -> bool:
+        """Adds the pairs that link, and labels their components anew."""
+        nonlocal links, labels
+        found = scratch.save(_linked(pairs, docs, classes, scratch))
+        if found.isEmpty():
+            return False
+        links = found if links is None else scratch.save(links.unionByName(found))
+        labels = scratch.save(connected_components(links, "a", "b"))
+        scratch.drop(base, classes, blocks, links, labels)
+        return True
+
+    if not hubs.isEmpty() and more_links(hubs):
         for _ in range(NEAREST_ROUNDS):
-            near = saved(_linked(saved(_cross_pairs(blocks, classes, labels, nearest=True)), docs, classes))
-            if near.isEmpty():
+            if not more_links(scratch.save(_cross_pairs(blocks, classes, labels, nearest=True))):
                 break
-            links = links.unionByName(near)
-            labels = saved(connected_components(links, "a", "b"))
-    more = saved(_cross_pairs(blocks, classes, labels))
+    more = scratch.save(_cross_pairs(blocks, classes, labels))
     if not more.isEmpty():
-        found = _linked(more, docs, classes)
-        links = saved(found if links is None else links.unionByName(found))
-        labels = saved(connected_components(links, "a", "b"))
+        more_links(more)
+    rooted = classes.select("cls", "rep")
     if labels is None:
-        ids = classes.select("cls", F.col("rep").alias("component_id"))
+        rooted = rooted.withColumn("root", F.col("cls"))
     else:
-        rooted = classes.join(labels, classes.cls == labels.node, "left").select("cls", "rep", F.coalesce("component", "cls").alias("root"))
-        least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-        ids = saved(rooted.join(least, "root").select("cls", "component_id"))
-    ids = ids.withColumnRenamed("cls", "own")
+        rooted = rooted.join(labels, rooted.cls == labels.node, "left").select("cls", "rep", F.coalesce("component", "cls").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    ids = scratch.save(rooted.join(least, "root").select(F.col("cls").alias("own"), "component_id"))
+    scratch.drop(base, ids)
     return base.join(ids, base.cls == ids.own, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -419,7 +426,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, but for those that link to one with a smaller
     doc_id: each group keeps one. Where a kept doc_id is on several rows, equal texts of it
     are one row; documents without an id stay."""
-    groups = saved(components(docs).where("doc_id = component_id or doc_id is null").groupBy("doc_id").agg(F.count("*").alias("times")))
+    groups = Scratch(docs.sparkSession).save(components(docs).where("doc_id = component_id or doc_id is null").groupBy("doc_id").agg(F.count("*").alias("times")))
     few = groups.count() <= BROADCAST_IDS
     ids = groups.select(F.col("doc_id").alias("_kept"))
     kept = docs.join(F.broadcast(ids) if few else ids, docs.doc_id.cast("long").eqNullSafe(ids["_kept"]), "left_semi")

@@ -22,7 +22,7 @@ FOLDS, HELD_OUT = 3, 1
 SAMPLE_DOCS, SAMPLE_WORDS, TABLE_BITS, LEXICON_WORDS = 3000, 256, 18, 2000
 SPAN, BATCH, STEPS, RATE = 32, 64, 900, 0.3
 #: Words whose scores a task keeps, and words labelled at once.
-CACHED_WORDS, STEP_WORDS = 150_000, 60_000
+CACHED_WORDS, STEP_WORDS = 200_000, 400_000
 
 
 def words(text: str | None) -> list[str]:
