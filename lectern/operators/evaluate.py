@@ -97,7 +97,7 @@ def score_pairs(specs: DataFrame, signatures: DataFrame, violations: DataFrame |
     """spec, type, subtlety, prerequisite, dependent, detected, n_new (and direct_edge, whether
     the injected pair is a violation over a direct edge, if violations are given)."""
     new = new_signatures(signatures).select("spec", F.col("prerequisite").alias("p"), F.col("dependent").alias("d"))
-    match = names_match(F.col("prerequisite"), F.col("p")) & names_match(F.col("dependent"), F.col("d"))
+    match = F.col("p").isNotNull() & names_match(F.col("prerequisite"), F.col("p")) & names_match(F.col("dependent"), F.col("d"))
     own = ["spec", "type", "subtlety", "prerequisite", "dependent"]
     scored = specs.join(new, "spec", "left").groupBy(*own).agg(
         F.coalesce(F.max(match & (F.col("type") != "placebo")), F.lit(False)).alias("detected"), F.count("p").alias("n_new"), F.array_sort(F.collect_set(F.struct("p", "d"))).alias("new_pairs"),
@@ -182,10 +182,10 @@ def merge_overrides(overrides: DataFrame, decisions: DataFrame) -> DataFrame:
     """Overrides with further merge groups (the same members in any order are one group) and
     excluded names."""
     both = overrides.select("split_groups", "merge_groups", "exclude", F.monotonically_increasing_id().alias("one")).join(decisions.select(F.col("merge_groups").alias("mg"), F.col("exclude").alias("ex")))
-    known = F.transform("merge_groups", F.array_sort)
+    known = F.transform("merge_groups", lambda g: F.array_sort(g))
     new = F.filter(F.coalesce("mg", F.array().cast("array<array<string>>")), lambda g: ~F.array_contains(known, F.array_sort(g)))
     # Of new groups with the same members the first stays.
-    kept = F.filter(F.transform(new, lambda g, i: F.struct(g.alias("g"), i.alias("i"))), lambda x: F.array_position(F.transform(new, F.array_sort), F.array_sort(x["g"])) == x["i"] + 1)
+    kept = F.filter(F.transform(new, lambda g, i: F.struct(g.alias("g"), i.alias("i"))), lambda x: F.array_position(F.transform(new, lambda g: F.array_sort(g)), F.array_sort(x["g"])) == x["i"] + 1)
     names = F.array_sort(F.array_union("exclude", F.coalesce("ex", F.array().cast("array<string>"))))
     return both.select("split_groups", F.concat("merge_groups", F.transform(kept, lambda x: x["g"])).alias("merge_groups"), names.alias("exclude"))
 

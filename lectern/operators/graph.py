@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import checkpointed
+from lectern.session import Scratch
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: DataFrame | None = None) -> DataFrame:
@@ -16,19 +16,22 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", n
     if given, from `nodes` (one column). Loops, repeated edges and nulls in edges are ignored.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
-    both = checkpointed(pairs.union(pairs.select("b", "a")).distinct())
+    scratch = Scratch(edges.sparkSession)
+    both = scratch.save(pairs.union(pairs.select("b", "a")).distinct())
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
-    labels = checkpointed(labels)
+    labels = scratch.save(labels)
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         target = labels.select(F.col("node").alias("t"), F.col("label").alias("jump"))
         step = step.join(target, step.label == target.t, "left").select("node", "old", F.least("label", "jump").alias("label"))
-        step = checkpointed(step)
+        step = scratch.save(step)
         changed = not step.where("label <> old").isEmpty()
         labels = step.select("node", "label")
+        scratch.drop(both, step)
         if not changed:
             break
+    scratch.drop(step)
     found = labels.select("node", F.col("label").alias("component"))
     if nodes is None:
         return found
@@ -42,14 +45,17 @@ def transitive_closure(edges: DataFrame, src: str = "src", dst: str = "dst") ->
     Semi-naive: only the pairs found by the step before are joined again with the edges.
     """
     step = edges.select(F.col(src).alias("f"), F.col(dst).alias("t")).where("f is not null and t is not null").distinct()
-    known = frontier = checkpointed(step)
+    scratch = Scratch(edges.sparkSession)
+    first = known = frontier = scratch.save(step)
     arcs = known.select(F.col("f").alias("m"), F.col("t").alias("n"))
     while True:
         longer = frontier.join(arcs, frontier.t == arcs.m).select("f", F.col("n").alias("t")).distinct()
-        frontier = checkpointed(longer.join(known, ["f", "t"], "left_anti"))
+        frontier = scratch.save(longer.join(known, ["f", "t"], "left_anti"))
         if frontier.isEmpty():
+            scratch.drop(known)
             return known
-        known = checkpointed(known.unionByName(frontier))
+        known = scratch.save(known.unionByName(frontier))
+        scratch.drop(first, known, frontier)
 
 
 def ancestors(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -73,20 +79,22 @@ def pagerank(
     arcs = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s is not null and d is not null").distinct()
     own = nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
     degree = arcs.groupBy("s").agg(F.count("*").alias("out"))
-    flow = checkpointed(
+    scratch = Scratch(edges.sparkSession)
+    flow = scratch.save(
         own.join(arcs, own.node == arcs.s, "left").join(degree, "s", "left").select("node", "d", F.coalesce("out", F.lit(1)).alias("out"))
     )
     n = own.count()
-    ranks = checkpointed(own.select("node", F.lit(1.0 / n if n else 0.0).alias("rank")))
+    ranks = scratch.save(own.select("node", F.lit(1.0 / n if n else 0.0).alias("rank")))
     for step in range(max_steps):
         sent = flow.join(ranks, "node").groupBy("d").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        sent = checkpointed(sent)
+        sent = scratch.save(sent)
         loose = sent.where("d is null").agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("v")).first().v
         base = (1.0 - damping) / n + damping * loose / n if n else 0.0
         new = ranks.join(sent, ranks.node == sent.d, "left").select(
             "node", F.col("rank").alias("old"), (F.lit(base) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank")
         )
-        new = checkpointed(new)
+        new = scratch.save(new)
+        scratch.drop(flow, new)
         if tolerance is not None:
             moved = new.agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("old"))), F.lit(0.0)).alias("v")).first().v
             if moved < n * tolerance:
@@ -111,7 +119,8 @@ def simple_cycles(edges: DataFrame, max_len: int, src: str = "src", dst: str = "
     arcs = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s is not null and d is not null").distinct()
     closed = transitive_closure(arcs, "s", "d")
     back = closed.select(F.col("f").alias("d"), F.col("t").alias("s"))
-    arcs = checkpointed(arcs.join(back, ["s", "d"], "left_semi"))
+    scratch = Scratch(edges.sparkSession)
+    arcs = scratch.save(arcs.join(back, ["s", "d"], "left_semi"))
     paths = arcs.where("s <= d").select(F.array("s", "d").alias("path"))
     loops = paths.where(F.col("path")[0] == F.col("path")[1]).select(F.slice("path", 1, 1).alias("path"))
     open_ = paths.where(F.col("path")[0] < F.col("path")[1])
@@ -119,7 +128,7 @@ def simple_cycles(edges: DataFrame, max_len: int, src: str = "src", dst: str = "
     for size in range(2, max_len + 1):
         last: Column = F.element_at("path", -1)
         grown = open_.join(arcs, last == arcs.s).select("path", "d")
-        grown = checkpointed(grown.where((F.col("d") == F.col("path")[0]) | ((F.col("d") > F.col("path")[0]) & ~F.array_contains("path", F.col("d")))))
+        grown = scratch.save(grown.where((F.col("d") == F.col("path")[0]) | ((F.col("d") > F.col("path")[0]) & ~F.array_contains("path", F.col("d")))))
         found = found.unionByName(grown.where(F.col("d") == F.col("path")[0]).select("path"))
         open_ = grown.where(F.col("d") != F.col("path")[0]).select(F.concat("path", F.array("d")).alias("path"))
         if size == max_len or open_.isEmpty():

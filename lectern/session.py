@@ -40,11 +40,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df, written as a table in the shared folder and read again.
+class Scratch:
+    """Tables that the steps of one operator write in the shared folder and read again.
 
-    Later steps read only the columns they need, and a lost executor costs a reread.
+    Unlike a checkpoint, a table has a size of its own: a plan over a loop's tables is as small
+    as its first one's, and joins are planned by what is there. `drop` deletes all tables but
+    those that the result reads.
     """
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def save(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/tables/{uuid4().hex}"
+        df.write.parquet(path)
+        made = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(made)] = (path, made)
+        return made
+
+    def drop(self, *keep: DataFrame) -> None:
+        kept = {id(df) for df in keep}
+        sc = self.spark.sparkContext
+        for key in [k for k in self.paths if k not in kept]:
+            place = sc._jvm.org.apache.hadoop.fs.Path(self.paths.pop(key)[0])
+            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df, written as a table in the shared folder and read again."""
+    return Scratch(df.sparkSession).save(df)

@@ -49,7 +49,7 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_markdown(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
     """file_name, lecture_id (the stem), lecture_order, text; stems without a number are left out."""
-    read = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
+    read = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
     named = read.select(_name().alias("file_name"), _stem().alias("lecture_id"), F.col("value").alias("text"))
     return named.withColumn("lecture_order", lecture_number(F.col("lecture_id"))).where("lecture_order is not null").orderBy("file_name")
 
