@@ -21,7 +21,7 @@ COMMON, COMMON_ROWS = 32, 2_000_000
 #: Shingles that a task counts before it sends those met twice.
 COUNTED = 3_000_000
 #: Blocks from these sizes get an R-tree, and meet a hub first; others are compared whole.
-TREE_FROM, HUB_FROM, FANOUT, NEAREST_ROUNDS = 17, 8, 16, 2
+TREE_FROM, HUB_FROM, FANOUT, NEAREST_ROUNDS = 17, 8, 16, 1
 #: Pairs or ids of classes, and bytes of sets, that a broadcast may hold; more are joined.
 BROADCAST_IDS, BROADCAST_BYTES = 1_000_000, 16 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -170,7 +170,8 @@ def common_shingles(counted: DataFrame) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """key, cls, n, m: the classes that share a prefix shingle with another; m share it."""
+    """key, cls, n, i, m: the classes that share a prefix shingle with another, which is the
+    i-th of the prefix; m share it."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def make():
@@ -192,34 +193,34 @@ def _blocks(docs: DataFrame, common: np.ndarray) -> DataFrame:
             many = [len(k) for k in keys]
             return {
                 "key": pa.array(np.concatenate(keys).view(np.int64)), "cls": pa.array(np.repeat(np.array(ids, np.int64), many)),
-                "n": pa.array(np.repeat(np.array(sizes, np.int32), many)),
+                "n": pa.array(np.repeat(np.array(sizes, np.int32), many)), "i": pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in many])),
             }
 
         return step
 
-    rows = map_batches(docs.select(utf8().alias("text")), "key long, cls long, n int", make)
+    rows = map_batches(docs.select(utf8().alias("text")), "key long, cls long, n int, i int", make)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fields = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("m", pa.int32())])
+    fields = pa.schema([("key", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("i", pa.int32()), ("m", pa.int32())])
 
     def meet(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        key, cls, n = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(3))
+        key, cls, n, at = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(4))
         got.clear()
         order = np.lexsort((cls, key))
-        key, cls, n = key[order], cls[order], n[order]
+        key, cls, n, at = key[order], cls[order], n[order], at[order]
         first = np.ones(len(key), bool)
         first[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        key, cls, n = key[first], cls[first], n[first]
+        key, cls, n, at = key[first], cls[first], n[first], at[first]
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         m = np.diff(np.append(starts, len(key)))
         m = np.repeat(m, m).astype(np.int32)
         keep = m > 1
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, cls, n, m)], schema=fields)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, cls, n, at, m)], schema=fields)
 
-    return rows.repartition(parts, "key").mapInArrow(meet, "key long, cls long, n int, m int")
+    return rows.repartition(parts, "key").mapInArrow(meet, "key long, cls long, n int, i int, m int")
 
 
 def _hubs(blocks: DataFrame) -> DataFrame:
@@ -239,12 +240,25 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
     return n - (-(-n * PERCENT // 100)) + 1
 
 
+def lengths(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sets of a and b members: how far into their prefixes they are compared, and how many
+    shingles they must share there to link.
+
+    Beyond the shared ones there, at most the rest of one set is common. The further they
+    are compared, the more they must share.
+    """
+    most = needed(a, b)
+    more = most // 20
+    x, y = np.minimum(a - most + 1 + more, prefix_size(a)), np.minimum(b - most + 1 + more, prefix_size(b))
+    return x, y, most - np.maximum(a - x, b - y)
+
+
 def _cross_pairs(blocks: DataFrame, classes: DataFrame, labels: DataFrame | None, nearest: bool = False) -> DataFrame:
     """a, b: pairs of classes that meet in blocks, not yet in one component, that may link.
 
     A pair must pass the bound of its points, found by the trees of its blocks, and share
-    enough of its prefixes: beyond the shared ones, at most the rest of one set is common.
-    nearest: of large blocks alone, and for each class only the pair of the greatest bound.
+    enough of its prefixes (`lengths`). nearest: of large blocks alone, and for each class
+    only the pair of the greatest bound.
     """
     if nearest:
         blocks = blocks.where(F.col("m") >= TREE_FROM)
@@ -253,7 +267,7 @@ def _cross_pairs(blocks: DataFrame, classes: DataFrame, labels: DataFrame | None
     if labels is not None:
         rows = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
         label = F.coalesce("component", "cls")
-    rows = rows.select("key", "cls", "n", "point", label.alias("label"))
+    rows = rows.select("key", "cls", "n", "i", "point", label.alias("label"))
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fields = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("least", pa.int32()), ("c", pa.int32())])
 
@@ -261,36 +275,49 @@ def _cross_pairs(blocks: DataFrame, classes: DataFrame, labels: DataFrame | None
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        key, cls, n, label = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in (0, 1, 2, 4))
-        points = [p for b in got for p in b.column(3).to_pylist()]
+        key, cls, n, rank, label = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in (0, 1, 2, 3, 5))
+        points = [p for b in got for p in b.column(4).to_pylist()]
         got.clear()
         cls, first, own = np.unique(cls, return_index=True, return_inverse=True)
         at, n = counts_of([points[i] for i in first.tolist()]), n[first].astype(np.int64)
         del points
         label = np.unique(label[first], return_inverse=True)[1]
-        own = own[np.argsort(key, kind="stable")]
-        key = np.sort(key)
+        order = np.argsort(key, kind="stable")
+        own, rank, key = own[order], rank[order], key[order]
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.append(starts, len(key)))
         codes, held = [], 0
 
-        def out(codes: list[np.ndarray]) -> pa.RecordBatch:
+        def met(x: np.ndarray, y: np.ndarray) -> None:
+            """Notes pairs of rows that meet within the lengths compared."""
+            nonlocal held
+            a, b = own[x], own[y]
+            low, high, _ = lengths(n[a], n[b])
+            fit = (label[a] != label[b]) & (np.minimum(n[a], n[b]) * 100 >= PERCENT * np.maximum(n[a], n[b])) & (rank[x] < low) & (rank[y] < high)
+            a, b = a[fit], b[fit]
+            codes.append(np.minimum(a, b) * len(cls) + np.maximum(a, b))
+            held += len(a)
+
+        def out() -> pa.RecordBatch:
+            nonlocal held
             code, c = np.unique(np.concatenate(codes), return_counts=True)
+            codes.clear()
+            held = 0
             a, b = code // len(cls), code % len(cls)
             keep = _possible(at, n, a, b)
             a, b, c = a[keep], b[keep], c[keep]
-            least = needed(n[a], n[b]) - np.maximum(n[a] - prefix_size(n[a]), n[b] - prefix_size(n[b]))
+            return made(a, b, lengths(n[a], n[b])[2], c)
+
+        def made(a, b, least, c) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((cls[a], cls[b], least, c), fields, strict=True)], schema=fields)
 
+        best: dict[int, tuple[int, int]] = {}
         for m in np.unique(sizes).tolist():
             of_size = starts[sizes == m]
             if 1 < m < TREE_FROM:
-                block = own[of_size[:, None] + np.arange(m)]
+                block = of_size[:, None] + np.arange(m)
                 for i, j in zip(*np.triu_indices(m, 1), strict=True):
-                    a, b = np.minimum(block[:, i], block[:, j]), np.maximum(block[:, i], block[:, j])
-                    fit = (label[a] != label[b]) & (np.minimum(n[a], n[b]) * 100 >= PERCENT * np.maximum(n[a], n[b]))
-                    codes.append(a[fit] * len(cls) + b[fit])
-                    held += len(codes[-1])
+                    met(block[:, i], block[:, j])
             elif m > 1:
                 for s in of_size.tolist():
                     mine = own[s : s + m]
@@ -299,26 +326,26 @@ def _cross_pairs(blocks: DataFrame, classes: DataFrame, labels: DataFrame | None
                     tree = CountTree(at[mine], n[mine], label[mine])
                     for i in range(m):
                         near = tree.partners(i)
-                        if nearest and len(near):
-                            near = near[[np.minimum(tree.points[near], tree.points[i]).sum(axis=1).argmax()]]
-                            near = mine[near]
-                        else:
-                            near = mine[near[near > i]]
-                        codes.append(np.minimum(near, mine[i]) * len(cls) + np.maximum(near, mine[i]))
-                        held += len(near)
+                        if not nearest:
+                            near = near[near > i]
+                            met(np.full(len(near), s + i), s + near)
+                        elif len(near):
+                            bound = np.minimum(tree.points[near], tree.points[i]).sum(axis=1) - needed(n[mine[near]], n[mine[i]])
+                            k = int(bound.argmax())
+                            best[int(mine[i])] = max(best.get(int(mine[i]), (-1, -1)), (int(bound[k]), int(mine[near[k]])))
                     if held > 2_000_000:
-                        yield out(codes)
-                        codes, held = [], 0
+                        yield out()
             if held > 2_000_000:
-                yield out(codes)
-                codes, held = [], 0
+                yield out()
         if held:
-            yield out(codes)
+            yield out()
+        if best:
+            yield made(np.array(list(best)), np.array([b for _, b in best.values()]), np.array([v for v, _ in best.values()]), np.ones(len(best)))
 
-    made = rows.repartition(parts, "key").mapInArrow(compare, "a long, b long, least int, c int")
+    found = rows.repartition(parts, "key").mapInArrow(compare, "a long, b long, least int, c int")
     if nearest:
-        return made.select("a", "b").distinct()
-    return made.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("least").alias("least")).where("c >= least").select("a", "b")
+        return found.groupBy("a").agg(F.max_by("b", F.struct("least", "b")).alias("b"))
+    return found.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("least").alias("least")).where("c >= least").select("a", "b")
 
 
 def _possible(at: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
