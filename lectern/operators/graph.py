@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from lectern.session import Scratch
 
 
+#: Labels that a broadcast may hold; more are joined by shuffles.
+BROADCAST_NODES = 500_000
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: DataFrame | None = None) -> DataFrame:
     """node, component: the smallest node that undirected edges lead to.
 
@@ -20,11 +24,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", n
     both = scratch.save(pairs.union(pairs.select("b", "a")).distinct())
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
     labels = scratch.save(labels)
+    small = F.broadcast if labels.count() <= BROADCAST_NODES else lambda df: df
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = both.join(small(labels), both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
+        step = near.join(small(labels), labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         target = labels.select(F.col("node").alias("t"), F.col("label").alias("jump"))
-        step = step.join(target, step.label == target.t, "left").select("node", "old", F.least("label", "jump").alias("label"))
+        step = step.join(small(target), step.label == target.t, "left").select("node", "old", F.least("label", "jump").alias("label"))
         step = scratch.save(step)
         changed = not step.where("label <> old").isEmpty()
         labels = step.select("node", "label")

@@ -116,18 +116,32 @@ def keyed_extractions(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
+def read_injected(spark: SparkSession, path: str) -> DataFrame:
+    """spec, lecture_id, concepts, prerequisites: extractions in folders named by their spec."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], f"spec string, {EXTRACTION}")
+    read = spark.read.schema(EXTRACTION).option("multiLine", True).json(path)
+    return read.select(_folder().alias("spec"), "lecture_id", "concepts", "prerequisites")
+
+
+def _folder() -> Column:
+    return F.element_at(F.split("_metadata.file_path", "/"), -2)
+
+
+def read_runs(spark: SparkSession, path: str, with_folder: bool = False) -> DataFrame:
     """lecture_id, run, prerequisites of repeated edge runs; unreadable files are left out.
 
-    Files are named <lecture>.<kind>.run<k>.json; k is the run.
+    Files are named <lecture>.<kind>.run<k>.json; k is the run. with_folder: also spec, the
+    name of a file's folder.
     """
+    folder = ["spec"] if with_folder else []
     if not _exists(spark, path):
-        return spark.createDataFrame([], f"lecture_id string, run int, prerequisites array<{EDGE}>")
+        return spark.createDataFrame([], ", ".join([*[f"{c} string" for c in folder], f"lecture_id string, run int, prerequisites array<{EDGE}>"]))
     schema = f"lecture_id string, prerequisites array<{EDGE}>, _corrupt_record string"
     read = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    rows = read.withColumns({"run": F.regexp_extract(_name(), r"run([0-9]+)\.json\z", 1).try_cast("int"), "first": F.regexp_extract(_name(), r"^(.*?)\.", 1)})
+    rows = read.withColumns({"run": F.regexp_extract(_name(), r"run([0-9]+)\.json\z", 1).try_cast("int"), "first": F.regexp_extract(_name(), r"^(.*?)\.", 1), "spec": _folder()})
     return rows.where("_corrupt_record is null and run is not null").select(
-        F.coalesce("lecture_id", "first").alias("lecture_id"), "run", F.coalesce("prerequisites", F.array().cast(f"array<{EDGE}>")).alias("prerequisites")
+        *folder, F.coalesce("lecture_id", "first").alias("lecture_id"), "run", F.coalesce("prerequisites", F.array().cast(f"array<{EDGE}>")).alias("prerequisites")
     )
 
 
@@ -164,7 +178,7 @@ def read_direct(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], f"id string, {schema}")
     names = [f.split()[0] for f in schema.split(", ")]
     read = spark.read.schema(schema).option("multiLine", True).json(path)
-    return read.select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("id"), *names)
+    return read.select(_folder().alias("id"), *names)
 
 
 def read_counts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
