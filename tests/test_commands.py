@@ -16,7 +16,7 @@ def folder(tmp_path_factory, spark):
     for name in ("units", "extraction", "dedicated_edges", "injections"):
         (root / name).mkdir()
     for n, (lid, order) in enumerate(fx.MANIFEST):
-        (root / "notes" / f"{lid}.md").write_text(f"# L{order}\n## One\nAlpha text {n}\n## Two\nsee [Delta](delta.md)\n", encoding="utf-8")
+        (root / "notes" / f"{lid}.md").write_text(f"# L{order}\n## One\nAlpha text {n}\n## Two\nplain\n## Three\nsee [Delta](delta.md)\n", encoding="utf-8")
         concepts = [{"name": c, "aliases": a, "definition": d, "first_mentioned_unit": u, "role": r} for x, c, a, r, u, d in fx.OCCURRENCES if x == lid]
         edges = [{"from": f, "to": t, "reason": "", "evidence_unit": u} for x, f, t, u in fx.EDGES if x == lid]
         (root / "extraction" / f"{lid}.json").write_text(json.dumps({"lecture_id": lid, "concepts": concepts, "prerequisites": edges}, ensure_ascii=False), encoding="utf-8")
