@@ -10,13 +10,14 @@ from lectern.llm.bpe import op6_bpe
 from lectern.llm.decontaminate import op5_decontaminate
 from lectern.llm.fingerprint import op10_fingerprints
 from lectern.llm.html import op1_html
+from lectern.llm.jaccard import op9_jaccard
 from lectern.llm.language import op8_language
 from lectern.llm.licenses import op2_licenses
+from lectern.llm.oracles import OP5_SQL, OP9_SQL
+from lectern.llm.suffixes import op3_suffixes
 from lectern.llm.token_counts import op7_token_counts
 from lectern.llm.warc import OP4_SQL, op4_warc
 
-from lectern.llm.jaccard import op9_jaccard
-from lectern.llm.suffixes import op3_suffixes
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_licenses": op2_licenses,
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES: dict[str, str] = {"op4_warc": OP4_SQL}
+ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_jaccard": OP9_SQL}
