@@ -21,8 +21,8 @@ FOLDS, HELD_OUT = 3, 1
 #: words; features are hashed to 2 ** TABLE_BITS rows; each language's lexicon is bounded.
 SAMPLE_DOCS, SAMPLE_WORDS, TABLE_BITS, LEXICON_WORDS = 3000, 256, 18, 2000
 SPAN, BATCH, STEPS, RATE = 32, 64, 900, 0.3
-#: Words whose scores a task keeps, and words labelled at once.
-CACHED_WORDS, STEP_WORDS = 200_000, 400_000
+#: Words whose scores a task keeps, words labelled at once, and words scored at once.
+CACHED_WORDS, STEP_WORDS, SCORED_WORDS = 200_000, 300_000, 10_000
 
 
 def words(text: str | None) -> list[str]:
@@ -147,7 +147,9 @@ class Predictor:
             first = len(known)
             if first + len(new) > len(self.table):
                 self.table = np.concatenate((self.table, np.empty((first + 2 * len(new), self.table.shape[1]))))
-            self.table[first : first + len(new)] = self.model.scores(new)
+            for s in range(0, len(new), SCORED_WORDS):
+                part = new[s : s + SCORED_WORDS]
+                self.table[first + s : first + s + len(part)] = self.model.scores(part)
             known.update(zip(new, range(first, first + len(new)), strict=True))
         lengths = np.fromiter(map(len, split), np.int64, len(split))
         out, score = [UNKNOWN] * len(split), [0.0] * len(split)
