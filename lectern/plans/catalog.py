@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import stats, text
 from lectern.operators import detect, evaluate, graph, keyword, quality, resolve, segment
 from lectern.operators.concept_graph import last_edge
-from lectern.operators.consensus import vote
+from lectern.operators.consensus import vote, vote_edges
 from lectern.operators.inject import numbered
 from lectern.plans import course as c
 from lectern.plans.course import OCC_SQL, STATED_SQL, UNITS_SQL
@@ -444,3 +444,57 @@ def click_before_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, kind = c.table(spark, sf_dir, "events"), F.col("event_type")
     found = detect.earliest_before(events, ["user_id"], F.struct("ts", "event_id"), kind == "view", kind == "click")
     return found.select("user_id", F.col("used_at.event_id").alias("used_event"), F.col("intro.event_id").alias("intro_event"), "n_used_before")
+
+
+# Smaller pieces ----------------------------------------------------------------------------
+
+
+@query(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '\*\*([^*\n]{3,60})\*\*', 1)) AS raw FROM documents)
+SELECT trim(raw) AS term, count(DISTINCT doc_id) AS n_docs FROM t GROUP BY 1""")
+def bold_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans between double stars and the documents that hold them."""
+    docs = c.table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(keyword.BOLD), F.lit(1))).alias("raw"))
+    return found.groupBy(text.strip("raw").alias("term")).agg(F.count_distinct("doc_id").alias("n_docs"))
+
+
+@query(f"WITH {STATED_SQL} SELECT (SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM stated) AS n_stated")
+def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = c.edges(spark, sf_dir)
+    nodes = edges.select("src").union(edges.select("dst")).agg(F.count_distinct("src").alias("n_nodes"))
+    return nodes.join(edges.agg(F.count("*").alias("n_edges"))).join(c.stated_edges(spark, sf_dir).agg(F.count("*").alias("n_stated")))
+
+
+@query("""WITH g AS (SELECT p_name AS name, string_agg(DISTINCT p_brand, ', ' ORDER BY p_brand) AS aliases FROM part GROUP BY 1) SELECT '- ' || name || ' (' || aliases || ')' AS line FROM g""")
+def vocabulary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names with their brands as aliases, as lines of a vocabulary."""
+    rows = c.table(spark, sf_dir, "part").groupBy("p_name").agg(F.array_sort(F.collect_set("p_brand")).alias("aliases"))
+    return rows.select(text.vocabulary_line(F.col("p_name"), F.col("aliases")).alias("line"))
+
+
+@query(f"""WITH g AS (SELECT d.lang, sum(l.quality)::DOUBLE AS k, count(*)::DOUBLE AS n FROM labels l JOIN documents d USING (doc_id) GROUP BY 1),
+w AS (SELECT *, k / n AS p, 1 + {_Z} * {_Z} / n AS width FROM g)
+SELECT lang, printf('%d/%d = %.3f, 95%% Wilson CI %.3f-%.3f', k::BIGINT, n::BIGINT, p, greatest(0, ((p + {_Z} * {_Z} / (2 * n)) / width) - {_Z} * sqrt(p * (1 - p) / n + {_Z} * {_Z} / (4 * n * n)) / width),
+  least(1, ((p + {_Z} * {_Z} / (2 * n)) / width) + {_Z} * sqrt(p * (1 - p) / n + {_Z} * {_Z} / (4 * n * n)) / width)) AS line FROM w""")
+def described_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = c.table(spark, sf_dir, "labels").join(c.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    counts = rows.groupBy("lang").agg(F.sum("quality").cast("long").alias("k"), F.count("*").alias("n"))
+    return counts.select("lang", stats.describe(F.col("k"), F.col("n")).alias("line"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS r, lag(turn) OVER (PARTITION BY conv_id, role ORDER BY turn) AS before FROM conversations)
+SELECT conv_id, turn, role, before FROM s WHERE r > 1""")
+def repeated_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns after the first of a role in their conversation, with the turn before."""
+    rows = c.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return quality.repeated(rows, ["conv_id", "role"], ["turn"])
+
+
+@query("""SELECT o_orderstatus AS lecture, o_orderpriority AS concept, count(DISTINCT o_custkey) AS votes, arg_min(o_orderkey, (o_custkey, o_orderkey)) AS representative FROM orders GROUP BY 1, 2 HAVING count(DISTINCT o_custkey) >= 3""")
+def vote_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes of customers, as runs, for the priority of an order, as an edge; the first stands for all."""
+    orders = c.table(spark, sf_dir, "orders")
+    edge = F.array(F.struct(F.col("o_orderpriority").alias("from"), F.lit("x").alias("to"), F.col("o_orderkey").cast("string").alias("reason"), F.lit("").alias("evidence_unit")))
+    runs = orders.groupBy("o_orderstatus", "o_custkey").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", edge.alias("e")))), lambda x: x["e"])).alias("prerequisites"))
+    runs = runs.select(F.col("o_orderstatus").alias("lecture_id"), F.col("o_custkey").alias("run"), "prerequisites")
+    return vote_edges(runs, 3).select(F.col("lecture_id").alias("lecture"), F.col("from").alias("concept"), "votes", F.col("reason").cast("long").alias("representative"))
