@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import stats, text
 from lectern.operators import detect, evaluate, graph, keyword, quality, resolve, segment
-from lectern.operators.concept_graph import last_edge
+from lectern.operators.concept_graph import build_nodes, last_edge
 from lectern.operators.consensus import vote, vote_edges
 from lectern.operators.inject import numbered
 from lectern.plans import course as c
@@ -498,3 +498,43 @@ def vote_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = orders.groupBy("o_orderstatus", "o_custkey").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", edge.alias("e")))), lambda x: x["e"])).alias("prerequisites"))
     runs = runs.select(F.col("o_orderstatus").alias("lecture_id"), F.col("o_custkey").alias("run"), "prerequisites")
     return vote_edges(runs, 3).select(F.col("lecture_id").alias("lecture"), F.col("from").alias("concept"), "votes", F.col("reason").cast("long").alias("representative"))
+
+
+# The whole chain, from extractions to detectors ----------------------------------------------
+
+
+def _conversation_course(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graph nodes of conversations as lectures, whose turns are units and whose words are
+    extracted concepts."""
+    occ = c.occurrences(spark, sf_dir)
+    role = F.when(c.introduced(), "introduced").otherwise("used")
+    unit = F.format_string("%02d#%02d", F.col("conv_id"), F.col("turn"))
+    concept = F.struct(
+        F.col("concept").alias("name"), F.array().cast("array<string>").alias("aliases"), F.when(c.introduced(), "d").otherwise("").alias("definition"), unit.alias("first_mentioned_unit"), role.alias("role"),
+    )
+    lectures = occ.groupBy("conv_id").agg(F.collect_list(concept).alias("concepts"))
+    none = F.array().cast("array<struct<`from`:string,`to`:string,reason:string,evidence_unit:string>>")
+    extractions = lectures.select(F.lit(evaluate.CLEAN).alias("spec"), F.col("conv_id").cast("string").alias("lecture_id"), "concepts", none.alias("prerequisites"), F.col("conv_id").alias("pos"))
+    manifest = c.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("lecture_id"), F.col("conv_id").cast("int").alias("lecture_order")).distinct()
+    return build_nodes(resolve.resolve(extractions, manifest, read_overrides(spark)).concepts)
+
+
+@query(f"""WITH {OCC_SQL},
+t AS (SELECT concept, min((conv_id, turn)) FILTER (role = 'assistant') AS intro, min((conv_id, turn)) FILTER (role = 'user') AS used FROM occ GROUP BY 1)
+SELECT t.concept, t.used[1] AS used_conv, t.intro[1] AS intro_conv, count(*) AS n_used_before
+FROM t JOIN occ o ON o.concept = t.concept AND o.role = 'user' AND (o.conv_id, o.turn) < t.intro WHERE t.used < t.intro GROUP BY ALL""")
+def course_used_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.used_before_introduction(_conversation_course(spark, sf_dir))
+    return found.select("concept", F.col("used_lecture").cast("long").alias("used_conv"), F.col("introduced_lecture").cast("long").alias("intro_conv"), F.col("n_used_before").cast("long").alias("n_used_before"))
+
+
+@query(f"WITH {OCC_SQL} SELECT concept, count(*) AS n_used, min((conv_id, turn))[1] AS first_conv FROM occ GROUP BY 1 HAVING count(*) FILTER (role = 'assistant') = 0 AND count(*) FILTER (role = 'user') > 0")
+def course_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.orphan_concepts(_conversation_course(spark, sf_dir))
+    return found.select("concept", F.col("n_used").cast("long").alias("n_used"), F.col("first_used_lecture").cast("long").alias("first_conv"))
+
+
+@query(f"""WITH {OCC_SQL} SELECT concept, count(*) AS definition_count, count(DISTINCT conv_id) AS lecture_count FROM occ WHERE role = 'assistant' GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT conv_id) >= 2""")
+def course_definition_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.definition_conflicts(_conversation_course(spark, sf_dir))
+    return found.select("concept", F.col("definition_count").cast("long").alias("definition_count"), F.col("lecture_count").cast("long").alias("lecture_count"))
