@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from lectern.session import Scratch
 
 #: Labels that a broadcast may hold; more are joined by shuffles.
 BROADCAST_NODES = 500_000
+#: Paths of two edges above which a closure first takes the pairs by way of one node.
+DENSE = 2_000_000
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: DataFrame | None = None) -> DataFrame:
@@ -44,14 +48,44 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", n
     return own.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def transitive_closure(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def reached(arcs: DataFrame, start: DataFrame, scratch: Scratch, f: str, t: str) -> DataFrame:
+    """x of the nodes to which a path of one arc or more leads from start (one column, x)."""
+    step = arcs.select(F.col(f).alias("x"), F.col(t).alias("y"))
+    known = frontier = scratch.save(step.join(F.broadcast(start), "x").select(F.col("y").alias("x")).distinct())
+    while True:
+        near = step.join(frontier, "x").select(F.col("y").alias("x")).distinct()
+        frontier = scratch.save(near.join(known, "x", "left_anti"))
+        if frontier.isEmpty():
+            return known
+        known = scratch.save(known.unionByName(frontier))
+
+
+def transitive_closure(edges: DataFrame, src: str = "src", dst: str = "dst", dense: int = DENSE) -> DataFrame:
     """f, t: every pair joined by a path of one edge or more, (x, x) on cycles included.
 
-    Semi-naive: only the pairs found by the step before are joined again with the edges.
+    Semi-naive: only the pairs found by the step before are joined again with the edges. With
+    more than `dense` paths of two edges, all pairs by way of one busy node come first: what
+    reaches it, times what it reaches. Any other path starts outside the one or ends outside
+    the other, and so do all its edges; only those are joined.
     """
     step = edges.select(F.col(src).alias("f"), F.col(dst).alias("t")).where("f is not null and t is not null").distinct()
     scratch = Scratch(edges.sparkSession)
     first = known = frontier = scratch.save(step)
+    ways = first.groupBy(F.col("t").alias("x")).agg(F.count("*").alias("n_in")).join(first.groupBy(F.col("f").alias("x")).agg(F.count("*").alias("n_out")), "x")
+    ways = scratch.save(ways.select("x", (F.col("n_in") * F.col("n_out")).alias("n")))
+    if (ways.agg(F.sum("n")).first()[0] or 0) > dense:
+        busy = ways.orderBy(F.desc("n"), "x").limit(1).select("x")
+        before = reached(first, busy, scratch, "t", "f").union(busy).distinct()
+        after = reached(first, busy, scratch, "f", "t")
+        # The busy node itself is a start; it is an end only if it is on a cycle.
+        ends = scratch.save(before.select(F.col("x").alias("f"))), scratch.save(after.select(F.col("x").alias("t")))
+        through = ends[0].crossJoin(F.broadcast(ends[1]))
+        rest = scratch.save(first.join(ends[0], "f", "left_anti").select("f", "t").union(first.join(ends[1], "t", "left_anti").select("f", "t")).distinct())
+        # Again only where that pays.
+        left = transitive_closure(rest, "f", "t", dense if 2 * rest.count() <= first.count() else sys.maxsize)
+        found = scratch.save(through.union(left).distinct())
+        scratch.drop(found)
+        return found
     arcs = known.select(F.col("f").alias("m"), F.col("t").alias("n"))
     while True:
         longer = frontier.join(arcs, frontier.t == arcs.m).select("f", F.col("n").alias("t")).distinct()
@@ -132,11 +166,13 @@ def simple_cycles(edges: DataFrame, max_len: int, src: str = "src", dst: str = "
     found = loops
     for size in range(2, max_len + 1):
         last: Column = F.element_at("path", -1)
-        grown = open_.join(arcs, last == arcs.s).select("path", "d")
-        grown = scratch.save(grown.where((F.col("d") == F.col("path")[0]) | ((F.col("d") > F.col("path")[0]) & ~F.array_contains("path", F.col("d")))))
-        found = found.unionByName(grown.where(F.col("d") == F.col("path")[0]).select("path"))
-        open_ = grown.where(F.col("d") != F.col("path")[0]).select(F.concat("path", F.array("d")).alias("path"))
-        if size == max_len or open_.isEmpty():
+        found = found.unionByName(open_.join(arcs, (last == arcs.s) & (F.col("path")[0] == arcs.d)).select("path"))
+        grown = open_.join(arcs, last == arcs.s).where((F.col("d") > F.col("path")[0]) & ~F.array_contains("path", F.col("d")))
+        open_ = grown.select(F.concat("path", F.array("d")).alias("path"))
+        if size == max_len:
+            break
+        open_ = scratch.save(open_)
+        if open_.isEmpty():
             break
     cut = not open_.isEmpty()
     return found.select("path", F.lit(cut).alias("truncated"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,20 +118,20 @@ def conflict_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {STATED_SQL} SELECT e.src, e.dst FROM edges e JOIN intro a ON a.node = e.src JOIN intro b ON b.node = e.dst WHERE a.at > b.at")
-def prereq_order_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.later_than(c.edges(spark, sf_dir), c.introductions(spark, sf_dir), "node", "at").select("src", "dst")
+def prereq_order_direct(spark: SparkSession, sf_dir: str, stated=c.stated_edges) -> DataFrame:
+    return detect.later_than(c.edges(spark, sf_dir, stated), c.introductions(spark, sf_dir), "node", "at").select("src", "dst")
 
 
 @query(f"WITH RECURSIVE {STATED_SQL}, t(f, t) AS (SELECT src, dst FROM edges UNION SELECT t.f, e.dst FROM t JOIN edges e ON e.src = t.t) SELECT f, t FROM t")
-def transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.transitive_closure(c.edges(spark, sf_dir))
+def transitive_closure(spark: SparkSession, sf_dir: str, stated=c.stated_edges) -> DataFrame:
+    return graph.transitive_closure(c.edges(spark, sf_dir, stated))
 
 
 @query(f"""WITH RECURSIVE {STATED_SQL}, t(f, t) AS (SELECT src, dst FROM edges UNION SELECT t.f, e.dst FROM t JOIN edges e ON e.src = t.t)
 SELECT f AS src, t AS dst, NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = f AND e.dst = t) AS is_transitive
 FROM t JOIN intro a ON a.node = f JOIN intro b ON b.node = t WHERE f <> t AND a.at > b.at""")
-def prereq_order_transitive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = graph.ancestors(c.edges(spark, sf_dir)).select(F.col("f").alias("src"), F.col("t").alias("dst"), F.col("transitive").alias("is_transitive"))
+def prereq_order_transitive(spark: SparkSession, sf_dir: str, stated=c.stated_edges) -> DataFrame:
+    pairs = graph.ancestors(c.edges(spark, sf_dir, stated)).select(F.col("f").alias("src"), F.col("t").alias("dst"), F.col("transitive").alias("is_transitive"))
     return detect.later_than(pairs, c.introductions(spark, sf_dir), "node", "at").select("src", "dst", "is_transitive")
 
 
@@ -146,8 +147,8 @@ def prereq_order_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {STATED_SQL} SELECT src, dst, max((l_orderkey, l_linenumber, date))[1] AS l_orderkey, max((l_orderkey, l_linenumber, date))[2] AS l_linenumber FROM stated GROUP BY 1, 2")
-def edge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return last_edge(c.stated_edges(spark, sf_dir), "src", "dst", ["l_orderkey", "l_linenumber", "date"], ["l_orderkey", "l_linenumber"])
+def edge_last_wins(spark: SparkSession, sf_dir: str, stated=c.stated_edges) -> DataFrame:
+    return last_edge(stated(spark, sf_dir), "src", "dst", ["l_orderkey", "l_linenumber", "date"], ["l_orderkey", "l_linenumber"])
 
 
 _STEPS = 12
@@ -160,18 +161,18 @@ _RANK_SQL = f"WITH {STATED_SQL}, nodes AS (SELECT src AS node FROM edges UNION S
 
 
 @query(f"{_RANK_SQL} SELECT node, round(r / max(r) OVER (), 4) AS importance FROM r{_STEPS}")
-def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fixed number of steps, as on the SQL side."""
-    edges = c.edges(spark, sf_dir)
+def pagerank(spark: SparkSession, sf_dir: str, stated=c.stated_edges, **until) -> DataFrame:
+    """A fixed number of steps, as on the SQL side, unless `until` says otherwise."""
+    edges = c.edges(spark, sf_dir, stated)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    return graph.importance(edges, nodes, max_steps=_STEPS, tolerance=None).select("node", F.round("importance", 4).alias("importance"))
+    return graph.importance(edges, nodes, **(until or {"max_steps": _STEPS, "tolerance": None})).select("node", F.round("importance", 4).alias("importance"))
 
 
 @query(f"""{_RANK_SQL}, o AS (SELECT node, row_number() OVER (ORDER BY round(r / (SELECT max(r) FROM r{_STEPS}), 4) DESC, node DESC) - 1 AS k FROM r{_STEPS})
 SELECT k + 1 AS rank, node, CASE WHEN k < 9 THEN 'conflict' ELSE 'placebo' END AS kind, CASE WHEN k >= 9 THEN 'n/a' ELSE ['blatant', 'medium', 'subtle'][(k % 3 + 1)::INT] END AS subtlety FROM o WHERE k < 12""")
-def top_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def top_targets(spark: SparkSession, sf_dir: str, stated=c.stated_edges, **until) -> DataFrame:
     """The nine most important nodes as targets and the next three as placebos."""
-    ranks = pagerank(spark, sf_dir)
+    ranks = pagerank(spark, sf_dir, stated, **until)
     rows = ranks.orderBy(F.desc("importance"), F.desc("node")).limit(12)
     rows = numbered(rows, [F.desc("importance"), F.desc("node")])
     real = F.col("k") < 9
@@ -180,31 +181,31 @@ def top_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {STATED_SQL}, b AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
 t(node, m) AS (SELECT a, b FROM b UNION SELECT t.node, b.b FROM t JOIN b ON b.a = t.m) SELECT node, least(node, min(m)) AS component FROM t GROUP BY node""")
-def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.connected_components(c.edges(spark, sf_dir))
+def connected_components(spark: SparkSession, sf_dir: str, stated=c.stated_edges) -> DataFrame:
+    return graph.connected_components(c.edges(spark, sf_dir, stated))
 
 
 @query(f"""WITH {STATED_SQL}
 SELECT a.src || '>' || a.dst AS path FROM edges a JOIN edges b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst UNION ALL
 SELECT a.src || '>' || a.dst || '>' || b.dst FROM edges a JOIN edges b ON a.dst = b.src JOIN edges d ON d.src = b.dst AND d.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst""")
-def short_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def short_cycles(spark: SparkSession, sf_dir: str, stated=c.stated_edges) -> DataFrame:
     """Cycles of up to three nodes, from their least node."""
-    return graph.simple_cycles(c.edges(spark, sf_dir), 3).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+    return graph.simple_cycles(c.edges(spark, sf_dir, stated), 3).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 @query(f"""WITH RECURSIVE {STATED_SQL}, t(f, t) AS (SELECT src, dst FROM edges UNION SELECT t.f, e.dst FROM t JOIN edges e ON e.src = t.t) SELECT f AS node FROM t WHERE f = t""")
-def nodes_on_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.strongly_connected(c.edges(spark, sf_dir))
+def nodes_on_cycles(spark: SparkSession, sf_dir: str, stated=c.stated_edges) -> DataFrame:
+    return detect.strongly_connected(c.edges(spark, sf_dir, stated))
 
 
 @query(f"""WITH {STATED_SQL}, last AS (SELECT src, dst, max(date) AS ev FROM stated GROUP BY 1, 2)
 SELECT count(*) FILTER (a.at > b.at) AS old_rule, count(*) FILTER (a.at > ev) AS new_rule, count(*) FILTER (a.at > b.at AND NOT a.at > ev) AS disappear
 FROM last JOIN intro a ON a.node = src JOIN intro b ON b.node = dst""")
-def rule_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rule_difference(spark: SparkSession, sf_dir: str, stated=c.stated_edges) -> DataFrame:
     """How many edges violate by introductions, as anchored, and by the first rule alone."""
-    stated = last_edge(c.stated_edges(spark, sf_dir), "src", "dst", ["date"], ["date"])
+    last = last_edge(stated(spark, sf_dir), "src", "dst", ["date"], ["date"])
     intro = c.introductions(spark, sf_dir)
-    rows = stated.join(intro.select(F.col("node").alias("src"), F.col("at").alias("ai")), "src").join(intro.select(F.col("node").alias("dst"), F.col("at").alias("bi")), "dst")
+    rows = last.join(intro.select(F.col("node").alias("src"), F.col("at").alias("ai")), "src").join(intro.select(F.col("node").alias("dst"), F.col("at").alias("bi")), "dst")
     old, new = F.col("ai") > F.col("bi"), F.col("ai") > F.col("date")
     return rows.agg(F.count_if(old).alias("old_rule"), F.count_if(new).alias("new_rule"), F.count_if(old & ~new).alias("disappear"))
 
@@ -459,10 +460,10 @@ def bold_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {STATED_SQL} SELECT (SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM stated) AS n_stated")
-def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = c.edges(spark, sf_dir)
+def graph_counts(spark: SparkSession, sf_dir: str, stated=c.stated_edges) -> DataFrame:
+    edges = c.edges(spark, sf_dir, stated)
     nodes = edges.select("src").union(edges.select("dst")).agg(F.count_distinct("src").alias("n_nodes"))
-    return nodes.join(edges.agg(F.count("*").alias("n_edges"))).join(c.stated_edges(spark, sf_dir).agg(F.count("*").alias("n_stated")))
+    return nodes.join(edges.agg(F.count("*").alias("n_edges"))).join(stated(spark, sf_dir).agg(F.count("*").alias("n_stated")))
 
 
 @query("""WITH g AS (SELECT p_name AS name, string_agg(DISTINCT p_brand, ', ' ORDER BY p_brand) AS aliases FROM part GROUP BY 1) SELECT '- ' || name || ' (' || aliases || ')' AS line FROM g""")
@@ -500,6 +501,25 @@ def vote_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vote_edges(runs, 3).select(F.col("lecture_id").alias("lecture"), F.col("from").alias("concept"), "votes", F.col("reason").cast("long").alias("representative"))
 
 
+# Prerequisite edges of every line, without SQL -----------------------------------------------
+
+
+def whole_prereq_order_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges whose source first ships after the edge's last statement."""
+    last = last_edge(c.all_stated_edges(spark, sf_dir), "src", "dst", ["l_orderkey", "l_linenumber", "date"], ["date"])
+    first = c.introductions(spark, sf_dir).withColumnRenamed("node", "src")
+    return last.join(first, "src").where("at > date").select("src", "dst")
+
+
+QUERIES["whole_prereq_order_anchored"] = whole_prereq_order_anchored
+for _f in (
+    prereq_order_direct, prereq_order_transitive, transitive_closure, edge_last_wins, connected_components, short_cycles, nodes_on_cycles, rule_difference, graph_counts,
+):
+    QUERIES[f"whole_{_f.__name__}"] = partial(_f, stated=c.all_stated_edges)
+for _f in (pagerank, top_targets):
+    QUERIES[f"whole_{_f.__name__}"] = partial(_f, stated=c.all_stated_edges, max_steps=100, tolerance=1e-6)
+
+
 # The whole chain, from extractions to detectors ----------------------------------------------
 
 

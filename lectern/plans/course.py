@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,17 +34,22 @@ def used() -> Column:
     return F.col("role") == "user"
 
 
-def stated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst, l_orderkey, l_linenumber, date: a supplier of a returned full line, and that of
-    the next line of its order."""
+def all_stated_edges(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
+    """src, dst, l_orderkey, l_linenumber, date: the supplier of every line, and that of the
+    next line of its order. which: a condition on the first of the two."""
     lines = table(spark, sf_dir, "lineitem")
-    a = lines.where("l_quantity = 50 and l_returnflag = 'R'").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("src"), F.col("l_shipdate").alias("date"))
+    a = lines.where(which).select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("src"), F.col("l_shipdate").alias("date"))
     b = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("dst"))
     return a.join(b, ["l_orderkey", "l_linenumber"]).where("src <> dst")
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stated_edges(spark, sf_dir).select("src", "dst").distinct()
+def stated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those of returned full lines alone, as STATED_SQL has them."""
+    return all_stated_edges(spark, sf_dir, "l_quantity = 50 and l_returnflag = 'R'")
+
+
+def edges(spark: SparkSession, sf_dir: str, stated: Callable[[SparkSession, str], DataFrame] = stated_edges) -> DataFrame:
+    return stated(spark, sf_dir).select("src", "dst").distinct()
 
 
 def introductions(spark: SparkSession, sf_dir: str) -> DataFrame:
