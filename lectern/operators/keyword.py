@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import cleaned_term, quoted, spaced_names_match, strip
+from lectern.session import saved
 
 #: Shapes of terms: bold spans, headings and capitalised phrases; and of definitions, where
 #: {t} is the term (fixed values).
@@ -15,6 +16,8 @@ PHRASE = r"(?<![\p{L}\p{N}_])([A-Z][A-Za-z0-9.+-]*(?:\s+[A-Z][A-Za-z0-9.+-]*){0,
 DEFINITIONS = [
     r"\*\*{t}\*\*", r"^#{2,6}\s*{t}(?![\p{L}\p{N}_])", r"{t}\s*[—–-]\s*це(?![\p{L}\p{N}_])", r"{t}\s*[—–-]\s", r"{t}\s+is\s+", r"{t}\s+means(?![\p{L}\p{N}_])", r"{t}\s*:\s",
 ]
+#: Terms that may be sent along to sift what is joined with them; more are only joined.
+SIFTED_TERMS = 2_000_000
 
 
 def terms(text: Column) -> Column:
@@ -64,6 +67,96 @@ def detect_terms(parts: DataFrame, keys: tuple[str, ...] = (), vocab: DataFrame
     return found.withColumn("kind", kind).where("kind is not null")
 
 
+def defined_strings(vocab: DataFrame):
+    """A function from batches of order and text to order and folded: what a text defines, in
+    folded case and up to the longest term. Terms sent along, if few enough, sift it before it
+    is joined with them."""
+    import re
+
+    longest = vocab.agg(F.coalesce(F.max(F.length("term")), F.lit(0))).first()[0]
+    known = None
+    if vocab.count() <= SIFTED_TERMS:
+        known = vocab.sparkSession.sparkContext.broadcast(frozenset(r.term.casefold() for r in vocab.select("term").toLocalIterator()))
+    end = re.compile(r"(?=(?P<any>\s*[—–-]\s|\s+is\s|\s+means\b|\s*:\s)|\*\*)", re.I)
+    head = re.compile(r"^#{2,6}", re.M)
+
+    def find(batches):
+        import pyarrow as pa
+
+        held = known.value if known is not None else None
+        for batch in batches:
+            orders, strings = [], []
+            for order, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text, out = text or "", set()
+                for m in end.finditer(text):
+                    e = m.start()
+                    for b in range(max(0, e - longest), e):
+                        if m["any"] or text[max(0, b - 2) : b] == "**":
+                            out.add(text[b:e].casefold())
+                for m in head.finditer(text):
+                    # Fewer hashes and less white space leave the rest to the term.
+                    b, spaces = m.start() + 2, re.compile(r"\s*").match(text, m.end()).end()
+                    for b in range(b, spaces + 1):
+                        if b > m.end() and not text[m.end() : b].isspace():
+                            break
+                        for e in range(b + 1, min(len(text), b + longest) + 1):
+                            if e == len(text) or not (text[e].isalnum() or text[e] == "_"):
+                                out.add(text[b:e].casefold())
+                out = out if held is None else out & held
+                orders += [order] * len(out)
+                strings += out
+            yield pa.RecordBatch.from_arrays([pa.array(orders, pa.int64()), pa.array(strings, pa.string())], ["order", "folded"])
+
+    return find
+
+
+def detect_all(parts: DataFrame) -> DataFrame:
+    """detect_terms over the texts' own vocabulary, without a meeting of each term and each text.
+
+    parts: order (a whole number, one text each), text. A term is inside a text where its
+    longest run of letters and digits is inside a word; words are taken apart once each, and
+    texts are searched only up to the first one that gave the term. What stands before the end
+    of a definition's shape is joined with the terms.
+    """
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def folded(values):
+        return values.str.casefold()
+
+    run = r"[\p{L}\p{N}]+"
+    parts = parts.select(F.col("order").cast("long").alias("order"), "text")
+    vocab = parts.select("order", F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.min("order").alias("source"))
+    runs = F.regexp_extract_all(F.lower("term"), F.lit(run), F.lit(0))
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
+    vocab = saved(vocab.select("term", "source", F.lower("term").alias("low"), longest.alias("piece")))
+    # Lower case of these depends on what stands beside them; terms without a run have no piece.
+    odd = F.col("piece").isNull() | F.col("term").rlike("[Σİ]")
+    plain = vocab.where(~odd)
+    texts = parts.select("order", F.lower("text").alias("lower"))
+    words = saved(texts.select("order", F.explode(F.array_distinct(F.regexp_extract_all("lower", F.lit(run), F.lit(0)))).alias("word")))
+    pieces = saved(plain.select("piece").distinct())
+    least, most, n = pieces.agg(F.coalesce(F.min(F.length("piece")), F.lit(1)), F.coalesce(F.max(F.length("piece")), F.lit(0)), F.count("*")).first()
+    each = words.select("word").distinct().repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    each = each.where(F.length("word") >= least).withColumn("b", F.explode(F.sequence(F.lit(1), F.length("word") - least + 1)))
+    ends = F.least(F.lit(most), F.length("word") - F.col("b") + 1)
+    each = each.select("word", F.explode(F.transform(F.sequence(F.lit(least), ends), lambda k: F.substring("word", F.col("b"), k))).alias("piece"))
+    # Few pieces go to the words, so what words hold needn't be dealt out.
+    inside = each.join(F.broadcast(pieces) if n <= SIFTED_TERMS else pieces, "piece").distinct()
+    inside = saved(inside)
+    first = words.groupBy("word").agg(F.min("order").alias("at")).join(inside, "word").groupBy("piece").agg(F.min("at").alias("at"))
+    single = plain.where("low = piece").join(first, "piece").select("term", F.least("at", "source").alias("at"))
+    near = plain.where("low <> piece").join(inside, "piece").join(words, "word").where("order < source").groupBy("order").agg(F.collect_set(F.struct("low", "term")).alias("near"))
+    met = near.join(texts, "order").select("order", F.explode(F.filter("near", lambda t: F.contains("lower", t["low"]))).alias("t"))
+    longer = met.select(F.col("t.term").alias("term"), F.col("order").alias("at"))
+    rest = texts.join(F.broadcast(vocab.where(odd))).where(F.contains("lower", F.col("low"))).select("term", F.col("order").alias("at"))
+    appear = single.union(longer).union(rest).union(plain.select("term", F.col("source").alias("at"))).groupBy("term").agg(F.min("at").alias("appear"))
+    said = parts.mapInArrow(defined_strings(vocab), "order long, folded string").groupBy("folded").agg(F.min("order").alias("defo"))
+    found = appear.withColumn("folded", folded("term")).join(said, "folded", "left").drop("folded")
+    kind = F.when(F.col("defo").isNull(), "orphan_concept").when(F.col("appear") < F.col("defo"), "used_before_introduction")
+    return found.select("term", kind.alias("kind"), "appear", "defo").where("kind is not null")
+
+
 def first_units(detected: DataFrame, units: DataFrame) -> DataFrame:
     """detected with the first unit whose text holds the term (null for terms of headings).
 

@@ -254,6 +254,23 @@ def keyword_orphan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyword(spark, sf_dir, "orphan_concept")
 
 
+def _whole_keyword(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    docs = c.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("order"), "text")
+    found = keyword.detect_all(docs).where(F.col("kind") == kind)
+    return found.select("term", F.col("appear").alias("first_doc"), F.col("defo").alias("def_doc"))
+
+
+@query()
+def whole_keyword_used_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate terms of the documents themselves, tested against detect_terms."""
+    return _whole_keyword(spark, sf_dir, "used_before_introduction")
+
+
+@query()
+def whole_keyword_orphan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole_keyword(spark, sf_dir, "orphan_concept")
+
+
 # Segmentation ------------------------------------------------------------------------------
 
 
