@@ -211,7 +211,8 @@ def compare_rules(nodes: DataFrame, edges: DataFrame, manifest: DataFrame) -> Da
     more = nodes.select("spec", "name", "place", F.posexplode("aliases").alias("j", "a")).select("spec", "name", "place", normalize_name("a").alias("key"), F.lit(1).alias("kind"), "j")
     # A name takes a key from whoever had it; an alias only takes a free one: the last name
     # wins, else the first alias.
-    rank = F.row_number().over(Window.partitionBy("spec", "key").orderBy("kind", F.when(F.col("kind") == 0, -F.col("place")).otherwise(F.col("place")), "j"))
+    latest = F.when(F.col("kind") == 0, F.col("place")).desc()
+    rank = F.row_number().over(Window.partitionBy("spec", "key").orderBy("kind", latest, "place", "j"))
     keys = names.unionByName(more).withColumn("r", rank).where("r = 1").select("spec", "key", F.col("name").alias("found"))
     rows = edges
     for raw, end in (("from_raw", "prerequisite"), ("to_raw", "dependent")):

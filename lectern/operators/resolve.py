@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 
 from lectern.functions.text import normalize_name, position, role_counts, strip, text, tokens
 from lectern.operators.graph import connected_components
+from lectern.operators.order import numbered_within, ranked
+from lectern.session import saved
 
 
 @dataclass
@@ -40,11 +42,10 @@ def collect_occurrences(extractions: DataFrame, manifest: DataFrame) -> tuple[Da
         "spec", "pos", "i", strip("c.name").alias("name"), F.filter(F.coalesce("c.aliases", F.array().cast("array<string>")), lambda a: text(a) != "").alias("aliases"),
         strip("c.definition").alias("definition"), strip(F.coalesce(F.nullif("c.role", F.lit("")), F.lit("used"))).alias("role"), "lecture", "lecture_order", strip("c.first_mentioned_unit").alias("unit"),
     ).where("name <> ''")
-    occs = occs.withColumn("normalized", normalize_name("name")).withColumn("occ_id", F.row_number().over(Window.partitionBy("spec").orderBy("pos", "i")) - 1).drop("pos", "i")
+    occs = numbered_within(occs.withColumn("normalized", normalize_name("name")), ["spec"], "pos", ["i"], "occ_id").drop("pos", "i")
     e = rows.select("spec", "pos", F.col("lecture_id").alias("evidence_lecture"), F.posexplode("prerequisites").alias("i", "e"))
-    raw = e.select(
-        "spec", (F.row_number().over(Window.partitionBy("spec").orderBy("pos", "i")) - 1).alias("seq"), strip("e.from").alias("from_raw"), strip("e.to").alias("to_raw"),
-        strip("e.reason").alias("reason"), strip("e.evidence_unit").alias("evidence_unit"), "evidence_lecture",
+    raw = numbered_within(e, ["spec"], "pos", ["i"], "seq").select(
+        "spec", "seq", strip("e.from").alias("from_raw"), strip("e.to").alias("to_raw"), strip("e.reason").alias("reason"), strip("e.evidence_unit").alias("evidence_unit"), "evidence_lecture",
     )
     return occs, raw
 
@@ -109,11 +110,17 @@ def _merged(occs: DataFrame, overrides: DataFrame) -> DataFrame:
 
 def canonical_names(members: DataFrame) -> DataFrame:
     """spec, cluster, canonical_name, place: the commonest name of a cluster; at ties one that
-    is introduced, then the shortest, then the first. Clusters are placed by it, lower-case."""
+    is introduced, then the shortest, then the first. `place` orders clusters by it, in lower
+    case; `placed` numbers them."""
     names = members.groupBy("spec", "cluster", "name").agg(F.count("*").alias("n"), F.max((F.col("role") == "introduced").cast("int")).alias("intro"))
     best = F.row_number().over(Window.partitionBy("spec", "cluster").orderBy(F.desc("n"), F.desc("intro"), F.length("name"), "name"))
     named = names.withColumn("r", best).where("r = 1").select("spec", "cluster", F.col("name").alias("canonical_name"))
-    return named.withColumn("place", F.row_number().over(Window.partitionBy("spec").orderBy(F.lower("canonical_name"), "cluster")))
+    return named.withColumn("place", F.struct(F.lower("canonical_name").alias("name"), "cluster"))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows of one course with `number`, their place from 1."""
+    return ranked(rows, ["place"], "number").withColumn("number", F.col("number") + 1)
 
 
 def concepts(members: DataFrame, names: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -158,10 +165,14 @@ def resolve_endpoints(raw: DataFrame, members: DataFrame, names: DataFrame) -> D
 
 
 def resolve(extractions: DataFrame, manifest: DataFrame, overrides: DataFrame) -> Resolved:
-    """Clusters, resolved prerequisites (both ends known and apart) and the eight counts."""
+    """Clusters, resolved prerequisites (both ends known and apart) and the eight counts.
+
+    Occurrences, members and their names are read several times each, so they are kept as
+    tables in the shared folder.
+    """
     occs, raw = collect_occurrences(extractions, manifest)
-    members = cluster(occs, overrides)
-    names = canonical_names(members)
+    members = saved(cluster(saved(occs), overrides))
+    names = saved(canonical_names(members))
     found = concepts(members, names, overrides)
     ends = resolve_endpoints(raw, members, names)
     known = F.col("from").isNotNull() & F.col("to").isNotNull() & (F.col("from") != F.col("to")) & (F.col("from") != "") & (F.col("to") != "")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,26 +13,12 @@ from lectern.operators.concept_graph import build_nodes, last_edge
 from lectern.operators.consensus import vote, vote_edges
 from lectern.operators.inject import numbered
 from lectern.plans import course as c
+from lectern.plans import trade_queries  # noqa: F401  registers its queries
 from lectern.plans.course import OCC_SQL, STATED_SQL, UNITS_SQL
+from lectern.plans.registry import ORACLES, QUERIES, query
 from lectern.sources.course import read_overrides
 from lectern.sources.sinks import course_text
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its name, and the SQL that stands against it."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # Concepts in conversations -----------------------------------------------------------------
 
 

@@ -53,7 +53,7 @@ class Scratch:
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{shared_folder(self.spark)}/tables/{uuid4().hex}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         made = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(made)] = (path, made)
         return made

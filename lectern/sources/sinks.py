@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import flat, vocabulary_line
+from lectern.operators.order import ranked
 
 
 def write_json(df: DataFrame, path: str, by: str | list[str] | None = None, mode: str = "overwrite") -> None:
@@ -85,7 +86,7 @@ def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     spark = nodes.sparkSession
     first = spark.createDataFrame([(0, i, v) for i, v in enumerate(head)], "part int, place long, value string")
     last = spark.createDataFrame([(3, 0, "</graph>"), (3, 1, "</graphml>")], "part int, place long, value string")
-    n = nodes.select(F.lit(1).alias("part"), F.col("place").cast("long").alias("place"), F.concat(F.lit('<node id="'), escape(F.col("name")), F.lit('">'), data(nodes, ("spec", "name", "place")), F.lit("</node>")).alias("value"))
+    n = ranked(nodes, ["place"], "_k").select(F.lit(1).alias("part"), F.col("_k").alias("place"), F.concat(F.lit('<node id="'), escape(F.col("name")), F.lit('">'), data(nodes, ("spec", "name", "place")), F.lit("</node>")).alias("value"))
     e = edges.select(F.lit(2).alias("part"), F.col("first_seq").cast("long").alias("place"), F.concat(F.lit('<edge source="'), escape(F.col("src")), F.lit('" target="'), escape(F.col("dst")), F.lit('">'), data(edges, ("spec", "src", "dst", "first_seq")), F.lit("</edge>")).alias("value"))
     return first.unionByName(n).unionByName(e).unionByName(last).orderBy("part", "place")
 
