@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lectern.llm.common import column, map_batches, read, utf8, words
+from lectern.llm.common import WORD, Scratch, column, map_batches, read, utf8, words
 
 WINDOW = 10
-#: Test words in one automaton. More test items make more automata, one pass each.
-BLOCK_WORDS = 500_000
+#: Test words in one automaton (about 90 MB in a Python worker). More test items make more
+#: automata, one pass each.
+BLOCK_WORDS = 100_000
+#: How the names of items without an id start.
+NAMELESS = "\0"
 
 
 class SuffixAutomaton:
@@ -134,137 +140,145 @@ class SuffixAutomaton:
         return list(zip(starts[keep].tolist(), ends[keep].tolist(), strict=True))
 
 
-def automata(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[SuffixAutomaton]:
-    """Automata over all items, each of a bounded number of words."""
-    out, block, size = [], [], 0
+def blocks_of(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items with their words, in blocks of at most block_words; one block at a time is held.
+
+    An item of more words is cut to pieces that overlap by all but one word of a window, so
+    each of its windows is whole in one of them. Items without an id have one of their own
+    that no text can have.
+    """
+    block, size = [], 0
     rows = items.select(F.col("item_id").cast("string").alias("item_id"), utf8().alias("text"))
-    for row in rows.toLocalIterator():
+    block_words = max(block_words, window)
+    step = block_words - window + 1
+    for k, row in enumerate(rows.toLocalIterator()):
         tokens = words(bytes(row.text))
-        if row.item_id is None or not tokens:
-            continue
-        if block and size + len(tokens) > block_words:
-            out.append(SuffixAutomaton(block, window))
-            block, size = [], 0
-        block.append((row.item_id, tokens))
-        size += len(tokens)
-    if block:
-        out.append(SuffixAutomaton(block, window))
-    return out
-
-
-def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, text bytes, the hit words as flat (start, end) pairs, and the items found.
-
-    Test items are read one automaton at a time (at most block_words words each, broadcast);
-    each automaton is one streaming pass over all documents, so their number isn't limited.
-    Null texts and ids: no words, and kept. Items without words or id match nothing.
+        item = f"{NAMELESS}{k}" if row.item_id is None else row.item_id
+        for at in range(0, max(1, len(tokens) - window + 1) if tokens else 0, step):
+            piece = tokens[at : at + block_words]
+            if block and size + len(piece) > block_words:
+                yield block
+                block, size = [], 0
+            block.append((item, piece))
+            size += len(piece)
+    yield block
+
+
+#: The automaton that this Python worker built last, and the block it is of.
+_built: dict[str, SuffixAutomaton] = {}
+
+
+def _automaton(key: str, block: list[tuple[str, list[bytes]]], window: int) -> SuffixAutomaton:
+    if key not in _built:
+        _built.clear()
+        _built[key] = SuffixAutomaton(block, window)
+    return _built[key]
+
+
+def _marked(rows: DataFrame, items: DataFrame, window: int, block_words: int, finish, schema: str, text: str) -> DataFrame:
+    """What `finish` makes of batches of rows and their spans and items found.
+
+    A block's words are broadcast (they are few megabytes); each worker builds the automaton of
+    the block at hand alone. With more blocks than one, each but the last is a streaming pass
+    whose finds are written beside the rows, so no pass holds two automata.
     """
-    spark = docs.sparkSession
-    schema = "doc_id long, text binary, spans array<int>, items array<string>"
-    now = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"),
-        F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"),
-    )
-    for automaton in automata(items, window, block_words):
-        shared = spark.sparkContext.broadcast(automaton)
-
-        def make(shared=shared):
-            own = shared.value
-
-            def step(batch: pa.RecordBatch) -> dict:
-                spans, found = [], []
-                for text, old, held in zip(*(column(batch, c) for c in ("text", "spans", "items")), strict=True):
-                    tokens = words(text)
-                    hit, items = own.scan(tokens)
-                    if old:
-                        for a, b in zip(old[::2], old[1::2], strict=True):
-                            hit[a:b] = True
-                    spans.append(_runs_of(hit) if items or old else [])
-                    found.append(sorted(items.union(held)) if items else held)
-                return {"doc_id": batch.column(0), "text": batch.column(1), "spans": spans, "items": found}
+    spark = rows.sparkSession
+    scratch = Scratch(spark)
+    spans, found = "_spans", "_items"
+    while {spans, found} & set(rows.columns):
+        spans, found = f"_{spans}", f"_{found}"
+    now = rows.withColumns({spans: F.array().cast("array<int>"), found: F.array().cast("array<string>")})
+    blocks = blocks_of(items, window, block_words)
+    block = next(blocks)
+    while block is not None:
+        after = next(blocks, None)
+        shared, key = spark.sparkContext.broadcast(block), uuid4().hex
+
+        def make(shared=shared, key=key, last=after is None):
+            automaton = _automaton(key, shared.value, window)
+
+            def step(batch: pa.RecordBatch) -> dict | None:
+                hits, held = [], []
+                texts = column(batch, text)
+                for own, old, before in zip(texts, column(batch, spans), column(batch, found), strict=True):
+                    raw = own if isinstance(own, bytes) else (own or "").encode("utf-8", "surrogatepass")
+                    hit, more = automaton.scan(words(raw))
+                    for a, b in zip(old[::2], old[1::2], strict=True):
+                        hit[a:b] = True
+                    hits.append(_runs_of(hit) if more or old else [])
+                    held.append(sorted(more.union(before)) if more else before)
+                if last:
+                    return finish(batch, texts, hits, held)
+                return {f.name: batch.column(i) for i, f in enumerate(batch.schema)} | {spans: hits, found: held}
 
             return step
 
-        now = map_batches(now, schema, make)
-    return now
+        if after is None:
+            return map_batches(now, schema, make)
+        now = scratch.save(map_batches(now, StructType(now.schema.fields).toDDL(), make))
+        scratch.drop(now)
+        block = after
 
 
 def _runs_of(hit: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0])))).tolist()
 
 
-def digest(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Counts of a document's words and hits, and a digest of its items."""
+def digest(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Counts of a document's words and hits, and a digest of the ids of its items.
 
-    def make():
-        def step(batch: pa.RecordBatch) -> dict:
-            texts, spans, items = (column(batch, c) for c in ("text", "spans", "items"))
-            hits = [sum(s[1::2]) - sum(s[::2]) for s in spans]
-            return {
-                "doc_id": batch.column(0),
-                "n_words": [len(words(t)) for t in texts],
-                "n_hit": hits,
-                "n_items": [len(x) for x in items],
-                "items_sha256": [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items],
-                "contaminated": [h > 0 for h in hits],
-            }
+    Null texts: no words; null doc_ids and repeated rows stay as they are. Items without words
+    match nothing; the windows of an item without an id hit, and it counts, but has no id to
+    digest. Rows of one item_id are one item.
+    """
 
-        return step
+    def finish(batch: pa.RecordBatch, texts: list[bytes], spans: list[list[int]], items: list[list[str]]) -> dict:
+        hits = [sum(s[1::2]) - sum(s[::2]) for s in spans]
+        return {
+            "doc_id": batch.column(0),
+            "n_words": [len(words(t)) for t in texts],
+            "n_hit": hits,
+            "n_items": [len(x) for x in items],
+            "items_sha256": [hashlib.sha256(",".join(sorted(i for i in x if not i.startswith(NAMELESS))).encode()).hexdigest() for x in items],
+            "contaminated": [h > 0 for h in hits],
+        }
 
-    return map_batches(
-        matches(docs, items, window),
-        "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean",
-        make,
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    return _marked(rows, items, window, block_words, finish, schema, "text")
 
 
-def cut(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.5
-) -> DataFrame:
+def cut(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Removes the spans found from the texts, and documents covered beyond max_coverage.
 
     Returns the columns of docs; n_chars, if there, is counted anew. Words that stand
     outside the spans keep the characters between them.
     """
-    from pyspark.sql.types import StructType
-
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(a) for a in automata(items, window)]
-    kinds = StructType(docs.schema.fields)
-
-    def make():
-        from lectern.llm.common import WORD
+    columns = docs.columns
 
-        def step(batch: pa.RecordBatch) -> dict | None:
-            keep, texts = [], []
-            for i, text in enumerate(column(batch, "text")):
-                raw = (text or "").encode("utf-8", "surrogatepass")
+    def finish(batch: pa.RecordBatch, texts: list[str | None], spans: list[list[int]], items: list[list[str]]) -> dict:
+        keep, kept = [], []
+        for i, (text, runs) in enumerate(zip(texts, spans, strict=True)):
+            if runs:
+                raw = text.encode("utf-8", "surrogatepass")
                 places = [m.span() for m in WORD.finditer(raw.lower())]
-                tokens = [raw[a:b].lower() for a, b in places]
-                hit = np.zeros(len(tokens), bool)
-                for x in shared:
-                    hit |= x.value.scan(tokens)[0]
-                if hit.any():
-                    if hit.mean() > max_coverage:
-                        continue
-                    runs = _runs_of(hit)
-                    at, parts = 0, []
-                    for a, b in zip(runs[::2], runs[1::2], strict=True):
-                        parts.append(raw[at : places[a][0]])
-                        at = places[b - 1][1]
-                    text = b"".join([*parts, raw[at:]]).decode("utf-8", "replace")
-                keep.append(i)
-                texts.append(text)
-            rows = batch.take(pa.array(keep, pa.int32()))
-            out = {f.name: rows.column(j) for j, f in enumerate(rows.schema)}
-            out["text"] = pa.array(texts, pa.string())
-            if "n_chars" in out:
-                out["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(out["n_chars"].type)
-            return out
-
-        return step
-
-    return map_batches(docs, kinds.toDDL(), make)
+                if sum(runs[1::2]) - sum(runs[::2]) > max_coverage * len(places):
+                    continue
+                at, parts = 0, []
+                for a, b in zip(runs[::2], runs[1::2], strict=True):
+                    parts.append(raw[at : places[a][0]])
+                    at = places[b - 1][1]
+                text = b"".join([*parts, raw[at:]]).decode("utf-8", "replace")
+            keep.append(i)
+            kept.append(text)
+        rows = batch.take(pa.array(keep, pa.int32()))
+        out = {c: rows.column(rows.schema.get_field_index(c)) for c in columns}
+        out["text"] = pa.array(kept, pa.string())
+        if "n_chars" in out:
+            out["n_chars"] = pa.array([None if t is None else len(t) for t in kept], pa.int64()).cast(out["n_chars"].type)
+        return out
+
+    return _marked(docs, items, window, block_words, finish, StructType(docs.schema.fields).toDDL(), "text")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

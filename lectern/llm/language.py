@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lectern.llm.common import column, map_batches, read
 
@@ -263,20 +264,19 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     n = own.select("lang").count()
     share = min(1.0, sample_docs / max(n, 1))
     rows = own.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000 + 1))
-    return fit([(r.text, r.lang) for r in rows.select("text", "lang").limit(2 * sample_docs).toLocalIterator()])
+    order = F.xxhash64("doc_id", "text", "lang", F.lit("sample"))
+    return fit([(r.text, r.lang) for r in rows.orderBy(order).select("text", "lang").limit(2 * sample_docs).toLocalIterator()])
 
 
-def _with_language(docs: DataFrame, model: Model, fields: list[tuple[str, str]], source: DataFrame) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{n}` {k}" for n, k in fields) + ", lang_pred string, score double"
+def _with_language(source: DataFrame, model: Model, schema: str, text: str, finish) -> DataFrame:
+    """What `finish` makes of batches of source, the language of their texts and its score."""
+    shared = source.sparkSession.sparkContext.broadcast(model)
 
     def make():
         own = Predictor(shared.value)
 
-        def step(batch: pa.RecordBatch) -> dict:
-            label, score = own.predict(column(batch, "text"))
-            out = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
-            return out | {"lang_pred": label, "score": score}
+        def step(batch: pa.RecordBatch) -> dict | None:
+            return finish(batch, *own.predict(column(batch, text)))
 
         return step
 
@@ -286,24 +286,27 @@ def _with_language(docs: DataFrame, model: Model, fields: list[tuple[str, str]],
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Language and its share of the words of every whole text: `und` and 0 without letters.
 
-    Columns: doc_id, held_out, lang_pred, score.
+    Columns: doc_id, held_out, lang_pred, score. Null doc_ids aren't held out.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    fields = [("doc_id", "long"), ("held_out", "boolean"), ("text", "string")]
-    return _with_language(docs, model, fields, source).select("doc_id", "held_out", "lang_pred", "score")
+
+    def finish(batch: pa.RecordBatch, label: list, score: list) -> dict:
+        return {"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": label, "score": score}
+
+    return _with_language(source, model, "doc_id long, held_out boolean, lang_pred string, score double", "text", finish)
 
 
 def keep(docs: DataFrame, model: Model, languages: list[str] | None = None, least: float = 0.0) -> DataFrame:
     """The documents, with all their columns, whose language is known (and, if given, listed)
     and holds at least the share `least` of their words."""
-    columns = docs.columns
-    fields = [(f"c{i}", f.dataType.simpleString()) for i, f in enumerate(docs.schema)] + [("text", "string")]
-    source = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col("text").cast("string").alias("text"))
-    found = _with_language(docs, model, fields, source)
-    good = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
-    if languages is not None:
-        good &= F.col("lang_pred").isin(languages)
-    return found.where(good).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+    allowed = None if languages is None else set(languages)
+
+    def finish(batch: pa.RecordBatch, label: list, score: list) -> dict | None:
+        good = [i for i, (x, s) in enumerate(zip(label, score, strict=True)) if x != UNKNOWN and s >= least and (allowed is None or x in allowed)]
+        rows = batch.take(pa.array(good, pa.int32()))
+        return {f.name: rows.column(i) for i, f in enumerate(rows.schema)} if good else None
+
+    return _with_language(docs, model, StructType(docs.schema.fields).toDDL(), "text", finish)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

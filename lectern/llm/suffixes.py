@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from lectern.llm.common import column, map_batches, read, utf8
 
@@ -461,8 +461,8 @@ def cut(docs: DataFrame) -> DataFrame:
 
         return step
 
-    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, kinds, strict=True))
-    made = map_batches(source, schema, make)
+    schema = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(names, kinds, strict=True)])
+    made = map_batches(source, schema.toDDL(), make)
     return made.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 

@@ -31,10 +31,10 @@ def repeats(rows, size=200):
 
 def windows(rows, items, size=10):
     own = []
-    for item, text in items:
+    for k, (item, text) in enumerate(items):
         w = words(text)
         n = min(size, len(w))
-        own += [(tuple(w[i : i + n]), str(item)) for i in range(len(w) - n + 1)] if n and item is not None else []
+        own += [(tuple(w[i : i + n]), (k, "") if item is None else (-1, str(item))) for i in range(len(w) - n + 1)] if n else []
     out = []
     for i, text in rows:
         w = words(text)
@@ -44,7 +44,7 @@ def windows(rows, items, size=10):
                 if tuple(w[p : p + len(window)]) == window:
                     hit[p : p + len(window)] = [True] * len(window)
                     found.add(item)
-        out.append((i, len(w), sum(hit), len(found), sha(",".join(sorted(found)).encode()), any(hit)))
+        out.append((i, len(w), sum(hit), len(found), sha(",".join(sorted(x for k, x in found if k < 0)).encode()), any(hit)))
     return out
 
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontaminate, jaccard, suffixes, token_counts
 from tests.llm import brute
@@ -70,13 +71,31 @@ def test_decontamination(spark):
     columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     want = sorted(brute.windows(rows, items), key=repr)
     assert got(decontaminate.digest(frame(spark, rows), bench), *columns) == want
-    blocks = decontaminate.matches(frame(spark, rows), bench, block_words=5)
-    assert {r.doc_id: sorted(r["items"]) for r in blocks.collect()}[2] == ["2", "5"]
+    for size in (1, 11, 16):  # long items are cut to pieces, and there are blocks in plenty
+        assert got(decontaminate.digest(frame(spark, rows), bench, block_words=size), *columns) == want
     empty = bench.where("false")
     assert {r.n_hit for r in decontaminate.digest(frame(spark, rows), empty).collect()} == {0}
     assert decontaminate.digest(frame(spark, rows).where("false"), bench).count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    from lectern.llm import jaccard, language
+
+    text = "the cat and the dog are in the house of the man with a hat"
+    rows = [(i, f"{text} number {i} {w}") for i, w in enumerate(["", "x " * 30, "y " * 30])] + [(None, None), (7, ""), (7, "")]
+    docs = frame(spark, rows).select(
+        "*", F.struct(F.lit(1).alias("a-b"), F.lit("x").alias("c d")).alias("spans"), F.lit(2).alias("_spans"), F.lit(3).alias("h"), F.lit(4).alias("cls"), F.lit(5).alias("_kept"), F.lit("z").alias("odd name"), F.lit(None).cast("timestamp").alias("c0"),
+    )
+    model = language.fit([(text, "en"), ("le chat et le chien sont dans la maison", "fr")] * 5)
+    bench = spark.createDataFrame([(1, "nothing of this stands there")], "item_id long, text string")
+    for out, ids in (
+        (language.keep(docs, model), {0, 1, 2}), (jaccard.keep_one(docs), {0, 1, 2, 7, None}), (suffixes.cut(docs), {0, 1, 2, 7, None}), (decontaminate.cut(docs, bench), {0, 1, 2, 7, None}),
+    ):
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        found = out.collect()
+        assert {r.doc_id for r in found} == ids and {(r["spans"]["a-b"], r["_spans"], r["h"], r["cls"], r["_kept"], r["odd name"]) for r in found} == {(1, 2, 3, 4, 5, "z")}
+
+
 def test_random_decontamination(spark):
     r = random.Random(4)
     word = [chr(97 + i) for i in range(4)]
@@ -97,7 +116,8 @@ def test_decontamination_cut(spark):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard(spark, seed, monkeypatch):
     monkeypatch.setattr(jaccard, "HUB_FROM", 3)
-    monkeypatch.setattr(jaccard, "TREE_FROM", 4)
+    monkeypatch.setattr(jaccard, "FANOUT", 4)
+    monkeypatch.setattr(jaccard, "TILE", 8 if seed == 1 else 4096)
     monkeypatch.setattr(jaccard, "COMMON", 6)
     r = random.Random(seed)
     word = [f"w{i}" for i in range(200)]
@@ -131,13 +151,29 @@ def test_count_bound_and_tree():
         sets.append(np.unique(own))
     at, n = jaccard.counts_of([jaccard.point(s) for s in sets]), np.array([len(s) for s in sets])
     tree = jaccard.CountTree(at, n, np.arange(len(sets)))
+    near = [(i, j) for x, y in tree.pairs() for i, j in zip(x.tolist(), y.tolist())]
+    assert len(near) == len({frozenset(p) for p in near})
+    near = {p for i, j in near for p in ((i, j), (j, i))}
     for i, a in enumerate(sets):
-        near = set(tree.partners(i).tolist())
         for j, b in enumerate(sets):
             both = len(np.intersect1d(a, b))
             assert np.minimum(at[i], at[j]).sum() >= both
             if i != j and 100 * both >= 80 * (len(a) + len(b) - both):
-                assert j in near
+                assert (i, j) in near
+
+
+def test_jaccard_of_a_large_group(spark):
+    """300 near copies around the threshold, some of them copies of copies."""
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(150)]
+    made = [base]
+    for _ in range(300):
+        t = list(made[0] if r.random() < 0.7 else r.choice(made))
+        for _ in range(r.choice([1, 2, 3, 4, 5])):
+            t[r.randrange(len(t))] = f"v{r.randrange(40)}"
+        made.append(t[: r.randrange(110, 151)] if r.random() < 0.3 else t)
+    rows = [(i, " ".join(t)) for i, t in enumerate(made)]
+    assert got(jaccard.components(frame(spark, rows).repartition(4)), "doc_id", "n_shingles", "component_id") == sorted(brute.linked(rows), key=repr)
 
 
 TEXTS = ["", None, " ", "\n\n a", "it's <|endoftext|> here", "<|endoftext|><|endoftext|>", "漢字 かな 😀", "a b　c", "x" * 3000, "The quick  brown\tfox\r\n" * 40, "<|startoftext|>Ab <|endoft", "ΣΑΣ İ ǅ", "é é", "1234 ½ ²", "\0\x1c\x85"]

@@ -37,21 +37,74 @@ def test_html_differencing(spark):
     assert found[90] == "Site name\nsolo\nTerms of use"
 
 
-def test_shared_lines_is_a_longest_common_subsequence():
-    def size(a, b):
-        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
-        return t[-1][-1]
+def test_html_names_of_elements(spark):
+    p = {
+        1: "<article><header><h1 class='page-header'>Title</h1></header><div class='share-price'>Share price: 4</div><p>body</p><article class='comment'><p>reader</p></article></article><article class='user-comments'>reader</article>",
+        2: "<div class='page-header'>Site</div><div class='search-engine-guide'>guide</div><div id='adSlot1'>buy</div><h2 class='sidebar'>Heading</h2>",
+        3: "<main><p>one <a href=\"x>two</a></p><p class=\"y\">three > 2</p><div class='social-links'>x</div><div title='a > b'>four</div></main>",
+        4: "<article><p>card a</p></article><article><p>card b</p></article><div>" + "the long main text of a page of cards " * 3 + "</div>",
+    }
+    found = texts(spark, [(i, f"http://h{i}.com/", h) for i, h in p.items()])
+    assert found[1] == "Title\nShare price: 4\nbody" and found[2] == "guide\nHeading" and found[3] == "one two\nthree > 2\nfour"
+    assert found[4].startswith("card a\ncard b\nthe long main text")
+
+
+def test_html_differencing_decides_inside_and_outside_articles(spark):
+    def page(i):
+        return f"<div>Site name</div><article><h1>Head {i}</h1><div>Print this page</div><p>Same first words</p><ul><li><a href='/x'>Next</a></li></ul><p>text {i}</p></article><div>All rights reserved by the owner of this site</div>"
+
+    rows = [(i, f"https://h.org/a/{i}", page(i)) for i in range(4)] + [(9, "https://h.org/a/0", page(0)), (8, "https://alone.org/", page(8))]
+    found = texts(spark, rows)
+    assert all(found[i] == f"Head {i}\nSame first words\ntext {i}" for i in range(4)) and found[9] == found[0]
+    assert found[8] == "Head 8\nPrint this page\nSame first words\nNext\ntext 8"
+    assert {r.n_shared for r in html.extract(pages(spark, rows)).where("page_id = 2").collect()} == {5}
+
+
+def test_html_against_plain_pairing_and_alignment(spark):
+    import os.path
 
+    r = random.Random(11)
+    rows = []
+    for i in range(60):
+        body = "".join(f"<div>{r.choice(['menu', 'terms', 'about', 'x'])} {r.randrange(3)}</div>" for _ in range(r.randrange(0, 7)))
+        rows.append((i, f"http://{r.choice(['a.com', 'b.com', 'c.org'])}/{r.choice('pq')}/{r.randrange(100)}/{i}", f"{body}<div>own {i}</div>"))
+    found = texts(spark, rows)
+    for host in ("a.com", "b.com", "c.org"):
+        own = sorted((u.split(host)[1], i) for i, u, _ in rows if f"//{host}/" in u)
+        for k, (path, i) in enumerate(own):
+            near = [own[x] for x in (k - 1, k + 1) if 0 <= x < len(own)]
+            other = max(near, key=lambda o: len(os.path.commonprefix([o[0], path])))[1]
+            a, b = ([t for t, _ in html.lines(rows[x][2])] for x in (i, other))
+            shared = size_of_lcs(a, b)
+            left = found[i].split("\n")
+            assert len(left) == len(a) - shared and f"own {i}" in left
+            rest = iter(a)
+            assert all(x in rest for x in left)
+
+
+def test_html_of_long_pages_and_many_quotes(spark):
+    long = "".join(f"<div>line {i % 5000}</div>" for i in range(6000))
+    rows = [(1, "http://a.com/1", long), (2, "http://a.com/2", long + "<div>end</div>"), (3, "http://b.com/", "<p " + "'x \"" * 3000), (4, "http://c.com/", "<b>" * 3000 + "</i>" * 3000 + "z")]
+    found = texts(spark, rows)
+    assert found[1] == "" and found[2] == "end" and found[4] == "z"
+
+
+def size_of_lcs(a, b):
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+    return t[-1][-1]
+
+
+def test_shared_lines_is_a_longest_common_subsequence():
     r = random.Random(1)
     for _ in range(200):
         a, b = ([r.randrange(4) for _ in range(r.randrange(0, 9))] for _ in range(2))
         same = html.shared_lines(a, b)
         kept = [x for x, s in zip(a, same) if s]
         rest = iter(b)
-        assert all(x in rest for x in kept) and len(kept) == size(a, b)
+        assert all(x in rest for x in kept) and len(kept) == size_of_lcs(a, b)
 
 
 def test_licenses(spark):
