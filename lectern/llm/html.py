@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Scratch, checkpointed, column, map_batches, read
+from lectern.llm.common import Scratch, checkpointed, column, map_batches, read, released
 
 #: Elements whose content is no text of the page, or stands apart from its article.
 DROPPED = {
@@ -243,7 +243,7 @@ def nearest(pages: DataFrame) -> DataFrame:
             last = [pa.array([own[0]], pa.int64()), pa.array([_choose(before, own, behind)], pa.int64())]
             yield pa.RecordBatch.from_arrays(last, schema=fields)
 
-    return kept.select("part", "row", "host", "path").mapInArrow(run, "row long, other long")
+    return kept.select("part", "row", "host", "path").mapInArrow(released(run), "row long, other long")
 
 
 def _choose(before, own, after) -> int | None:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Scratch, arrow_schema, column, map_batches, read, small_batches, utf8
+from lectern.llm.common import Scratch, arrow_schema, column, map_batches, read, released, small_batches, utf8
 from lectern.operators.graph import connected_components
 
 #: Words of a shingle; two sets link when PERCENT * union <= 100 * intersection.
@@ -185,7 +185,7 @@ def classes_of(docs: DataFrame) -> DataFrame:
             yield counts(held)
 
     small_batches(docs.sparkSession)
-    return _texts(docs).mapInArrow(run, schema)
+    return _texts(docs).mapInArrow(released(run), schema)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -258,7 +258,7 @@ def _blocks(docs: DataFrame, common: np.ndarray, classes: DataFrame) -> DataFram
             rows = keep[k : k + BATCH]
             yield pa.RecordBatch.from_arrays([pa.array(x[rows]) for x in (key, cls, n, at, m)], schema=fields)
 
-    met = rows.repartition(parts, "key").mapInArrow(meet, "key long, cls long, n int, i int, m int")
+    met = rows.repartition(parts, "key").mapInArrow(released(meet), "key long, cls long, n int, i int, m int")
     # A class's point comes as one more row of it, so that no join need sort them.
     none = {c: F.lit(None).cast(k) for c, k in (("key", "long"), ("n", "int"), ("i", "int"), ("m", "int"))}
     both = met.withColumn("point", F.lit(None).cast("binary")).unionByName(classes.select("cls", "point", *[v.alias(c) for c, v in none.items()]))
@@ -295,7 +295,7 @@ def _blocks(docs: DataFrame, common: np.ndarray, classes: DataFrame) -> DataFram
             columns = (key[x], cls[x], n[x], m[x], r[x], s[x], firsts, held.take(pa.array(place[x])))
             yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(columns, made, strict=True)], schema=made)
 
-    return both.repartition(parts, "cls").mapInArrow(rank, schema)
+    return both.repartition(parts, "cls").mapInArrow(released(rank), schema)
 
 
 def _hubs(blocks: DataFrame, scratch: Scratch) -> DataFrame:
@@ -451,7 +451,7 @@ def _cross_pairs(blocks: DataFrame, labels: DataFrame | None, scratch: Scratch,
 
     rows = rows.select("key", "p", "q", "side", "cls", "n", "r", "s", "first", "point", "label")
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(compare, "a long, b long, spare int")
+    found = rows.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(released(compare), "a long, b long, spare int")
     if nearest:
         return found.groupBy("a").agg(F.max(F.struct("spare", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -491,7 +491,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], schema=fields)
 
     dealt = rows.repartition(parts, "a", "b").sortWithinPartitions("a", "b", "second")
-    return dealt.mapInArrow(verify, "a long, b long")
+    return dealt.mapInArrow(released(verify), "a long, b long")
 
 
 def _small(df: DataFrame, is_small: bool) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from lectern.llm.common import column, map_batches, read, utf8
+from lectern.llm.common import column, map_batches, read, released, utf8
 
 #: Bytes of a repeated string, and of the k-grams that suffixes start with. Of each LENGTH
 #: bytes, the leftmost k-gram of least hash is an anchor, so equal strings have an anchor at
@@ -270,7 +270,7 @@ def _anchors_met(own: DataFrame, parts: int) -> DataFrame:
             part = again[s : s + (1 << 18)]
             yield pa.RecordBatch.from_arrays([pa.array(h[part]), pa.array(place[part])], schema=fields)
 
-    return rows.repartition(parts, "gram").mapInArrow(meet, "h long, place int")
+    return rows.repartition(parts, "gram").mapInArrow(released(meet), "h long, place int")
 
 
 def _merge_intervals(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -333,7 +333,7 @@ def _runs(placed: DataFrame, parts: int) -> DataFrame:
                     count, written = 0, written + 1
         yield from write(held, written)
 
-    return placed.mapInArrow(run, "bucket int, run binary, covers binary")
+    return placed.mapInArrow(released(run), "bucket int, run binary, covers binary")
 
 
 def _merged(runs: DataFrame, parts: int) -> DataFrame:
@@ -365,7 +365,7 @@ def _merged(runs: DataFrame, parts: int) -> DataFrame:
             if rights and (got := _spans(shared, rights, found)):
                 yield rows(*got)
 
-    return runs.repartition(parts, "bucket").mapInArrow(run, "h long, s int, e int")
+    return runs.repartition(parts, "bucket").mapInArrow(released(run), "h long, s int, e int")
 
 
 def _spans(shared: list[int], rights: list[bytes], found: list[tuple]) -> tuple | None:
