@@ -19,7 +19,8 @@ from lectern.llm.common import column, map_batches, read, utf8
 BOUNDARY = re.compile(rb"(?<=[^\s\x80-\xff\x1c-\x1f])[ \n](?=[0-9A-Za-z])")
 #: The split pattern of byte-level vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Mean chunk length is 2 ** CUT_BITS bytes; the cache holds up to CACHE_BYTES of text.
+#: Mean chunk length is 2 ** CUT_BITS bytes; a task's cache holds up to CACHE_BYTES, where a
+#: byte of text counts six with its ids.
 CUT_BITS, LEAST_CHUNK, CACHE_BYTES = 9, 64, 24 << 20
 _GEAR = np.random.default_rng(20240901).integers(0, 1 << 32, 256, dtype=np.uint32)
 

@@ -32,15 +32,20 @@ TEMPLATES = [
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("cc-by", "Licensed under CC BY 4.0."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("gpl", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("mpl", "Mozilla Public License Version 2.0"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+#: Creative Commons notices: the terms that follow `by` and their names, and the versions and
+#: ports of the licences (fixed values).
+CC_TERMS = {"": "", "-sa": "-ShareAlike", "-nc": "-NonCommercial", "-nd": "-NoDerivatives", "-nc-sa": "-NonCommercial-ShareAlike", "-nc-nd": "-NonCommercial-NoDerivatives"}
+CC_VERSIONS = ["4.0 International", "3.0 Unported", "2.5 Generic", "2.0 Generic"]
+for _terms, _named in CC_TERMS.items():
+    for _version in CC_VERSIONS:
+        TEMPLATES.append((f"cc-by{_terms}", f"Licensed under CC BY{_terms.upper()} {_version.split()[0]}."))
+        TEMPLATES.append((f"cc-by{_terms}", f"This work is licensed under a Creative Commons Attribution{_named} {_version} License."))
 #: Words of a k-gram; how far neighbouring diagonals may stand apart; least share of a
 #: template's words that a verified span must hold.
 K, SLACK, LEAST = 3, 2, 0.8
@@ -95,7 +100,9 @@ def spans(docs: DataFrame, k: int = K, slack: int = SLACK, least: float = LEAST)
     join and isn't sent. Each hit votes for its document's diagonal (place less template
     place); neighbouring diagonals of up to `slack` apart merge, so that a few words more or
     fewer don't break a span; a span is verified on the words that its k-grams cover in order
-    and kept from `least` of the template's.
+    and kept from `least` of the template's words or its own, whichever are more. Of spans
+    that start at one word only the best stay: a licence with further terms holds the words
+    of the one without them.
     """
     spark = docs.sparkSession
     known = frozenset(w for _, text in TEMPLATES for w in words(text.encode()))
@@ -127,9 +134,13 @@ def spans(docs: DataFrame, k: int = K, slack: int = SLACK, least: float = LEAST)
     covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["t_pos"], x["t_pos"] + k - 1)))))
     # In order: a template's later k-grams stand later in the text.
     ordered = F.filter(F.transform("hits", lambda x, i: (i == 0) | (x["pos"] >= F.get("hits", i - 1)["pos"])), lambda x: x)
-    share = F.when(F.size(ordered) >= F.size("hits") * least, F.least(F.lit(1.0), covered / F.col("t_words"))).otherwise(0.0)
-    made = merged.select("doc_id", "h", "label", share.alias("share"), F.array_min("hits.pos").alias("first"), (F.array_max("hits.pos") + k - 1).alias("last"))
-    return made.where(F.col("share") >= least)
+    length = F.array_max("hits.pos") + k - F.array_min("hits.pos")
+    share = F.when(F.size(ordered) >= F.size("hits") * least, F.least(F.lit(1.0), covered / F.greatest("t_words", length))).otherwise(0.0)
+    made = merged.select("doc_id", "h", "label", share.alias("share"), (covered / F.col("t_words")).alias("cover"), F.array_min("hits.pos").alias("first"), (F.array_max("hits.pos") + k - 1).alias("last"))
+    made = made.where(F.col("share") >= least)
+    good = F.struct("share", "cover")
+    made = made.withColumn("best", F.max(good).over(Window.partitionBy("doc_id", "h", "first")))
+    return made.where(good == F.col("best")).select("doc_id", "h", "label", "share", "first", "last")
 
 
 def scan(docs: DataFrame, k: int = K, slack: int = SLACK, least: float = LEAST) -> DataFrame:

@@ -15,6 +15,8 @@ from lectern.llm.common import column, map_batches, read
 LIMIT = 2048
 #: Words whose prefix counts are kept by a task.
 CACHED_WORDS = 800_000
+#: Pairs of tokens of which a task remembers whether they may stand side by side.
+MOST_FITS = 500_000
 #: Bytes at the start of words whose tables are kept.
 HEAD = 6
 #: The split pattern of the word vocabulary (fixed value).
@@ -93,6 +95,8 @@ class PrefixCounter:
                 found = self._merge(raw, last) == [token]
             else:
                 found = self._merge(self.parts[before][0] + raw, last) == [before, token]
+            if len(self.fits) >= MOST_FITS:
+                self.fits.clear()
             self.fits[before, token] = found
         return found
 

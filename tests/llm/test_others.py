@@ -246,6 +246,59 @@ def test_fingerprint_locates_edits():
     assert fingerprint.likeness(x, x) == 1 and fingerprint.likeness(x, fingerprint.fingerprint("zzz")) == 0
 
 
+def test_license_notices_by_diagonal_votes(spark):
+    notice = "Licensed under CC BY-NC-SA 3.0."
+    rows = [
+        (1, f"some words before. {notice} and after"), (2, "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."),
+        (3, "this work is hereby licensed under a Creative Commons Attribution 2.0 Generic License"), (4, "licensed to nobody, under a creative license of mine"),
+        (5, "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. " + "x " * 5000 + notice), (6, "Licensed under CC BY 4.0."), (7, None), (7, None),
+    ]
+    found = licenses.scan(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.labels) for r in found} == {
+        (1, "cc-by,cc-by-nc-sa"), (2, "cc-by-sa"), (3, "cc-by"), (4, ""), (5, "cc-by,cc-by-nc-sa,gpl"), (6, "cc-by"), (7, ""),
+    } and len(found) == len(rows)
+    # A template against itself, by plain votes: every k-gram of it on the diagonal of its place.
+    for label, wording in licenses.TEMPLATES:
+        own = licenses.words(wording.encode())
+        text = "zz " * 3 + wording + " zz"
+        spans = licenses.spans(frame(spark, [(1, text)]).select("doc_id", F.lit(1).alias("h"), F.col("text").cast("binary").alias("text"))).collect() if len(own) > 30 else None
+        if spans is not None:
+            assert (label, 1.0, 3, 3 + len(own) - 1) in {(r.label, r.share, r["first"], r["last"]) for r in spans}
+
+
+def test_fingerprint_likeness_against_plain_trees(spark):
+    r = random.Random(8)
+    texts = ["\n".join(" ".join(r.choice("abcdefgh") * r.randrange(1, 9) for _ in range(r.randrange(1, 30))) for _ in range(12)) for _ in range(6)] + ["", "", "a" * 3000, None]
+    found = {x.doc_id: x for x in fingerprint.digest(frame(spark, list(enumerate(texts)))).collect()}
+    assert found[6].fingerprint == found[7].fingerprint == found[9].fingerprint
+    for i, t in enumerate(texts):
+        x, own = found[i], t or ""
+        after = texts[i - 1] or "" if i else texts[-1] or ""
+        third = len(own) // 3
+        edited = own[: len(own) - third] + after[:third]
+        assert x.n_chars == len(own) and x.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert (x.fingerprint == x.edited_fingerprint) == (own == edited) and 0 <= x.near_edited <= 1 and 0 <= x.near_next <= 1
+        assert x.near_edited == 1 if own == edited else x.near_edited < 1
+
+
+def test_language_decoding_against_all_paths(spark):
+    """Forward-backward on a few words, against sums over every labelling."""
+    import itertools
+
+    import numpy as np
+
+    g = np.random.default_rng(3)
+    for n in (1, 2, 4):
+        scores, move = g.normal(size=(n, 3)), g.normal(size=(3, 3))
+        want, total = np.zeros((n, 3)), 0.0
+        for path in itertools.product(range(3), repeat=n):
+            p = np.exp(sum(scores[i, k] for i, k in enumerate(path)) + sum(move[a, b] for a, b in itertools.pairwise(path)))
+            total += p
+            for i, k in enumerate(path):
+                want[i, k] += p
+        assert np.allclose(language.forward_backward(scores, np.array([n]), move), want / total)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
