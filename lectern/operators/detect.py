@@ -7,11 +7,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.functions.text import cosine, excerpt, normalize_name, position, serial
+from lectern.functions.text import excerpt, normalize_name, position, serial
 from lectern.operators.graph import ancestors, importance, simple_cycles, transitive_closure
 
 #: Definitions less alike than this conflict (fixed value).
 SIMILARITY = 0.82
+#: Definitions of a concept that meet in one place.
+PART = 512
 
 
 def earliest_before(
@@ -109,13 +111,22 @@ def conflict_candidates(definitions: DataFrame, concept: str, lecture: str) -> D
 def least_similar(definitions: DataFrame, concept: str, position_: str, lecture: str, vector: str) -> DataFrame:
     """concept, n_pairs, min_sim: the least likeness of definitions from different lectures.
 
-    A concept's definitions meet in blocks: pairs are made by a join on the concept, and the
-    least value is summed up before it moves.
+    Vectors are brought to length 1 once, so a pair costs one product. A concept's definitions
+    are dealt to parts of about PART rows, and each pair of parts meets in a place of its own,
+    so a concept of any number of definitions is spread; the least value is taken there before
+    it moves.
     """
-    a = definitions.select(concept, F.col(position_).alias("i"), F.col(lecture).alias("la"), F.col(vector).alias("x"))
-    b = definitions.select(concept, F.col(position_).alias("j"), F.col(lecture).alias("lb"), F.col(vector).alias("y"))
-    pairs = a.join(b, concept).where("i < j and la <> lb")
-    return pairs.groupBy(concept).agg(F.count("*").alias("n_pairs"), F.least(F.lit(1.0), F.min(cosine(F.col("x"), F.col("y")))).alias("min_sim"))
+    wide = F.transform(vector, lambda x: x.cast("double"))
+    length = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
+    unit = F.when(length == 0, F.transform(wide, lambda x: F.lit(0.0))).otherwise(F.transform(wide, lambda x: x / length))
+    counts = definitions.groupBy(concept).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    rows = definitions.select(concept, F.col(position_).alias("i"), F.col(lecture).alias("l"), unit.alias("x")).join(counts, concept)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("i"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    a = rows.select(concept, F.col("own").alias("p"), F.col("other").alias("q"), "i", F.col("l").alias("la"), "x")
+    b = rows.select(concept, F.col("other").alias("p"), F.col("own").alias("q"), F.col("i").alias("j"), F.col("l").alias("lb"), F.col("x").alias("y"))
+    pairs = a.join(b, [concept, "p", "q"]).where("i < j and la <> lb")
+    dot = F.aggregate(F.zip_with("x", "y", lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+    return pairs.groupBy(concept).agg(F.count("*").alias("n_pairs"), F.least(F.lit(1.0), F.min(dot)).alias("min_sim"))
 
 
 def verified_conflicts(candidates: DataFrame, vectors: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

@@ -112,25 +112,26 @@ def pagerank(
 
     Rank flows from src to dst. It stops when the L1 change falls under N * tolerance, or
     after max_steps (tolerance None: exactly max_steps); without convergence all ranks are
-    null, for the caller's fallback. The previous step is read once: nodes without out-edges
-    send to a null target, whose sum is shared by all.
+    null, for the caller's fallback. Edges are written once and stay where they are while the
+    nodes are few enough for their shares to be sent along.
     """
     arcs = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s is not null and d is not null").distinct()
     own = nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
     degree = arcs.groupBy("s").agg(F.count("*").alias("out"))
     scratch = Scratch(edges.sparkSession)
-    flow = scratch.save(
-        own.join(arcs, own.node == arcs.s, "left").join(degree, "s", "left").select("node", "d", F.coalesce("out", F.lit(1)).alias("out"))
-    )
+    own = scratch.save(own.join(degree, own.node == degree.s, "left").select("node", F.coalesce("out", F.lit(0)).alias("out")))
+    flow = scratch.save(arcs.join(own, arcs.s == own.node, "left_semi"))
     n = own.count()
-    ranks = scratch.save(own.select("node", F.lit(1.0 / n if n else 0.0).alias("rank")))
+    few = F.broadcast if n <= BROADCAST_NODES else lambda df: df
+    ranks = scratch.save(own.select("node", "out", F.lit(1.0 / n if n else 0.0).alias("rank")))
     for step in range(max_steps):
-        sent = flow.join(ranks, "node").groupBy("d").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        sent = scratch.save(sent)
-        loose = sent.where("d is null").agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("v")).first().v
+        # What nodes without out-edges hold, and what the last step moved, in one pass.
+        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("rank"))), F.lit(0.0)).alias("v")).first().v
         base = (1.0 - damping) / n + damping * loose / n if n else 0.0
-        new = ranks.join(sent, ranks.node == sent.d, "left").select(
-            "node", F.col("rank").alias("old"), (F.lit(base) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank")
+        shares = ranks.where("out > 0").select("node", (F.col("rank") / F.col("out")).alias("share"))
+        sent = flow.join(few(shares), flow.s == shares.node).groupBy("d").agg(F.sum("share").alias("got"))
+        new = ranks.join(few(sent), ranks.node == sent.d, "left").select(
+            "node", "out", F.col("rank").alias("old"), (F.lit(base) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank")
         )
         new = scratch.save(new)
         scratch.drop(flow, new)
@@ -138,7 +139,8 @@ def pagerank(
             moved = new.agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("old"))), F.lit(0.0)).alias("v")).first().v
             if moved < n * tolerance:
                 return new.select("node", "rank")
-        ranks = new.select("node", "rank")
+        ranks = new.select("node", "out", "rank")
+    ranks = ranks.select("node", "rank")
     return ranks if tolerance is None else ranks.select("node", F.lit(None).cast("double").alias("rank"))
 
 
@@ -149,6 +151,12 @@ def importance(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, max_st
     return ranks.crossJoin(F.broadcast(top)).select("node", F.coalesce(F.col("rank") / F.col("top"), F.lit(1.0)).alias("importance"))
 
 
+def counts(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """n_nodes, n_edges of distinct edges."""
+    nodes = edges.select(src).union(edges.select(dst)).agg(F.count_distinct(src).alias("n_nodes"))
+    return nodes.join(edges.agg(F.count("*").alias("n_edges")))
+
+
 def simple_cycles(edges: DataFrame, max_len: int, src: str = "src", dst: str = "dst") -> DataFrame:
     """path, truncated: simple cycles of up to max_len nodes, each once, least node first.
 

@@ -18,6 +18,8 @@ DEFINITIONS = [
 ]
 #: Terms that may be sent along to sift what is joined with them; more are only joined.
 SIFTED_TERMS = 2_000_000
+#: Terms of one automaton, a few hundred bytes each in a Python worker.
+TERMS_AT_ONCE = 200_000
 
 
 def terms(text: Column) -> Column:
@@ -44,16 +46,66 @@ def is_defined(text: Column, term: Column) -> Column:
     return F.regexp(text, pattern)
 
 
+def holding(texts: DataFrame, text: str, vocab: DataFrame) -> DataFrame:
+    """texts with `held`: the terms whose lower case is inside the (lower-case) text; texts that
+    hold none are left out.
+
+    One pass over the texts for every TERMS_AT_ONCE terms, each by an automaton of them, so no
+    text meets a term that it doesn't hold. Terms are broadcast a block at a time; each task
+    builds the automaton of its block.
+    """
+    from pyspark.sql.types import StructType
+
+    spark, kinds = texts.sparkSession, texts.schema.fields
+    schema = f"{StructType(kinds).toDDL()}, held array<string>" if kinds else "held array<string>"
+    place = texts.columns.index(text)
+
+    def scan(block: list[tuple[str, str]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches):
+            import ahocorasick
+            import pyarrow as pa
+
+            by: dict[str, list[str]] = {}
+            for low, term in shared.value:
+                by.setdefault(low, []).append(term)
+            automaton = ahocorasick.Automaton()
+            for low, terms in by.items():
+                automaton.add_word(low, tuple(terms))
+            automaton.make_automaton()
+            for batch in batches:
+                found = [sorted({t for _, terms in automaton.iter(x or "") for t in terms}) if len(automaton) else [] for x in batch.column(place).to_pylist()]
+                keep = pa.array([i for i, x in enumerate(found) if x], pa.int32())
+                if len(keep):
+                    rows = batch.take(keep)
+                    held = pa.array([x for x in found if x], pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, held], names=[*rows.schema.names, "held"])
+
+        return texts.mapInArrow(run, schema)
+
+    out, block = None, []
+    for row in vocab.select(F.lower("term").alias("low"), "term").where("low <> ''").toLocalIterator():
+        block.append((row.low, row.term))
+        if len(block) == TERMS_AT_ONCE:
+            out, block = scan(block) if out is None else out.unionByName(scan(block)), []
+    if block or out is None:
+        out = scan(block) if out is None else out.unionByName(scan(block))
+    return out
+
+
 def first_places(parts: DataFrame, vocab: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, term, appear, defo: the first order where a term appears, and is defined.
 
-    parts: keys, order, text; vocab: keys, term. Each term meets each text of its course once;
-    a text is searched by pattern only where it holds the term. Terms that appear nowhere are
-    left out.
+    parts: keys, order, text; vocab: keys, term. Without keys texts are searched for all terms
+    at once (`holding`); with keys, the terms of a course meet its own texts. A text is
+    searched by pattern only for the terms it holds. Terms that appear nowhere are left out.
     """
     lower = parts.select(*keys, "order", "text", F.lower("text").alias("lower"))
-    both = lower.join(vocab, list(keys)) if keys else lower.join(F.broadcast(vocab))
-    met = both.where(F.contains("lower", F.lower("term")))
+    if keys:
+        met = lower.join(vocab, list(keys)).where(F.contains("lower", F.lower("term")))
+    else:
+        met = holding(lower, "lower", vocab.distinct()).select("order", "text", F.explode("held").alias("term"))
     defined = is_defined(F.col("text"), F.col("term"))
     return met.groupBy(*keys, "term").agg(F.min("order").alias("appear"), F.min(F.when(defined, F.col("order"))).alias("defo"))
 
@@ -163,7 +215,7 @@ def first_units(detected: DataFrame, units: DataFrame) -> DataFrame:
     units: lecture_order, lecture, i, unit, text.
     """
     held = units.select("lecture_order", "lecture", "i", "unit", F.lower("text").alias("lower"))
-    met = held.join(F.broadcast(detected.select("term").distinct())).where(F.contains("lower", F.lower("term")))
+    met = holding(held, "lower", detected.select("term").distinct()).withColumn("term", F.explode("held"))
     first = met.groupBy("term").agg(F.min_by(F.struct("lecture", "unit"), F.struct("lecture_order", "i")).alias("f"))
     return detected.join(first, "term", "left").select(*detected.columns, F.col("f.lecture").alias("first_lecture"), F.col("f.unit").alias("first_unit"))
 

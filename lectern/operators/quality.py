@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from lectern.functions.text import strip
 
+#: A unit id in extractions (fixed value).
+UNIT_ID = r"^[0-9]{2}#[0-9]{2}$"
 TOP, CONCEPT, EDGE = (
     ["lecture_id", "concepts", "prerequisites"], ["name", "aliases", "definition", "first_mentioned_unit", "role"], ["from", "to", "reason", "evidence_unit"],
 )
@@ -102,6 +104,33 @@ def validate(raw: DataFrame, lectures: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, issues)
 
 
+def schema_issues(raw: DataFrame) -> DataFrame:
+    """lecture_id, rule, severity, i, detail of what the extraction's schema forbids besides
+    missing and extra fields of concepts (V12): values of a wrong kind (type), empty names and
+    ends (short), unit ids that aren't two digits on both sides of # (pattern), further fields
+    of prerequisites (additional).
+
+    raw: lecture_id, value (the extraction as JSON text). What isn't an array holds no items.
+    """
+    found = []
+    for column, fields, texts, unit in (("concepts", CONCEPT, ["name"], "first_mentioned_unit"), ("prerequisites", EDGE, ["from", "to"], "evidence_unit")):
+        own = F.get_json_object("value", f"$.{column}")
+        rows = raw.select("lecture_id", F.posexplode(F.from_json(F.when(_is_array(own), own), "array<string>")).alias("i", "raw"))
+        rows = rows.withColumn("v", F.try_parse_json("raw"))
+        kinds = {c: F.schema_of_variant(F.try_variant_get("v", f"$.{c}", "variant")) for c in fields}
+        wrong = F.array_compact(F.array(*[F.when(~F.coalesce(k.rlike(r"^ARRAY<(STRING|VOID)>$" if c == "aliases" else "^STRING$"), F.lit(True)), F.lit(c)) for c, k in kinds.items()]))
+        short = F.array_compact(F.array(*[F.when(F.get_json_object("raw", f"$.{c}") == "", F.lit(c)) for c in texts]))
+        found += [
+            _issue(rows, f"{column}_type", F.size(wrong) > 0, F.array_join(wrong, ",")),
+            _issue(rows, f"{column}_short", F.size(short) > 0, F.array_join(short, ",")),
+            _issue(rows, f"{column}_pattern", ~F.get_json_object("raw", f"$.{unit}").rlike(UNIT_ID), F.get_json_object("raw", f"$.{unit}")),
+        ]
+        if column == "prerequisites":
+            more = F.array_except(_keys(F.col("raw")), F.array(*map(F.lit, fields)))
+            found.append(_issue(rows, f"{column}_additional", F.size(more) > 0, F.array_join(F.sort_array(more), ",")))
+    return reduce(DataFrame.unionByName, found)
+
+
 def verdict(issues: DataFrame, lectures: DataFrame) -> DataFrame:
     """lecture_id, errors, warnings, valid."""
     counts = issues.groupBy("lecture_id").agg(F.count_if(F.col("severity") == "ERROR").alias("errors"), F.count_if(F.col("severity") == "WARNING").alias("warnings"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.functions.text import heading_kind, python_lines, strip, unit_id, without_rules
+from lectern.functions.text import content_chars, heading_kind, python_lines, strip, unit_id, without_rules
 
 #: Heading of what stands before the first section, and rendered marks (fixed values).
 PREAMBLE, LECTURE_WORD, UNIT_WORD = "(преамбула)", "Лекція", "Unit"
@@ -67,7 +67,7 @@ def segment(lectures: DataFrame) -> DataFrame:
 def manifest(lectures: DataFrame) -> DataFrame:
     """One row of counts a segmented lecture, by lecture_order and then file name."""
     own = F.filter("units", lambda u: u["kind"] == "content")
-    chars = F.aggregate(own, F.lit(0).cast("long"), lambda s, u: s + F.length(u["text"]))
+    chars = content_chars(F.col("units"))
     return lectures.orderBy("lecture_order", "source_file").select(
         "lecture_id", "lecture_order", "title", F.size("units").alias("n_units"), F.size(own).alias("n_content_units"), chars.alias("content_chars")
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from lectern.operators.concept_graph import build_nodes, last_edge
 from lectern.operators.consensus import vote, vote_edges
 from lectern.operators.inject import numbered
 from lectern.plans import course as c
-from lectern.plans import trade_queries  # noqa: F401  registers its queries
+from lectern.plans import brand_queries, experiment_queries, file_queries, trade_queries  # noqa: F401  register their queries
 from lectern.plans.course import OCC_SQL, STATED_SQL, UNITS_SQL
 from lectern.plans.registry import ORACLES, QUERIES, query
 from lectern.sources.course import read_overrides
@@ -44,11 +42,6 @@ def first_use_any_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("concept", F.col("at.conv_id").alias("conv"), F.col("at.turn").alias("turn"))
 
 
-@query(f"WITH {OCC_SQL} SELECT concept, count(*) FILTER (role = 'assistant') AS n_introduced, count(*) FILTER (role = 'user') AS n_used FROM occ GROUP BY 1")
-def role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.occurrences(spark, sf_dir).groupBy("concept").agg(F.count_if(c.introduced()).alias("n_introduced"), F.count_if(c.used()).alias("n_used"))
-
-
 @query(f"""WITH {OCC_SQL}, half AS (SELECT max(conv_id) // 2 AS m FROM conversations)
 SELECT DISTINCT concept FROM occ, half WHERE conv_id > m EXCEPT SELECT concept FROM occ, half WHERE conv_id <= m""")
 def new_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,40 +96,30 @@ def conflict_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {STATED_SQL} SELECT e.src, e.dst FROM edges e JOIN intro a ON a.node = e.src JOIN intro b ON b.node = e.dst WHERE a.at > b.at")
-def prereq_order_direct(spark: SparkSession, sf_dir: str, stated=c.stated_edges) -> DataFrame:
-    return detect.later_than(c.edges(spark, sf_dir, stated), c.introductions(spark, sf_dir), "node", "at").select("src", "dst")
+def prereq_order_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.later_than(c.edges(spark, sf_dir), c.introductions(spark, sf_dir), "node", "at").select("src", "dst")
 
 
 @query(f"WITH RECURSIVE {STATED_SQL}, t(f, t) AS (SELECT src, dst FROM edges UNION SELECT t.f, e.dst FROM t JOIN edges e ON e.src = t.t) SELECT f, t FROM t")
-def transitive_closure(spark: SparkSession, sf_dir: str, stated=c.stated_edges) -> DataFrame:
-    return graph.transitive_closure(c.edges(spark, sf_dir, stated))
+def transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.transitive_closure(c.edges(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {STATED_SQL}, t(f, t) AS (SELECT src, dst FROM edges UNION SELECT t.f, e.dst FROM t JOIN edges e ON e.src = t.t)
 SELECT f AS src, t AS dst, NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = f AND e.dst = t) AS is_transitive
 FROM t JOIN intro a ON a.node = f JOIN intro b ON b.node = t WHERE f <> t AND a.at > b.at""")
-def prereq_order_transitive(spark: SparkSession, sf_dir: str, stated=c.stated_edges) -> DataFrame:
-    pairs = graph.ancestors(c.edges(spark, sf_dir, stated)).select(F.col("f").alias("src"), F.col("t").alias("dst"), F.col("transitive").alias("is_transitive"))
+def prereq_order_transitive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = graph.ancestors(c.edges(spark, sf_dir)).select(F.col("f").alias("src"), F.col("t").alias("dst"), F.col("transitive").alias("is_transitive"))
     return detect.later_than(pairs, c.introductions(spark, sf_dir), "node", "at").select("src", "dst", "is_transitive")
 
 
-@query(f"""WITH {STATED_SQL}, last AS (SELECT src, dst, arg_max(date, (l_orderkey, l_linenumber, date)) AS date FROM stated GROUP BY 1, 2)
-SELECT src, dst FROM last JOIN (SELECT l_suppkey AS node, max(l_shipdate) AS at FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_linestatus = 'F' AND l_quantity = 1 GROUP BY 1) i ON i.node = src WHERE i.at > date""")
-def prereq_order_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges whose source's last small finished shipment is after the edge's last statement."""
-    stated = last_edge(c.stated_edges(spark, sf_dir), "src", "dst", ["l_orderkey", "l_linenumber", "date"], ["date"])
-    lines = c.table(spark, sf_dir, "lineitem").where("l_linestatus = 'F' and l_quantity = 1")
-    first = lines.groupBy(F.col("l_suppkey").alias("src")).agg(F.max("l_shipdate").alias("at"))
-    known = c.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"))
-    return stated.join(first.join(known, "src", "left_semi"), "src").where("at > date").select("src", "dst")
-
-
 @query(f"WITH {STATED_SQL} SELECT src, dst, max((l_orderkey, l_linenumber, date))[1] AS l_orderkey, max((l_orderkey, l_linenumber, date))[2] AS l_linenumber FROM stated GROUP BY 1, 2")
-def edge_last_wins(spark: SparkSession, sf_dir: str, stated=c.stated_edges) -> DataFrame:
-    return last_edge(stated(spark, sf_dir), "src", "dst", ["l_orderkey", "l_linenumber", "date"], ["l_orderkey", "l_linenumber"])
+def edge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return last_edge(c.stated_edges(spark, sf_dir), "src", "dst", ["l_orderkey", "l_linenumber", "date"], ["l_orderkey", "l_linenumber"])
 
 
-_STEPS = 12
+#: Steps of the SQL; by then ranks of so dense a graph no longer move.
+_STEPS = 24
 _RANK_SQL = f"WITH {STATED_SQL}, nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), deg AS (SELECT src, count(*) AS k FROM edges GROUP BY 1), n AS (SELECT count(*)::DOUBLE AS n FROM nodes), r0 AS MATERIALIZED (SELECT node, 1 / n AS r FROM nodes, n)" + "".join(
     f""", r{i + 1} AS MATERIALIZED (
   SELECT v.node, 0.15 / n + 0.85 * (coalesce(g.got, 0) + (SELECT coalesce(sum(r), 0) FROM r{i} WHERE node NOT IN (SELECT src FROM deg)) / n) AS r
@@ -146,53 +129,29 @@ _RANK_SQL = f"WITH {STATED_SQL}, nodes AS (SELECT src AS node FROM edges UNION S
 
 
 @query(f"{_RANK_SQL} SELECT node, round(r / max(r) OVER (), 4) AS importance FROM r{_STEPS}")
-def pagerank(spark: SparkSession, sf_dir: str, stated=c.stated_edges, **until) -> DataFrame:
-    """A fixed number of steps, as on the SQL side, unless `until` says otherwise."""
-    edges = c.edges(spark, sf_dir, stated)
+def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = c.edges(spark, sf_dir)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    return graph.importance(edges, nodes, **(until or {"max_steps": _STEPS, "tolerance": None})).select("node", F.round("importance", 4).alias("importance"))
-
-
-@query(f"""{_RANK_SQL}, o AS (SELECT node, row_number() OVER (ORDER BY round(r / (SELECT max(r) FROM r{_STEPS}), 4) DESC, node DESC) - 1 AS k FROM r{_STEPS})
-SELECT k + 1 AS rank, node, CASE WHEN k < 9 THEN 'conflict' ELSE 'placebo' END AS kind, CASE WHEN k >= 9 THEN 'n/a' ELSE ['blatant', 'medium', 'subtle'][(k % 3 + 1)::INT] END AS subtlety FROM o WHERE k < 12""")
-def top_targets(spark: SparkSession, sf_dir: str, stated=c.stated_edges, **until) -> DataFrame:
-    """The nine most important nodes as targets and the next three as placebos."""
-    ranks = pagerank(spark, sf_dir, stated, **until)
-    rows = ranks.orderBy(F.desc("importance"), F.desc("node")).limit(12)
-    rows = numbered(rows, [F.desc("importance"), F.desc("node")])
-    real = F.col("k") < 9
-    return rows.select((F.col("k") + 1).cast("long").alias("rank"), "node", F.when(real, "conflict").otherwise("placebo").alias("kind"), F.when(real, text.tier(F.col("k"))).otherwise("n/a").alias("subtlety"))
+    return graph.importance(edges, nodes, tolerance=1e-12).select("node", F.round("importance", 4).alias("importance"))
 
 
 @query(f"""WITH RECURSIVE {STATED_SQL}, b AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
 t(node, m) AS (SELECT a, b FROM b UNION SELECT t.node, b.b FROM t JOIN b ON b.a = t.m) SELECT node, least(node, min(m)) AS component FROM t GROUP BY node""")
-def connected_components(spark: SparkSession, sf_dir: str, stated=c.stated_edges) -> DataFrame:
-    return graph.connected_components(c.edges(spark, sf_dir, stated))
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.connected_components(c.edges(spark, sf_dir))
 
 
 @query(f"""WITH {STATED_SQL}
 SELECT a.src || '>' || a.dst AS path FROM edges a JOIN edges b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst UNION ALL
 SELECT a.src || '>' || a.dst || '>' || b.dst FROM edges a JOIN edges b ON a.dst = b.src JOIN edges d ON d.src = b.dst AND d.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst""")
-def short_cycles(spark: SparkSession, sf_dir: str, stated=c.stated_edges) -> DataFrame:
+def short_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cycles of up to three nodes, from their least node."""
-    return graph.simple_cycles(c.edges(spark, sf_dir, stated), 3).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+    return graph.simple_cycles(c.edges(spark, sf_dir), 3).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 @query(f"""WITH RECURSIVE {STATED_SQL}, t(f, t) AS (SELECT src, dst FROM edges UNION SELECT t.f, e.dst FROM t JOIN edges e ON e.src = t.t) SELECT f AS node FROM t WHERE f = t""")
-def nodes_on_cycles(spark: SparkSession, sf_dir: str, stated=c.stated_edges) -> DataFrame:
-    return detect.strongly_connected(c.edges(spark, sf_dir, stated))
-
-
-@query(f"""WITH {STATED_SQL}, last AS (SELECT src, dst, max(date) AS ev FROM stated GROUP BY 1, 2)
-SELECT count(*) FILTER (a.at > b.at) AS old_rule, count(*) FILTER (a.at > ev) AS new_rule, count(*) FILTER (a.at > b.at AND NOT a.at > ev) AS disappear
-FROM last JOIN intro a ON a.node = src JOIN intro b ON b.node = dst""")
-def rule_difference(spark: SparkSession, sf_dir: str, stated=c.stated_edges) -> DataFrame:
-    """How many edges violate by introductions, as anchored, and by the first rule alone."""
-    last = last_edge(stated(spark, sf_dir), "src", "dst", ["date"], ["date"])
-    intro = c.introductions(spark, sf_dir)
-    rows = last.join(intro.select(F.col("node").alias("src"), F.col("at").alias("ai")), "src").join(intro.select(F.col("node").alias("dst"), F.col("at").alias("bi")), "dst")
-    old, new = F.col("ai") > F.col("bi"), F.col("ai") > F.col("date")
-    return rows.agg(F.count_if(old).alias("old_rule"), F.count_if(new).alias("new_rule"), F.count_if(old & ~new).alias("disappear"))
+def nodes_on_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.strongly_connected(c.edges(spark, sf_dir))
 
 
 # Votes and vocabulary ----------------------------------------------------------------------
@@ -229,13 +188,13 @@ def _keyword(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 
 @query(_FIRST_SQL + "SELECT term, first_doc, def_doc FROM f WHERE first_doc < def_doc")
-def keyword_used_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Capitalised words of the benchmark that documents use before one defines them."""
+def benchmark_terms_used_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Given terms, capitalised words of the benchmark, that documents use before one defines them."""
     return _keyword(spark, sf_dir, "used_before_introduction")
 
 
 @query(_FIRST_SQL + "SELECT term, first_doc, def_doc FROM f WHERE def_doc IS NULL")
-def keyword_orphan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def benchmark_terms_orphan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyword(spark, sf_dir, "orphan_concept")
 
 
@@ -246,13 +205,13 @@ def _whole_keyword(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 
 @query()
-def whole_keyword_used_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate terms of the documents themselves, tested against detect_terms."""
+def keyword_used_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate term of the documents themselves, tested against a plain version."""
     return _whole_keyword(spark, sf_dir, "used_before_introduction")
 
 
 @query()
-def whole_keyword_orphan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def keyword_orphan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole_keyword(spark, sf_dir, "orphan_concept")
 
 
@@ -298,36 +257,18 @@ def inject_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Names -------------------------------------------------------------------------------------
 
-_NAMES = [
-    "The  CAP-Theorem!", "Модульний  моноліт.", "of the", "", "A (b) of C's", "«Сторітелінг»", "Rôle_1 — x", "  An Entity  ", "Value Object (VO)",
-]
-_NAMES_SQL = "n AS (SELECT unnest([" + ", ".join("'" + x.replace("'", "''") + "'" for x in _NAMES) + "]) AS name)"
 _PLAIN_SQL = r"trim(regexp_replace(regexp_replace(lower(name), '[^\p{L}\p{N}_\s''-]+', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@query(rf"""WITH {_NAMES_SQL} SELECT name, array_to_string(list_filter(string_split({_PLAIN_SQL}, ' '), lambda x: x NOT IN ('', 'the', 'a', 'an', 'of')), ' ') AS f1,
-  {_PLAIN_SQL} AS f2, trim(regexp_replace(lower(trim(name)), '\s+', ' ', 'g')) AS f3, trim(regexp_replace(name, '\s*\([^)]*\)\s*$', '')) AS f4 FROM n""")
-def name_normalizers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([(x,) for x in _NAMES], "name string")
-    return names.select("name", text.normalize_name("name").alias("f1"), text.plain_name("name").alias("f2"), text.spaced_name("name").alias("f3"), text.clean_name("name").alias("f4"))
-
-
-@query(rf"""WITH f AS (SELECT doc_id, string_split(text, chr(10))[1] AS name FROM documents)
-SELECT doc_id, md5({_PLAIN_SQL}) AS digest, len(list_filter(string_split({_PLAIN_SQL}, ' '), lambda x: x NOT IN ('', 'the', 'a', 'an', 'of'))) AS n_words FROM f""")
+@query(rf"""WITH f AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS name, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+SELECT doc_id, line, md5(array_to_string(list_filter(string_split({_PLAIN_SQL}, ' '), lambda x: x NOT IN ('', 'the', 'a', 'an', 'of')), ' ')) AS f1, md5({_PLAIN_SQL}) AS f2,
+  md5(trim(regexp_replace(lower(trim(name)), '\s+', ' ', 'g'))) AS f3, md5(trim(regexp_replace(name, '\s*\([^)]*\)\s*$', ''))) AS f4 FROM f""")
 def document_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first line of every document as a name, normalised."""
-    docs = c.table(spark, sf_dir, "documents").select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("name"))
-    return docs.select("doc_id", F.md5(text.plain_name("name")).alias("digest"), F.size(F.filter(F.split(text.normalize_name("name"), " "), lambda t: t != "")).cast("long").alias("n_words"))
-
-
-@query("""WITH t(t, terms, expected) AS (VALUES ('see [модульного моноліту](modular.md)', ['модульний моноліт'], true), ('see [Repository](r.md) here', ['repository', 'repo'], true),
-  ('CAP beside [other](o.md)', ['CAP theorem'], false), ('[CAP](cap.html)', ['CAP'], false), ('none', ['x'], false)) SELECT t AS text, expected AS forward_ref FROM t""")
-def forward_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [
-        ("see [модульного моноліту](modular.md)", ["модульний моноліт"]), ("see [Repository](r.md) here", ["repository", "repo"]),
-        ("CAP beside [other](o.md)", ["CAP theorem"]), ("[CAP](cap.html)", ["CAP"]), ("none", ["x"]),
-    ]
-    return spark.createDataFrame(rows, "text string, terms array<string>").select("text", text.is_forward_ref(F.col("text"), F.col("terms")).alias("forward_ref"))
+    """Every line of every document as a name, normalised in four ways."""
+    lines = c.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "name"))
+    return lines.select(
+        "doc_id", (F.col("i") + 1).cast("long").alias("line"), F.md5(text.normalize_name("name")).alias("f1"), F.md5(text.plain_name("name")).alias("f2"), F.md5(text.spaced_name("name")).alias("f3"), F.md5(text.clean_name("name")).alias("f4"),
+    )
 
 
 @query("""WITH n AS (SELECT DISTINCT p_name AS name, list_distinct(string_split(p_name, ' ')) AS t FROM part), k AS (SELECT DISTINCT unnest(t) AS key FROM n)
@@ -462,10 +403,9 @@ def bold_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {STATED_SQL} SELECT (SELECT count(*) FROM (SELECT src FROM edges UNION SELECT dst FROM edges)) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM stated) AS n_stated")
-def graph_counts(spark: SparkSession, sf_dir: str, stated=c.stated_edges) -> DataFrame:
-    edges = c.edges(spark, sf_dir, stated)
-    nodes = edges.select("src").union(edges.select("dst")).agg(F.count_distinct("src").alias("n_nodes"))
-    return nodes.join(edges.agg(F.count("*").alias("n_edges"))).join(stated(spark, sf_dir).agg(F.count("*").alias("n_stated")))
+def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stated = c.stated_edges(spark, sf_dir)
+    return graph.counts(stated.select("src", "dst").distinct()).join(stated.agg(F.count("*").alias("n_stated")))
 
 
 @query("""WITH g AS (SELECT p_name AS name, string_agg(DISTINCT p_brand, ', ' ORDER BY p_brand) AS aliases FROM part GROUP BY 1) SELECT '- ' || name || ' (' || aliases || ')' AS line FROM g""")
@@ -503,25 +443,6 @@ def vote_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vote_edges(runs, 3).select(F.col("lecture_id").alias("lecture"), F.col("from").alias("concept"), "votes", F.col("reason").cast("long").alias("representative"))
 
 
-# Prerequisite edges of every line, without SQL -----------------------------------------------
-
-
-def whole_prereq_order_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges whose source first ships after the edge's last statement."""
-    last = last_edge(c.all_stated_edges(spark, sf_dir), "src", "dst", ["l_orderkey", "l_linenumber", "date"], ["date"])
-    first = c.introductions(spark, sf_dir).withColumnRenamed("node", "src")
-    return last.join(first, "src").where("at > date").select("src", "dst")
-
-
-QUERIES["whole_prereq_order_anchored"] = whole_prereq_order_anchored
-for _f in (
-    prereq_order_direct, prereq_order_transitive, transitive_closure, edge_last_wins, connected_components, short_cycles, nodes_on_cycles, rule_difference, graph_counts,
-):
-    QUERIES[f"whole_{_f.__name__}"] = partial(_f, stated=c.all_stated_edges)
-for _f in (pagerank, top_targets):
-    QUERIES[f"whole_{_f.__name__}"] = partial(_f, stated=c.all_stated_edges, max_steps=100, tolerance=1e-6)
-
-
 # The whole chain, from extractions to detectors ----------------------------------------------
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,22 +32,17 @@ def used() -> Column:
     return F.col("role") == "user"
 
 
-def all_stated_edges(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
+def stated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst, l_orderkey, l_linenumber, date: the supplier of every line, and that of the
-    next line of its order. which: a condition on the first of the two."""
+    next line of its order."""
     lines = table(spark, sf_dir, "lineitem")
-    a = lines.where(which).select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("src"), F.col("l_shipdate").alias("date"))
+    a = lines.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("src"), F.col("l_shipdate").alias("date"))
     b = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("dst"))
     return a.join(b, ["l_orderkey", "l_linenumber"]).where("src <> dst")
 
 
-def stated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Those of returned full lines alone, as STATED_SQL has them."""
-    return all_stated_edges(spark, sf_dir, "l_quantity = 50 and l_returnflag = 'R'")
-
-
-def edges(spark: SparkSession, sf_dir: str, stated: Callable[[SparkSession, str], DataFrame] = stated_edges) -> DataFrame:
-    return stated(spark, sf_dir).select("src", "dst").distinct()
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stated_edges(spark, sf_dir).select("src", "dst").distinct()
 
 
 def introductions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,11 +68,11 @@ def marked_lectures(spark: SparkSession, sf_dir: str) -> DataFrame:
 OCC_SQL = f"""occ AS (
   SELECT DISTINCT conv_id, turn, role, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS concept
   FROM conversations WHERE role <> 'system')"""
-STATED_SQL = """stated AS (
+STATED_SQL = """stated AS MATERIALIZED (
   SELECT a.l_suppkey AS src, b.l_suppkey AS dst, a.l_orderkey, a.l_linenumber, a.l_shipdate AS date
   FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-  WHERE a.l_quantity = 50 AND a.l_returnflag = 'R' AND a.l_suppkey <> b.l_suppkey),
-edges AS (SELECT DISTINCT src, dst FROM stated),
+  WHERE a.l_suppkey <> b.l_suppkey),
+edges AS MATERIALIZED (SELECT DISTINCT src, dst FROM stated),
 intro AS (SELECT l_suppkey AS node, min(l_shipdate) AS at FROM lineitem GROUP BY 1)"""
 UNITS_SQL = """l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),

@@ -184,7 +184,7 @@ _EARLY = [10, 20, 30]
 _ORPHANS = ["Blue-green deployment", "Canary release", "Saga"]
 
 
-def _lectures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lectures(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = trade.units(spark, sf_dir).withColumnRenamed("lecture", "lecture_id")
     whole = sinks.course_text(parts, ("lecture_id",), "unit", "unit", "text", " ")
     return trade.manifest(spark, sf_dir).join(whole, "lecture_id", "left").select("lecture_id", "lecture_order", F.lower(F.coalesce("text", F.lit(""))).alias("lower"))
@@ -221,7 +221,7 @@ def trade_injections(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, _ = trade.graph(spark, sf_dir)
     plan = inject.Plan(_EARLY, 40, _ORPHANS)
     flagged = detect.used_before_introduction(nodes).select("concept")
-    made = inject.make_injections(nodes, _lectures(spark, sf_dir), flagged, plan)
+    made = inject.make_injections(nodes, lectures(spark, sf_dir), flagged, plan)
     return made.select("id", "type", "target", "insert_lecture", "subtlety", "sentence", F.col("expected.type").alias("expected_type"))
 
 
@@ -236,10 +236,34 @@ def trade_prerequisite_candidates(spark: SparkSession, sf_dir: str) -> DataFrame
     """Pairs that may be injected as a prerequisite met too late."""
     nodes, edges = trade.graph(spark, sf_dir)
     flagged = spark.createDataFrame([], "prerequisite string, dependent string")
-    found = inject.prerequisite_candidates(nodes, edges, _lectures(spark, sf_dir), flagged, inject.Plan(_EARLY, 70))
+    found = inject.prerequisite_candidates(nodes, edges, lectures(spark, sf_dir), flagged, inject.Plan(_EARLY, 70))
     return found.select("dependent", "prerequisite", "lecture", F.col("dep_rank").cast("long").alias("dep_rank"), F.col("pre_rank").cast("long").alias("pre_rank"))
 
 
+#: The first pair after the last one chosen whose ends are free; while fewer lectures are used than
+#: there are early ones, it must be of a new one.
+_CHOICE = f"""SELECT c.dependent, c.prerequisite, c.lecture, c.dep_rank, c.pre_rank FROM cand c WHERE (c.dep_rank, c.pre_rank) > (g.dep_rank, g.pre_rank)
+  AND NOT list_contains(g.deps, c.dependent) AND NOT list_contains(g.pres, c.prerequisite) AND NOT (list_contains(g.lecs, c.lecture) AND len(list_distinct(g.lecs)) < {len(_EARLY)}) ORDER BY c.dep_rank, c.pre_rank LIMIT 1"""
+
+
+@query(f"""WITH RECURSIVE {BOTH_SQL}, {_LECTURES_SQL},
+d AS (SELECT canonical, intro[1] AS lecture, intro[3] AS lec FROM nodes WHERE n_defs > 0 AND intro IS NOT NULL),
+deps AS (SELECT *, row_number() OVER (ORDER BY canonical) - 1 AS dep_rank FROM d WHERE lec IN ({', '.join(map(str, _EARLY))})),
+pres AS (SELECT *, row_number() OVER (ORDER BY lec, canonical) - 1 AS pre_rank FROM d WHERE lec >= 70),
+cand AS MATERIALIZED (SELECT a.canonical AS dependent, p.canonical AS prerequisite, a.lecture, dep_rank, pre_rank FROM deps a JOIN pres p ON p.lec > a.lec AND p.canonical <> a.canonical
+  WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = p.canonical AND e.dst = a.canonical OR e.src = a.canonical AND e.dst = p.canonical) AND NOT contains(coalesce((SELECT low FROM lectures l WHERE l.lecture = a.lecture), ''), {trade.plain_sql('p.canonical')})),
+g(k, dependent, prerequisite, lecture, dep_rank, pre_rank, deps, pres, lecs) AS (
+  SELECT 0, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, -1::BIGINT, -1::BIGINT, []::VARCHAR[], []::VARCHAR[], []::VARCHAR[]
+  UNION ALL SELECT g.k + 1, n.dependent, n.prerequisite, n.lecture, n.dep_rank, n.pre_rank, list_append(g.deps, n.dependent), list_append(g.pres, n.prerequisite), list_append(g.lecs, n.lecture) FROM g, LATERAL ({_CHOICE}) n WHERE g.k < 9)
+SELECT dependent, prerequisite, lecture, k - 1 AS k FROM g WHERE k > 0""")
+def trade_chosen_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs to be injected, chosen one after another so that none shares an end."""
+    nodes, edges = trade.graph(spark, sf_dir)
+    flagged = spark.createDataFrame([], "prerequisite string, dependent string")
+    found = inject.prerequisite_candidates(nodes, edges, lectures(spark, sf_dir), flagged, inject.Plan(_EARLY, 70))
+    return inject.greedy_pairs(found, 9, len(_EARLY))
+
+
 @query(f"""WITH RECURSIVE {BOTH_SQL}, {_LECTURES_SQL}, d AS (SELECT place, canonical, intro[1] AS lecture, intro[3] AS lec FROM nodes WHERE n_defs > 0 AND intro IS NOT NULL),
 p AS (SELECT a.canonical AS dependent, a.lecture, arg_min(b.canonical, (b.lec, b.place)) AS prerequisite FROM d a JOIN d b ON b.lec < a.lec AND b.canonical <> a.canonical LEFT JOIN lectures l ON l.lecture = a.lecture
   WHERE a.lec IN ({', '.join(map(str, _EARLY))}) AND NOT contains(coalesce(low, ''), {trade.plain_sql('b.canonical')}) GROUP BY 1, 2)
@@ -248,7 +272,7 @@ def trade_valid_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placebos: early concepts and the earliest one introduced before them."""
     nodes, _ = trade.graph(spark, sf_dir)
     none = spark.createDataFrame([], "prerequisite string, dependent string")
-    found = inject.valid_pairs(nodes, _lectures(spark, sf_dir), none, none, inject.Plan(_EARLY, 70))
+    found = inject.valid_pairs(nodes, lectures(spark, sf_dir), none, none, inject.Plan(_EARLY, 70))
     return found.select("dependent", "prerequisite", "lecture", F.col("k").cast("long").alias("k"))
 
 

@@ -27,6 +27,20 @@ def write_text(df: DataFrame, path: str, text: str, by: str | list[str] | None =
     writer.text(path)
 
 
+def write_files(df: DataFrame, path: str, name: str, text: str) -> None:
+    """The text of each row as a file of its own under its name, as tools by file name expect.
+
+    Rows come to the driver one at a time. For course artifacts, which are few; tables of any
+    size go by `write_text` and `write_json`.
+    """
+    sc = df.sparkSession.sparkContext
+    for row in df.select(F.col(name).alias("n"), F.col(text).alias("t")).toLocalIterator():
+        place = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/{row.n}")
+        out = place.getFileSystem(sc._jsc.hadoopConfiguration()).create(place, True)
+        out.write((row.t or "").encode("utf-8"))
+        out.close()
+
+
 def write_lectures(lectures: DataFrame, path: str) -> None:
     write_json(lectures.withColumn("id", F.col("lecture_id")), path, "id")
 
@@ -41,8 +55,11 @@ def write_injected(injected: DataFrame, path: str) -> None:
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    """The manifest in its order, in one file (one row a lecture)."""
-    manifest.coalesce(1).write.mode("overwrite").json(path)
+    """The manifest as one array by lecture order (equal ones as they come), in manifest.json."""
+    row = F.struct(*manifest.columns)
+    rows = manifest.select(F.struct(F.col("lecture_order").alias("o"), F.monotonically_increasing_id().alias("k"), row.alias("r")).alias("x"))
+    whole = rows.agg(F.array_sort(F.collect_list("x")).alias("a")).select(F.to_json(F.transform("a", lambda x: x["r"])).alias("text"))
+    write_files(whole.withColumn("name", F.lit("manifest.json")), path, "name", "text")
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:

@@ -1,11 +1,12 @@
 """Every query of the catalogue at the smallest size, against its SQL in DuckDB."""
 
+import functools
 import os
 
 import duckdb
 import pytest
 
-from lectern.plans import catalog
+from lectern.plans import catalog, trade
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,6 +22,15 @@ def db():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_trade_course():
+    """The trade course is resolved once for all queries that read it."""
+    with pytest.MonkeyPatch.context() as m:
+        for name in ("resolved", "graph", "lines"):
+            m.setattr(trade, name, functools.cache(getattr(trade, name)))
+        yield
+
+
 def plain(v):
     return round(v, 6) if isinstance(v, float) else v
 

@@ -18,5 +18,5 @@ def test_whole_keyword(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     want = keyword.detect_terms(docs.withColumnRenamed("doc_id", "order")).collect()
     for name, kind in (("used_before", "used_before_introduction"), ("orphan", "orphan_concept")):
-        got = {tuple(r) for r in catalog.QUERIES[f"whole_keyword_{name}"](spark, str(tmp_path)).collect()}
+        got = {tuple(r) for r in catalog.QUERIES[f"keyword_{name}"](spark, str(tmp_path)).collect()}
         assert got == {(r.term, r.appear, r.defo) for r in want if r.kind == kind} and got
