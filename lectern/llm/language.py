@@ -298,7 +298,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep(docs: DataFrame, model: Model, languages: list[str] | None = None, least: float = 0.0) -> DataFrame:
     """The documents, with all their columns, whose language is known (and, if given, listed)
-    and holds at least the share `least` of their words."""
+    and holds at least the share `least` of their words. A model that could learn no language
+    rejects only texts without a letter."""
+    if not model.labels:
+        return docs.where(F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"\p{L}"))
     allowed = None if languages is None else set(languages)
 
     def finish(batch: pa.RecordBatch, label: list, score: list) -> dict | None:

@@ -281,6 +281,11 @@ def test_fingerprint_likeness_against_plain_trees(spark):
         assert x.near_edited == 1 if own == edited else x.near_edited < 1
 
 
+def test_language_without_labels_keeps_texts(spark):
+    rows = spark.createDataFrame([(1, "some words", None, "s", 10), (2, "12 !!", None, "s", 5), (3, None, None, "s", None), (4, "слова", None, "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in language.keep(rows, language.train(rows)).collect()} == {1, 4}
+
+
 def test_language_decoding_against_all_paths(spark):
     """Forward-backward on a few words, against sums over every labelling."""
     import itertools
