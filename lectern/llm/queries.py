@@ -16,6 +16,7 @@ from lectern.llm.licenses import op2_licenses
 from lectern.llm.oracles import OP5_SQL, OP9_SQL
 from lectern.llm.suffixes import op3_suffixes
 from lectern.llm.token_counts import op7_token_counts
+from lectern.llm.variants import op11_variants
 from lectern.llm.warc import OP4_SQL, op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_jaccard": op9_jaccard,
     "op10_fingerprints": op10_fingerprints,
+    "op11_variants": op11_variants,
 }
 
 ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_jaccard": OP9_SQL}
