@@ -14,6 +14,7 @@ from lectern.llm.jaccard import op9_jaccard
 from lectern.llm.language import op8_language
 from lectern.llm.licenses import op2_licenses
 from lectern.llm.oracles import OP5_SQL, OP9_SQL
+from lectern.llm.pieces import op12_pieces
 from lectern.llm.suffixes import op3_suffixes
 from lectern.llm.token_counts import op7_token_counts
 from lectern.llm.variants import op11_variants
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard": op9_jaccard,
     "op10_fingerprints": op10_fingerprints,
     "op11_variants": op11_variants,
+    "op12_pieces": op12_pieces,
 }
 
 ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_jaccard": OP9_SQL}
