@@ -13,6 +13,7 @@ from lectern.llm.html import op1_html
 from lectern.llm.jaccard import op9_jaccard
 from lectern.llm.language import op8_language
 from lectern.llm.licenses import op2_licenses
+from lectern.llm.merkle import op13_merkle
 from lectern.llm.oracles import OP5_SQL, OP9_SQL
 from lectern.llm.pieces import op12_pieces
 from lectern.llm.suffixes import op3_suffixes
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fingerprints": op10_fingerprints,
     "op11_variants": op11_variants,
     "op12_pieces": op12_pieces,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_jaccard": OP9_SQL}
