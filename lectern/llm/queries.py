@@ -14,7 +14,7 @@ from lectern.llm.jaccard import op9_jaccard
 from lectern.llm.language import op8_language
 from lectern.llm.licenses import op2_licenses
 from lectern.llm.merkle import op13_merkle
-from lectern.llm.oracles import OP5_SQL, OP9_SQL
+from lectern.llm.oracles import OP5_SQL, OP9_SQL, OP11_SQL, OP13_SQL
 from lectern.llm.pieces import op12_pieces
 from lectern.llm.suffixes import op3_suffixes
 from lectern.llm.token_counts import op7_token_counts
@@ -37,4 +37,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_merkle": op13_merkle,
 }
 
-ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_jaccard": OP9_SQL}
+ORACLES: dict[str, str] = {"op4_warc": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_jaccard": OP9_SQL, "op11_variants": OP11_SQL, "op13_merkle": OP13_SQL}
