@@ -29,7 +29,7 @@ def main(args: list[str] | None = None, spark=None) -> int:
     ap.add_argument("--no-transitive", action="store_true")
     ap.add_argument("--dry-run", action="store_true")
     ap.add_argument("--anchored", action="store_true")
-    ap.add_argument("--max-cycle", type=int, default=8)
+    ap.add_argument("--max-cycle", type=int, default=None)
     ap.add_argument("--min-votes", type=int, default=3)
     for name in ("--n", "--n-used-before", "--n-orphan"):
         ap.add_argument(name, type=int, default=9)

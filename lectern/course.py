@@ -79,7 +79,7 @@ class Course:
         nodes = build_nodes(found.concepts, read.unit_texts(self.lectures()))
         return nodes, build_edges(found.prerequisites, nodes)
 
-    def violations(self, transitive: bool = True, max_cycle: int = 8) -> dict[str, DataFrame]:
+    def violations(self, transitive: bool = True, max_cycle: int | None = None) -> dict[str, DataFrame]:
         nodes, edges = self.graph()
         report = detect.run_detectors(nodes, edges, transitive, max_cycle)
         ranks = detect.graph_importance(nodes, edges)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions.text import excerpt, normalize_name, position, serial
-from lectern.operators.graph import ancestors, importance, simple_cycles, transitive_closure
+from lectern.operators.cycles import simple_cycles
+from lectern.operators.graph import importance
+from lectern.operators.paths import late_ancestors
 
 #: Definitions less alike than this conflict (fixed value).
 SIMILARITY = 0.82
@@ -67,8 +69,10 @@ def prerequisite_order(nodes: DataFrame, edges: DataFrame, transitive: bool = Tr
     key = F.struct("spec", "name")
     times = nodes.where("order_introduced is not null").select(key.alias("node"), "order_introduced", "lecture_introduced", "unit_introduced")
     arcs = edges.select(F.struct("spec", F.col("src").alias("name")).alias("src"), F.struct("spec", F.col("dst").alias("name")).alias("dst"))
-    pairs = ancestors(arcs).select(F.col("f").alias("src"), F.col("t").alias("dst"), "transitive") if transitive else arcs.withColumn("transitive", F.lit(False))
-    late = later_than(pairs, times, "node", "order_introduced")
+    if transitive:
+        late = late_ancestors(arcs, times, "node", "order_introduced").select(F.col("f").alias("src"), F.col("t").alias("dst"), "transitive")
+    else:
+        late = later_than(arcs.withColumn("transitive", F.lit(False)), times, "node", "order_introduced")
     places = times.select("node", F.struct("lecture_introduced", "unit_introduced").alias("p"))
     late = late.join(places.select(F.col("node").alias("src"), F.col("p").alias("a")), "src").join(places.select(F.col("node").alias("dst"), F.col("p").alias("b")), "dst")
     return late.select(
@@ -157,13 +161,13 @@ def embed(texts: DataFrame, column: str, provider, size: int) -> DataFrame:
     return texts.withColumn("vector", vectors(F.col(column)))
 
 
-def cycles(edges: DataFrame, max_len: int = 8) -> DataFrame:
-    """spec, length, cycle of dependency cycles of up to max_len concepts, and whether longer
-    ones were left open (truncated)."""
+def cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
+    """spec, length, cycle of all dependency cycles; with max_len, of those of up to so many
+    concepts."""
     arcs = edges.select(F.struct("spec", F.col("src").alias("name")).alias("src"), F.struct("spec", F.col("dst").alias("name")).alias("dst"))
-    found = simple_cycles(arcs, max_len)
     names = F.transform("path", lambda p: p["name"])
-    return found.select(F.col("path")[0]["spec"].alias("spec"), F.lit("cyclic_dependency").alias("type"), F.size("path").alias("length"), names.alias("cycle"), "truncated")
+    found = simple_cycles(arcs, max_len)
+    return found.select(F.col("path")[0]["spec"].alias("spec"), F.lit("cyclic_dependency").alias("type"), F.size("path").alias("length"), names.alias("cycle"))
 
 
 def graph_importance(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -179,7 +183,7 @@ def with_importance(violations: DataFrame, ranks: DataFrame, key: str) -> DataFr
     return rows.orderBy(F.desc("importance"), *[c for c in (key, "prerequisite", "dependent") if c in rows.columns])
 
 
-def run_detectors(nodes: DataFrame, edges: DataFrame, transitive: bool = True, max_cycle: int = 8) -> dict[str, DataFrame]:
+def run_detectors(nodes: DataFrame, edges: DataFrame, transitive: bool = True, max_cycle: int | None = None) -> dict[str, DataFrame]:
     """One table a kind of violation, and `counts`."""
     order = prerequisite_order(nodes, edges, transitive)
     found = {
@@ -234,8 +238,3 @@ def compare_rules(nodes: DataFrame, edges: DataFrame, manifest: DataFrame) -> Da
     order = manifest.select(F.col("lecture_id").alias("lecture"), "lecture_order")
     rows = rows.join(order, "lecture", "left").withColumn("ev", position(F.coalesce("lecture_order", F.lit(0)), "evidence_unit"))
     return rows.where("prerequisite <> dependent").select("spec", "prerequisite", "dependent", (F.col("ai") > F.col("bi")).alias("old"), (F.col("ai") > F.col("ev")).alias("new"))
-
-
-def strongly_connected(edges: DataFrame) -> DataFrame:
-    """node of every node on a cycle."""
-    return transitive_closure(edges).where("f = t").select(F.col("f").alias("node"))

@@ -1,10 +1,10 @@
-"""Graph operators on edge tables: components, closure, cycles, rank."""
+"""Graph operators on edge tables: components, closure, rank."""
 
 from __future__ import annotations
 
 import sys
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.session import Scratch
@@ -155,32 +155,3 @@ def counts(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """n_nodes, n_edges of distinct edges."""
     nodes = edges.select(src).union(edges.select(dst)).agg(F.count_distinct(src).alias("n_nodes"))
     return nodes.join(edges.agg(F.count("*").alias("n_edges")))
-
-
-def simple_cycles(edges: DataFrame, max_len: int, src: str = "src", dst: str = "dst") -> DataFrame:
-    """path, truncated: simple cycles of up to max_len nodes, each once, least node first.
-
-    Only edges inside a strongly connected part can be on a cycle; of these, paths grow from
-    their least node. `truncated` says that longer paths were still open at max_len.
-    """
-    arcs = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s is not null and d is not null").distinct()
-    closed = transitive_closure(arcs, "s", "d")
-    back = closed.select(F.col("f").alias("d"), F.col("t").alias("s"))
-    scratch = Scratch(edges.sparkSession)
-    arcs = scratch.save(arcs.join(back, ["s", "d"], "left_semi"))
-    paths = arcs.where("s <= d").select(F.array("s", "d").alias("path"))
-    loops = paths.where(F.col("path")[0] == F.col("path")[1]).select(F.slice("path", 1, 1).alias("path"))
-    open_ = paths.where(F.col("path")[0] < F.col("path")[1])
-    found = loops
-    for size in range(2, max_len + 1):
-        last: Column = F.element_at("path", -1)
-        found = found.unionByName(open_.join(arcs, (last == arcs.s) & (F.col("path")[0] == arcs.d)).select("path"))
-        grown = open_.join(arcs, last == arcs.s).where((F.col("d") > F.col("path")[0]) & ~F.array_contains("path", F.col("d")))
-        open_ = grown.select(F.concat("path", F.array("d")).alias("path"))
-        if size == max_len:
-            break
-        open_ = scratch.save(open_)
-        if open_.isEmpty():
-            break
-    cut = not open_.isEmpty()
-    return found.select("path", F.lit(cut).alias("truncated"))

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import stats, text
-from lectern.operators import detect, evaluate, graph, keyword, quality, resolve, segment
+from lectern.operators import cycles, detect, evaluate, graph, keyword, paths, quality, resolve, segment
 from lectern.operators.concept_graph import build_nodes, last_edge
 from lectern.operators.consensus import vote, vote_edges
 from lectern.operators.inject import numbered
 from lectern.plans import course as c
-from lectern.plans import brand_queries, experiment_queries, file_queries, trade_queries  # noqa: F401  register their queries
+from lectern.plans import brand_queries, customer_queries, experiment_queries, file_queries, trade_queries  # noqa: F401  register their queries
 from lectern.plans.course import OCC_SQL, STATED_SQL, UNITS_SQL
 from lectern.plans.registry import ORACLES, QUERIES, query
 from lectern.sources.course import read_overrides
@@ -109,8 +109,8 @@ def transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT f AS src, t AS dst, NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = f AND e.dst = t) AS is_transitive
 FROM t JOIN intro a ON a.node = f JOIN intro b ON b.node = t WHERE f <> t AND a.at > b.at""")
 def prereq_order_transitive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = graph.ancestors(c.edges(spark, sf_dir)).select(F.col("f").alias("src"), F.col("t").alias("dst"), F.col("transitive").alias("is_transitive"))
-    return detect.later_than(pairs, c.introductions(spark, sf_dir), "node", "at").select("src", "dst", "is_transitive")
+    found = paths.late_ancestors(c.edges(spark, sf_dir), c.introductions(spark, sf_dir), "node", "at")
+    return found.select(F.col("f").alias("src"), F.col("t").alias("dst"), F.col("transitive").alias("is_transitive"))
 
 
 @query(f"WITH {STATED_SQL} SELECT src, dst, max((l_orderkey, l_linenumber, date))[1] AS l_orderkey, max((l_orderkey, l_linenumber, date))[2] AS l_linenumber FROM stated GROUP BY 1, 2")
@@ -146,12 +146,12 @@ SELECT a.src || '>' || a.dst AS path FROM edges a JOIN edges b ON a.dst = b.src
 SELECT a.src || '>' || a.dst || '>' || b.dst FROM edges a JOIN edges b ON a.dst = b.src JOIN edges d ON d.src = b.dst AND d.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst""")
 def short_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cycles of up to three nodes, from their least node."""
-    return graph.simple_cycles(c.edges(spark, sf_dir), 3).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+    return cycles.simple_cycles(c.edges(spark, sf_dir), 3).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 @query(f"""WITH RECURSIVE {STATED_SQL}, t(f, t) AS (SELECT src, dst FROM edges UNION SELECT t.f, e.dst FROM t JOIN edges e ON e.src = t.t) SELECT f AS node FROM t WHERE f = t""")
 def nodes_on_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.strongly_connected(c.edges(spark, sf_dir))
+    return cycles.nodes_on_cycles(c.edges(spark, sf_dir))
 
 
 # Votes and vocabulary ----------------------------------------------------------------------
