@@ -6,7 +6,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.functions.text import is_forward_ref, position
+from lectern.functions.text import LINK, position, stems, text
+from lectern.session import saved
+
+
+#: Characters of a piece of a term by which it meets links.
+GRAM = 4
+
+
+def _grams(text_: Column, size: Column) -> Column:
+    """All stretches of `size` characters of a text."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text_) - size + 1, F.lit(1))), lambda i: F.substring(text_, i, size))
+
+
+def forward_refs(concepts: DataFrame, units: DataFrame) -> DataFrame:
+    """spec, cluster and the place (lecture, unit) of units that have a link to another document
+    with one of the concept's terms in its text.
+
+    A link has a term if it holds all of its stems or, where it has none, the term itself. Links
+    are taken out of their units once. A term meets only the links that hold the rarest of the
+    stretches of GRAM characters in what it must hold, and is then looked for in full. No text
+    of a unit moves.
+    """
+    place = [k for k in ("spec", "lecture", "unit") if k in units.columns]
+    links = saved(units.select(*place, F.explode(F.regexp_extract_all(text("text"), F.lit(LINK), F.lit(1))).alias("link")).withColumn("link", F.lower("link")).distinct())
+    own = concepts.select("spec", "cluster", F.explode(F.concat(F.array("canonical_name"), "aliases")).alias("term")).where("term is not null and term <> ''").distinct()
+    cut = stems(F.col("term"))
+    # Terms that need the same of a link are one.
+    need = F.array_sort(F.array_distinct(F.when(F.size(cut) > 0, cut).otherwise(F.array(F.lower("term")))))
+    own = saved(own.select("spec", "cluster", need.alias("need")).distinct())
+    grams = F.flatten(F.transform("need", lambda w: _grams(w, F.least(F.length(w), F.lit(GRAM)))))
+    asked = own.select("need").distinct().select("need", F.explode(F.array_distinct(grams)).alias("gram"))
+    texts = links.select("link").distinct()
+    # Pieces of terms shorter than GRAM are as long as the term.
+    sizes = F.explode(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length("link")))).alias("size")
+    held = texts.select("link", sizes).select("link", F.explode(F.array_distinct(_grams(F.col("link"), F.col("size")))).alias("gram"))
+    held = held.join(asked.select("gram").distinct(), "gram", "left_semi")
+    counts = held.groupBy("gram").agg(F.count("*").alias("f"))
+    # A piece that no link holds makes its term the rarest of all: it meets nothing.
+    rarest = asked.join(counts, "gram", "left").groupBy("need").agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "gram"))["gram"].alias("gram"))
+    cited = held.join(rarest, "gram").where(F.forall("need", lambda w: F.contains("link", w))).select("need", "link")
+    places = links.join(cited, "link").select(*place, "need").distinct()
+    return places.join(own, [k for k in ("spec", "need") if k in places.columns]).select("spec", "cluster", "lecture", "unit").distinct()
 
 
 def appearances(concepts: DataFrame, units: DataFrame | None) -> DataFrame:
@@ -15,13 +56,13 @@ def appearances(concepts: DataFrame, units: DataFrame | None) -> DataFrame:
     units: lecture, unit, text (and spec, if texts differ by variant). An appearance is a
     forward reference if its unit names the concept inside a link to another document.
     """
-    rows = concepts.select("spec", F.col("canonical_name").alias("name"), F.concat(F.array("canonical_name"), "aliases").alias("terms"), F.posexplode("appearances").alias("i", "a"))
-    rows = rows.select("spec", "name", "terms", "i", "a.lecture", "a.lecture_order", "a.unit", "a.role", position("a.lecture_order", "a.unit").alias("at"))
+    rows = concepts.select("spec", "cluster", F.col("canonical_name").alias("name"), F.posexplode("appearances").alias("i", "a"))
+    rows = rows.select("spec", "cluster", "name", "i", "a.lecture", "a.lecture_order", "a.unit", "a.role", position("a.lecture_order", "a.unit").alias("at"))
     if units is None:
-        return rows.drop("terms").withColumn("forward_ref", F.lit(False))
-    keys = [k for k in ("spec", "lecture", "unit") if k in units.columns]
-    rows = rows.join(units.select(*keys, "text"), keys, "left")
-    return rows.withColumn("forward_ref", is_forward_ref(F.col("text"), F.col("terms"))).drop("text", "terms")
+        return rows.drop("cluster").withColumn("forward_ref", F.lit(False))
+    flags = saved(forward_refs(concepts, units)).withColumn("cited", F.lit(True))
+    rows = rows.join(flags, ["spec", "cluster", "lecture", "unit"], "left")
+    return rows.select("spec", "name", "i", "lecture", "lecture_order", "unit", "role", "at", F.col("cited").isNotNull().alias("forward_ref"))
 
 
 def first_where(when: Column, value: Column, order: Column) -> Column:

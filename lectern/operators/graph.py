@@ -19,35 +19,47 @@ DENSE = 2_000_000
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", nodes: DataFrame | None = None) -> DataFrame:
     """node, component: the smallest node that undirected edges lead to.
 
-    Every step takes the smallest label among a node's neighbours, then jumps to that label's
-    own label, so chains halve; it ends when nothing changes. Nodes come from the edges and,
-    if given, from `nodes` (one column). Loops, repeated edges and nulls in edges are ignored.
+    Alternating stars: all larger neighbours of a node are linked to the least node around it,
+    then all smaller ones and the node itself to the least of them, until every node hangs on
+    its component's least. The least around a node is aggregated before it meets the node's
+    edges, and nodes that are the least around themselves, which in the end have the most edges,
+    keep theirs. Nodes come from the edges and, if given, from `nodes` (one column). Loops,
+    repeated edges and nulls in edges are ignored.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
     scratch = Scratch(edges.sparkSession)
-    both = scratch.save(pairs.union(pairs.select("b", "a")).distinct())
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
-    labels = scratch.save(labels)
-    small = F.broadcast if labels.count() <= BROADCAST_NODES else lambda df: df
+    # Of an edge, u is the larger end.
+    stars = scratch.save(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    small = F.broadcast if stars.count() <= BROADCAST_NODES else lambda df: df
+    state = None
     while True:
-        near = both.join(small(labels), both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        step = near.join(small(labels), labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        target = labels.select(F.col("node").alias("t"), F.col("label").alias("jump"))
-        step = step.join(small(target), step.label == target.t, "left").select("node", "old", F.least("label", "jump").alias("label"))
-        step = scratch.save(step)
-        changed = not step.where("label <> old").isEmpty()
-        labels = step.select("node", "label")
-        scratch.drop(both, step)
-        if not changed:
+        stars = _small_star(_large_star(stars, small), small)
+        stars = scratch.save(stars)
+        scratch.drop(stars)
+        now = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        if now == state:
             break
-    scratch.drop(step)
-    found = labels.select("node", F.col("label").alias("component"))
+        state = now
+    found = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
     if nodes is None:
-        return found
+        return found.union(found.select("component", "component").distinct())
     own = nodes.select(F.col(nodes.columns[0]).alias("node")).where("node is not null").distinct()
     return own.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def _large_star(stars: DataFrame, small) -> DataFrame:
+    both = stars.union(stars.select("v", "u"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).where("m < u")
+    near = both.where("v > u").join(small(least), "u", "left")
+    return near.select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v")).distinct()
+
+
+def _small_star(stars: DataFrame, small) -> DataFrame:
+    least = stars.groupBy("u").agg(F.min("v").alias("m"))
+    near = stars.join(small(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return least.select("u", F.col("m").alias("v")).union(near).distinct()
+
+
 def reached(arcs: DataFrame, start: DataFrame, scratch: Scratch, f: str, t: str) -> DataFrame:
     """x of the nodes to which a path of one arc or more leads from start (one column, x)."""
     step = arcs.select(F.col(f).alias("x"), F.col(t).alias("y"))

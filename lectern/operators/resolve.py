@@ -53,13 +53,31 @@ def collect_occurrences(extractions: DataFrame, manifest: DataFrame) -> tuple[Da
 def ambiguous_names(names: DataFrame, keys: DataFrame) -> DataFrame:
     """spec, key: keys whose words are fewer than, and all among, those of two names or more.
 
-    names: spec, normalized (distinct); keys: spec, key. Names are found over an index of
-    their words, so no key meets names that share none.
+    names: spec, normalized (distinct); keys: spec, key. A key of one word or two is judged by
+    counts of names alone. A longer one meets the names that hold its two rarest words, where
+    the other words are looked up; so a word that all names share brings no pairs about.
     """
-    index = names.select("spec", "normalized", F.size(tokens(F.col("normalized"))).alias("n"), F.explode(tokens(F.col("normalized"))).alias("token"))
-    asked = keys.select("spec", "key", F.size(tokens(F.col("key"))).alias("k"), F.explode(tokens(F.col("key"))).alias("token")).distinct()
-    met = asked.join(index, ["spec", "token"]).groupBy("spec", "key", "normalized", "k", "n").agg(F.count("*").alias("shared"))
-    return met.where("shared = k and k < n").groupBy("spec", "key").agg(F.count("*").alias("m")).where("m >= 2").select("spec", "key")
+    index = names.select("spec", "normalized", tokens(F.col("normalized")).alias("words")).withColumn("n", F.size("words"))
+    word = index.select("spec", "normalized", "n", F.explode("words").alias("word"))
+    counts = word.groupBy("spec", "word").agg(F.count("*").alias("f"), F.count_if(F.col("n") > 1).alias("longer"))
+    asked = keys.select("spec", "key", tokens(F.col("key")).alias("own")).distinct().withColumn("k", F.size("own"))
+    # Keys with a word that is in no name drop out here.
+    met = asked.select("spec", "key", "k", F.explode("own").alias("word")).join(counts, ["spec", "word"])
+    met = met.groupBy("spec", "key", "k").agg(F.array_sort(F.collect_list(F.struct("f", "word", "longer"))).alias("o")).where(F.size("o") == F.col("k"))
+    one = met.where((F.col("k") == 1) & (F.col("o")[0]["longer"] >= 2)).select("spec", "key")
+    rarest = [F.col("o")[i]["word"] for i in (0, 1)]
+    more = met.where("k > 1").select("spec", "key", "k", F.least(*rarest).alias("a"), F.greatest(*rarest).alias("b"))
+    # Pairs of words of a name, among words that are one of a key's two.
+    chosen = more.select("spec", F.explode(F.array("a", "b")).alias("word")).distinct()
+    held = word.join(chosen, ["spec", "word"], "left_semi")
+    pairs = held.select("spec", "normalized", "n", F.col("word").alias("a")).join(held.select("spec", "normalized", F.col("word").alias("b")), ["spec", "normalized"]).where("a < b")
+    pairs = pairs.join(more.select("spec", "a", "b").distinct(), ["spec", "a", "b"])
+    both = pairs.where("n > 2").groupBy("spec", "a", "b").agg(F.count("*").alias("m")).where("m >= 2")
+    two = more.where("k = 2").join(both, ["spec", "a", "b"], "left_semi").select("spec", "key")
+    met = more.where("k > 2").join(pairs, ["spec", "a", "b"]).where("n > k")
+    inside = F.size(F.array_except(tokens(F.col("key")), tokens(F.col("normalized")))) == 0
+    many = met.where(inside).groupBy("spec", "key").agg(F.count("*").alias("m")).where("m >= 2").select("spec", "key")
+    return one.unionByName(two).unionByName(many)
 
 
 def _groups(overrides: DataFrame, column: str) -> DataFrame:
@@ -81,31 +99,34 @@ def cluster(occs: DataFrame, overrides: DataFrame) -> DataFrame:
 
     Links: the same non-empty normalised name; an alias that is another occurrence's name,
     unless a split group keeps the two names apart or the alias is ambiguous; and forced
-    merges. Excluded names are left out before.
+    merges. Excluded names are left out before. Occurrences of a name are together whatever
+    happens, so names are linked, not occurrences; one without a name left is by itself.
     """
+    alone = F.when(F.col("normalized") == "", F.col("occ_id")).otherwise(-1)
+    occs = occs.withColumn("alone", alone)
+    key = ["spec", "normalized", "alone"]
     out = overrides.select(F.explode("exclude").alias("x")).select(normalize_name("x").alias("normalized")).distinct()
-    occs = occs.join(F.broadcast(out), "normalized", "left_anti")
-    node = F.struct("spec", "occ_id")
-    named = occs.where("normalized <> ''")
-    first = named.groupBy("spec", "normalized").agg(F.min("occ_id").alias("first"))
-    same = named.join(first, ["spec", "normalized"]).select(node.alias("a"), F.struct("spec", F.col("first").alias("occ_id")).alias("b"))
-    keys = occs.select("spec", "occ_id", "normalized", F.explode("aliases").alias("alias")).select("spec", "occ_id", "normalized", normalize_name("alias").alias("key")).where("key <> '' and key <> normalized").distinct()
-    bridges = keys.join(first.select("spec", F.col("normalized").alias("key"), "first"), ["spec", "key"])
-    veto = _forbidden(overrides)
-    bridges = bridges.join(F.broadcast(veto), (F.col("normalized") == F.col("a")) & (F.col("key") == F.col("b")), "left_anti")
-    bridges = bridges.join(ambiguous_names(first.select("spec", "normalized"), bridges.select("spec", "key").distinct()), ["spec", "key"], "left_anti")
-    bridges = bridges.select(node.alias("a"), F.struct("spec", F.col("first").alias("occ_id")).alias("b"))
-    forced = _merged(occs, overrides)
-    links = same.union(bridges).union(forced)
-    found = connected_components(links, "a", "b", occs.select(node.alias("node")))
-    return occs.join(found.select("node.spec", "node.occ_id", F.col("component.occ_id").alias("cluster")), ["spec", "occ_id"])
-
-
-def _merged(occs: DataFrame, overrides: DataFrame) -> DataFrame:
-    g = F.broadcast(_groups(overrides, "merge_groups").withColumnRenamed("name", "normalized"))
-    own = occs.join(g, "normalized").select("spec", "occ_id", "g")
-    first = own.groupBy("spec", "g").agg(F.min("occ_id").alias("first"))
-    return own.join(first, ["spec", "g"]).select(F.struct("spec", "occ_id").alias("a"), F.struct("spec", F.col("first").alias("occ_id")).alias("b"))
+    names = saved(occs.groupBy(*key).agg(F.min("occ_id").alias("first")).join(out, "normalized", "left_anti"))
+    named = names.where("normalized <> ''")
+    said = occs.select(*key, F.explode("aliases").alias("alias")).distinct()
+    said = said.select(*key, normalize_name("alias").alias("key")).where("key <> '' and key <> normalized").distinct().join(names.select(*key), key, "left_semi")
+    bridges = said.join(named.select("spec", F.col("normalized").alias("key")), ["spec", "key"])
+    bridges = bridges.join(_forbidden(overrides), (F.col("normalized") == F.col("a")) & (F.col("key") == F.col("b")), "left_anti")
+    bridges = saved(bridges.join(ambiguous_names(named.select("spec", "normalized"), bridges.select("spec", "key").distinct()), ["spec", "key"], "left_anti"))
+    node = F.struct(*key)
+    links = bridges.select(node.alias("a"), F.struct("spec", F.col("key").alias("normalized"), F.lit(-1).cast("long").alias("alone")).alias("b"))
+    found = connected_components(links.union(_merged(named, overrides)), "a", "b", names.select(node.alias("node")))
+    found = found.select("node.*", "component").join(names, key)
+    least = found.groupBy("component").agg(F.min("first").alias("cluster"))
+    placed_ = saved(found.join(least, "component").select(*key, "cluster"))
+    return occs.join(placed_, key).drop("alone")
+
+
+def _merged(named: DataFrame, overrides: DataFrame) -> DataFrame:
+    """a, b: names that a merge group puts together, each with the group's first."""
+    own = named.join(_groups(overrides, "merge_groups").withColumnRenamed("name", "normalized"), "normalized").select("spec", "g", F.struct("spec", "normalized", "alone").alias("a"))
+    first = own.groupBy("spec", "g").agg(F.min("a").alias("b"))
+    return own.join(first, ["spec", "g"]).select("a", "b")
 
 
 def canonical_names(members: DataFrame) -> DataFrame:

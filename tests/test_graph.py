@@ -87,8 +87,21 @@ def test_empty_and_short(spark):
     alone = spark.createDataFrame([(7,), (8,)], "node int")
     assert {tuple(r) for r in graph.connected_components(none, nodes=alone).collect()} == {(7, 7), (8, 8)}
     assert {r.importance for r in graph.importance(none, alone).collect()} == {1.0}
-    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "src int, dst int")
-    assert {r.component for r in graph.connected_components(chain).collect()} == {0}
+
+
+def test_components_of_a_chain_in_few_rounds(spark, monkeypatch):
+    tables = []
+    save = graph.Scratch.save
+    monkeypatch.setattr(graph.Scratch, "save", lambda self, df: tables.append(1) or save(self, df))
+    n = 100_000
+    names = list(range(n))
+    random.Random(1).shuffle(names)
+    for order in (range(1000), names):
+        chain = spark.createDataFrame([*zip(order, list(order)[1:], strict=False)], "src int, dst int")
+        del tables[:]
+        found = graph.connected_components(chain)
+        assert found.where("component = 0").count() == found.count() == len(order)
+        assert len(tables) <= 20
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
