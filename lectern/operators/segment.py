@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lectern.functions.text import content_chars, heading_kind, python_lines, strip, unit_id, without_rules
+from lectern.functions.text import SPACE, content_chars, heading_kind, python_lines, strip, unit_id, without_rules
 
 #: Heading of what stands before the first section, and rendered marks (fixed values).
 PREAMBLE, LECTURE_WORD, UNIT_WORD = "(преамбула)", "Лекція", "Unit"
@@ -20,48 +19,71 @@ KEYWORD = (
 FIGURE, PAGE_NUMBER = r"^\s*Рис\.\s*[0-9]", r"^\s*[0-9]{1,3}\s*\z"
 
 
+#: What a line is: a fence, the two levels of headings that count, other text, or blank.
+_FENCE, _ONE, _TWO, _TEXT, _BLANK = range(5)
+
+
+def _line_kind(line: Column) -> Column:
+    found = F.when(line.rlike(FENCE), _FENCE).when(line.startswith("##") & line.rlike(r"^##[\s\p{Z}]+") & ~line.startswith("###"), _TWO)
+    return found.when(line.startswith("#") & ~line.startswith("##") & line.rlike(r"^#[\s\p{Z}]+"), _ONE).when(line.rlike(rf"[^{SPACE}]"), _TEXT).otherwise(_BLANK)
+
+
+def _outline(lines: Column) -> Column:
+    """One pass over the lines: whether a fence is open, and the places of the title (-1: none),
+    of the preamble's first line (-1) and of the sections' headings."""
+    start = F.struct(F.lit(False).alias("open"), F.lit(-1).alias("title"), F.lit(-1).alias("begun"), F.array().cast("array<int>").alias("heads"))
+    marked = F.transform(lines, lambda x, i: F.struct(i.alias("i"), _line_kind(x).alias("kind")))
+
+    def step(state: Column, line: Column) -> Column:
+        kind, i, outside = line["kind"], line["i"], ~state["open"]
+        head = outside & (kind == _TWO)
+        title = outside & (kind == _ONE) & (state["title"] < 0)
+        body = ~head & ~title & (kind != _FENCE) & (kind != _BLANK)
+        return F.struct(
+            (state["open"] != (kind == _FENCE)).alias("open"), F.when(title, i).otherwise(state["title"]).alias("title"),
+            F.when(body & (state["begun"] < 0) & (F.size(state["heads"]) == 0), i).otherwise(state["begun"]).alias("begun"),
+            F.when(head, F.concat(state["heads"], F.array(i))).otherwise(state["heads"]).alias("heads"),
+        )
+
+    return F.aggregate(marked, start, step)
+
+
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are computed once: plain projections may be merged into each use."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def segment(lectures: DataFrame) -> DataFrame:
     """lecture_id, lecture_order, title, source_file, units of markdown lectures.
 
-    lectures: lecture_id, lecture_order, file_name, text. The lines of a lecture are numbered;
-    fence parity, the title (the first H1 outside fences) and sections (H2 outside fences)
-    are running sums over them. Text before the first section is a unit of its own, from its
-    first line that isn't blank. A lecture without a title is titled by its id.
+    lectures: lecture_id, lecture_order, file_name, text; a row a lecture. A lecture is folded
+    over its lines where it stands, and its units are slices of them: nothing is shuffled. The
+    title is the first H1 outside fences, sections are the H2 outside them. Text before the
+    first section is a unit of its own, from its first line that is neither blank nor a fence.
+    A lecture without a title is titled by its id; one without text has no units.
     """
-    rows = lectures.select("lecture_id", "lecture_order", "file_name", F.posexplode(python_lines(F.col("text"))).alias("i", "line"))
-    upto = Window.partitionBy("lecture_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    fence = F.col("line").rlike(FENCE)
-    rows = rows.withColumn("fence", fence).withColumn("open", F.sum(fence.cast("int")).over(upto) % 2 == 1)
-    outside = ~F.col("fence") & ~F.col("open")
-    one = outside & F.col("line").rlike(r"^#[\s\p{Z}]+") & ~F.col("line").startswith("##")
-    two = outside & F.col("line").rlike(r"^##[\s\p{Z}]+") & ~F.col("line").startswith("###")
-    rows = rows.withColumn("two", two).withColumn("title", one & (F.sum(one.cast("int")).over(upto) == 1))
-    rows = rows.withColumn("section", F.sum(F.col("two").cast("int")).over(upto))
-    body = ~F.col("two") & ~F.col("title")
-    # The preamble starts at its first line with text that is no fence.
-    begun = F.max((body & ~F.col("fence") & (strip("line") != "")).cast("int")).over(upto) == 1
-    rows = rows.withColumn("begun", begun)
-    kept = rows.where(F.col("two") | F.col("title") | (F.col("section") > 0) | (body & F.col("begun")))
-    head = Window.partitionBy("lecture_id")
-    kept = kept.withColumn("name", F.max(F.when(F.col("title"), strip(F.regexp_replace("line", r"^#[\s\p{Z}]+", "")))).over(head))
-    units = kept.where(~F.col("title")).groupBy("lecture_id", "lecture_order", "file_name", "name", "section").agg(
-        F.max(F.when(F.col("two"), strip(F.regexp_replace("line", r"^##[\s\p{Z}]+", "")))).alias("heading"),
-        F.array_sort(F.collect_list(F.when(~F.col("two"), F.struct("i", "line")))).alias("lines"),
-    )
-    text = without_rules(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
-    units = units.select(
-        "lecture_id", "lecture_order", "file_name", "name", "section",
-        F.coalesce("heading", F.lit(PREAMBLE)).alias("heading"), F.when(F.col("heading").isNull(), "content").otherwise(heading_kind("heading")).alias("kind"), text.alias("text"),
-    )
-    ordinal = F.row_number().over(Window.partitionBy("lecture_id").orderBy("section")).cast("int")
-    units = units.withColumn("order", ordinal).withColumn("unit_id", unit_id(F.col("lecture_order"), F.col("order")))
-    unit = F.struct("heading", "kind", "text", "unit_id", "order")
-    made = units.groupBy("lecture_id").agg(F.max("name").alias("name"), F.array_sort(F.collect_list(F.struct("order", unit.alias("u")))).alias("u"))
-    titles = kept.groupBy("lecture_id").agg(F.max("name").alias("any"))
-    found = lectures.select("lecture_id", "lecture_order", F.col("file_name").alias("source_file")).join(titles, "lecture_id", "left").join(made, "lecture_id", "left")
-    named = F.when(F.coalesce("any", F.lit("")) == "", F.col("lecture_id")).otherwise(F.col("any"))
-    none = F.array().cast("array<struct<heading:string,kind:string,text:string,unit_id:string,`order`:int>>")
-    return found.select("lecture_id", "lecture_order", named.alias("title"), "source_file", F.coalesce(F.transform("u", lambda x: x["u"]), none).alias("units"))
+    rows = _once(lectures.select("lecture_id", "lecture_order", "file_name", "text"), _lines=python_lines(F.col("text")))
+    rows = _once(rows, _o=_outline(F.col("_lines")))
+    lines, title, heads = F.col("_lines"), F.col("_o.title"), F.col("_o.heads")
+    ends = F.concat(heads, F.array(F.size(lines)))
+    parts = F.transform(heads, lambda h, j: F.struct(h.alias("head"), (h + 1).alias("at"), F.get(ends, j + 1).alias("end")))
+    before = F.array(F.struct(F.lit(-1).alias("head"), F.col("_o.begun").alias("at"), F.get(ends, F.lit(0)).alias("end")))
+    rows = _once(rows, _parts=F.when(F.col("_o.begun") >= 0, F.concat(before, parts)).otherwise(parts))
+
+    def unit(p: Column, j: Column) -> Column:
+        own = F.slice(lines, p["at"] + 1, p["end"] - p["at"])
+        untitled = F.concat(F.slice(lines, p["at"] + 1, title - p["at"]), F.slice(lines, title + 2, p["end"] - title - 1))
+        body = F.when((title >= p["at"]) & (title < p["end"]), untitled).otherwise(own)
+        named = strip(F.regexp_replace(F.get(lines, p["head"]), r"^##[\s\p{Z}]+", ""))
+        order = (j + 1).cast("int")
+        return F.struct(
+            F.when(p["head"] < 0, PREAMBLE).otherwise(named).alias("heading"), F.when(p["head"] < 0, "content").otherwise(heading_kind(named)).alias("kind"),
+            without_rules(F.array_join(body, "\n")).alias("text"), unit_id(F.col("lecture_order"), order).alias("unit_id"), order.alias("order"),
+        )
+
+    said = F.when(title >= 0, strip(F.regexp_replace(F.get(lines, title), r"^#[\s\p{Z}]+", ""))).otherwise("")
+    rows = _once(rows, title=F.coalesce(F.nullif(said, F.lit("")), "lecture_id"), units=F.transform("_parts", unit))
+    return rows.select("lecture_id", "lecture_order", "title", F.col("file_name").alias("source_file"), "units")
 
 
 def manifest(lectures: DataFrame) -> DataFrame:
@@ -78,7 +100,8 @@ def render(lectures: DataFrame) -> DataFrame:
     own = F.filter("units", lambda u: u["kind"] == "content")
     blocks = F.transform(own, lambda u: F.concat(F.lit(f"## {UNIT_WORD} "), u["unit_id"], F.lit(" — "), u["heading"], F.lit("\n\n"), u["text"], F.lit("\n")))
     head = F.concat(F.lit(f"# {LECTURE_WORD} "), F.col("lecture_order").cast("string"), F.lit(": "), "title", F.lit("\n_Source: "), "source_file", F.lit("_\n"))
-    return lectures.select("lecture_id", "lecture_order", F.array_join(F.concat(F.array(head), blocks), "\n").alias("text"))
+    # Whoever reads the text several times shouldn't render it as often.
+    return _once(lectures, text=F.array_join(F.concat(F.array(head), blocks), "\n")).select("lecture_id", "lecture_order", "text")
 
 
 def middle_unit(lectures: DataFrame) -> DataFrame:
@@ -113,7 +136,7 @@ def slides_to_markdown(slides: DataFrame) -> DataFrame:
 
     slides: stem, title (the whole heading of the lecture), text. Words broken over line ends
     are joined, blank lines and page numbers dropped, lines that look like headings become
-    sections, and other lines of a section one paragraph.
+    sections, and other lines of a section one paragraph. Nothing is shuffled.
     """
     joined = F.regexp_replace("text", r"([а-яіїєґА-ЯІЇЄҐ])-\s*\n\s*([а-яіїєґ])", "$1$2")
     lines = F.transform(F.split(joined, "\n"), lambda s: strip(F.regexp_replace(s, "[ \t]+", " ")))
@@ -124,16 +147,16 @@ def slides_to_markdown(slides: DataFrame) -> DataFrame:
     def heading(s):
         return (F.length(s) <= 90) & ~s.rlike(FIGURE) & (s.rlike(NUMBERED) | s.rlike(KEYWORD))
 
-    rows = slides.select("stem", "title", F.posexplode_outer(body).alias("i", "line")).withColumn("head", F.coalesce(heading(F.col("line")), F.lit(False)))
-    upto = Window.partitionBy("stem").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("section", F.sum(F.col("head").cast("int")).over(upto))
-    parts = rows.groupBy("stem", "title", "section").agg(
-        F.max(F.when(F.col("head"), F.col("line"))).alias("heading"),
-        F.array_sort(F.collect_list(F.when(~F.col("head") & F.col("line").isNotNull(), F.struct("i", "line")))).alias("lines"),
-    )
-    para = F.when(F.size("lines") > 0, F.concat(F.array_join(F.transform("lines", lambda x: x["line"]), " "), F.lit("\n")))
-    block = F.array_join(F.array_compact(F.array(F.concat(F.lit("## "), "heading", F.lit("\n")), para)), "\n")
-    parts = parts.select("stem", "title", "section", block.alias("block"))
-    made = parts.groupBy("stem", "title").agg(F.array_sort(F.collect_list(F.when(F.col("block") != "", F.struct("section", "block")))).alias("b"))
-    return made.select("stem", F.array_join(F.concat(F.array(F.concat(F.lit("# "), "title", F.lit("\n"))), F.transform("b", lambda x: x["block"])), "\n").alias("text"))
+    rows = _once(slides.select("stem", "title", "text"), body=body)
+    own = F.col("body")
+    heads = F.filter(F.transform(own, lambda x, i: F.when(heading(x), i).otherwise(-1)), lambda i: i >= 0)
+    rows = _once(rows, heads=heads).withColumn("ends", F.concat("heads", F.array(F.size("body"))))
+
+    def block(head: Column, at: Column, end: Column) -> Column:
+        para = F.when(end > at, F.concat(F.array_join(F.slice(own, at + 1, end - at), " "), F.lit("\n")))
+        return F.array_join(F.array_compact(F.array(F.when(head >= 0, F.concat(F.lit("## "), F.get(own, head), F.lit("\n"))), para)), "\n")
 
+    first = F.array(block(F.lit(-1), F.lit(0), F.get("ends", F.lit(0))))
+    blocks = F.concat(first, F.transform("heads", lambda h, j: block(h, h + 1, F.get("ends", j + 1))))
+    top = F.array(F.concat(F.lit("# "), "title", F.lit("\n")))
+    return rows.select("stem", F.array_join(F.concat(top, F.filter(blocks, lambda b: b != "")), "\n").alias("text"))

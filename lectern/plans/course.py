@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt to all cores where fewer tasks would read them: few files of long texts."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """concept, conv_id, turn, role: the distinct words of each turn that isn't the system's."""
     rows = table(spark, sf_dir, "conversations").where("role <> 'system'")
@@ -58,7 +64,7 @@ def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def marked_lectures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lecture_id, lecture_order, file_name, text: documents as lectures, in which a line that
     ends in a full stop heads a section."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     lines = F.transform(F.split("text", "\n"), lambda x: F.when(x.endswith("."), F.concat(F.lit("## "), x)).otherwise(x))
     key = F.col("doc_id").cast("string")
     return docs.select(key.alias("lecture_id"), F.col("doc_id").cast("int").alias("lecture_order"), F.concat(key, F.lit(".md")).alias("file_name"), F.array_join(lines, "\n").alias("text"))
