@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions.text import strip
+from lectern.session import saved
 
 #: A unit id in extractions (fixed value).
 UNIT_ID = r"^[0-9]{2}#[0-9]{2}$"
@@ -44,6 +45,8 @@ def validate(raw: DataFrame, lectures: DataFrame) -> DataFrame:
         F.lower(F.concat(F.array_join(F.transform("units", lambda u: u["text"]), "\n"), F.lit("\n"), F.array_join(F.transform("units", lambda u: u["heading"]), "\n"))).alias("searchable"),
     )
     top = raw.select("lecture_id", "value", F.get_json_object("value", "$.lecture_id").alias("said"), F.get_json_object("value", "$.concepts").alias("cs"), F.get_json_object("value", "$.prerequisites").alias("ps"))
+    # What the rules read is parsed once: extractions, their items, and the items in their units.
+    units, top = saved(units), saved(top)
     arrays = (F.col("cs").isNull() | _is_array(F.col("cs"))) & (F.col("ps").isNull() | _is_array(F.col("ps")))
     issues = [
         _issue(top, "keys", F.sort_array(_keys(F.col("value"))) != F.array(*map(F.lit, sorted(TOP))), F.array_join(_keys(F.col("value")), ",")),
@@ -56,42 +59,48 @@ def validate(raw: DataFrame, lectures: DataFrame) -> DataFrame:
         parsed = F.from_json(F.coalesce(F.col(column), F.lit("[]")), "array<string>")
         return good.select("lecture_id", F.posexplode(parsed).alias("i", "raw"))
 
-    concepts = items("cs")
     lacks = F.array_except(F.array(*map(F.lit, CONCEPT)), _keys(F.col("raw")))
     more = F.array_except(_keys(F.col("raw")), F.array(*map(F.lit, CONCEPT)))
-    issues.append(_issue(concepts, "missing", F.size(lacks) > 0, F.array_join(F.sort_array(lacks), ",")))
-    whole = concepts.where(F.size(lacks) == 0)
-    issues.append(_issue(whole, "extra", F.size(more) > 0, F.array_join(F.sort_array(more), ",")))
     field = {c: F.coalesce(F.get_json_object("raw", f"$.{c}"), F.lit("")) for c in CONCEPT}
-    whole = whole.select("lecture_id", "i", *[v.alias(c) for c, v in field.items() if c != "aliases"], F.get_json_object("raw", "$.aliases").alias("aliases"))
-    whole = whole.withColumn("nl", F.lower(strip("name")))
+    concepts = items("cs").select(
+        "lecture_id", "i", lacks.alias("lacks"), more.alias("more"), *[v.alias(c) for c, v in field.items() if c != "aliases"], F.get_json_object("raw", "$.aliases").alias("aliases")
+    )
+    concepts = saved(concepts.withColumn("nl", F.lower(strip("name"))))
+    issues.append(_issue(concepts, "missing", F.size("lacks") > 0, F.array_join(F.sort_array("lacks"), ",")))
+    whole = concepts.where(F.size("lacks") == 0)
+    issues.append(_issue(whole, "extra", F.size("more") > 0, F.array_join(F.sort_array("more"), ",")))
     issues.append(_issue(whole, "empty", F.col("nl") == "", F.lit("empty name")))
     named = whole.where("nl <> ''").withColumn("before", F.lag("i").over(Window.partitionBy("lecture_id", "nl").orderBy("i")))
-    introduced, defined = F.col("role") == "introduced", strip("definition") != ""
+    defined = strip("definition") != ""
+    al = F.when(_is_array(F.col("aliases")), F.transform(F.from_json("aliases", "array<string>"), lambda a: F.lower(strip(a))))
+    in_units = F.array_contains(F.coalesce("content", F.array().cast("array<string>")), F.col("first_mentioned_unit"))
+    said = F.contains("searchable", F.col("nl")) | F.exists("al", lambda a: F.contains(F.col("searchable"), a))
+    named = named.withColumn("al", al).join(units, "lecture_id", "left")
+    named = saved(named.select("lecture_id", "i", "name", "nl", "role", "first_mentioned_unit", "before", defined.alias("defined"), "al", in_units.alias("in_units"), said.alias("said")))
+    introduced, defined = F.col("role") == "introduced", F.col("defined")
+    own = named.where("al is not null")
     issues += [
         _issue(named, "duplicate", F.col("before").isNotNull(), F.format_string("%s, also %d", "name", "before")),
         _issue(named, "role", ~F.col("role").isin("introduced", "used"), F.col("role")),
         _issue(named, "introduced", introduced & ~defined, F.col("name")),
         _issue(named, "used", (F.col("role") == "used") & defined, F.col("name")),
+        _issue(named, "unit", ~F.col("in_units"), F.col("first_mentioned_unit")),
+        _issue(named, "aliases", F.col("al").isNull(), F.col("name")),
+        _issue(own, "own_alias", F.array_contains("al", F.col("nl")), F.col("name")),
+        _issue(own, "verbatim", ~F.coalesce("said", F.lit(False)), F.col("name"), "WARNING"),
     ]
-    placed = named.join(units, "lecture_id", "left")
-    issues.append(_issue(placed, "unit", ~F.array_contains(F.coalesce("content", F.array().cast("array<string>")), F.col("first_mentioned_unit")), F.col("first_mentioned_unit")))
-    issues.append(_issue(named, "aliases", ~_is_array(F.col("aliases")), F.col("name")))
-    own = placed.where(_is_array(F.col("aliases"))).withColumn("al", F.transform(F.from_json("aliases", "array<string>"), lambda a: F.lower(strip(a))))
-    issues.append(_issue(own, "own_alias", F.array_contains("al", F.col("nl")), F.col("name")))
-    seen = F.contains("searchable", F.col("nl")) | F.exists("al", lambda a: F.contains(F.col("searchable"), a))
-    issues.append(_issue(own, "verbatim", ~F.coalesce(seen, F.lit(False)), F.col("name"), "WARNING"))
     names = named.groupBy("lecture_id", "nl").agg(F.max("i").alias("last"))
     owners = own.select("lecture_id", "i", "name", F.posexplode("al").alias("j", "nl")).groupBy("lecture_id", "nl").agg(F.min_by("i", F.struct("i", "j")).alias("i"))
     issues.append(_issue(owners.join(names, ["lecture_id", "nl"]), "alias", F.col("last") != F.col("i"), F.col("nl")))
 
-    edges = items("ps")
     lacks = F.array_except(F.array(*map(F.lit, EDGE)), _keys(F.col("raw")))
-    issues.append(_issue(edges, "edge_missing", F.size(lacks) > 0, F.array_join(F.sort_array(lacks), ",")))
-    edges = edges.where(F.size(lacks) == 0).select(
-        "lecture_id", "i", F.lower(strip(F.get_json_object("raw", "$.from"))).alias("f"), F.lower(strip(F.get_json_object("raw", "$.to"))).alias("t"),
+    edges = items("ps").select(
+        "lecture_id", "i", lacks.alias("lacks"), F.lower(strip(F.get_json_object("raw", "$.from"))).alias("f"), F.lower(strip(F.get_json_object("raw", "$.to"))).alias("t"),
         F.coalesce(F.get_json_object("raw", "$.evidence_unit"), F.lit("")).alias("unit"),
     )
+    edges = saved(edges)
+    issues.append(_issue(edges, "edge_missing", F.size("lacks") > 0, F.array_join(F.sort_array("lacks"), ",")))
+    edges = edges.where(F.size("lacks") == 0)
     for rule, end in (("from", "f"), ("to", "t")):
         unknown = edges.join(names.select("lecture_id", F.col("nl").alias(end)), ["lecture_id", end], "left_anti")
         issues.append(_issue(unknown, rule, F.lit(True), F.col(end)))
