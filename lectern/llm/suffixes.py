@@ -20,8 +20,11 @@ from lectern.llm.common import column, map_batches, read, released, utf8
 #: the same place, and only suffixes at anchors (about one in 70) need sorting.
 LENGTH, GRAM = 200, 60
 REACH = LENGTH - GRAM  # how far before its anchor a string can start
+PIECE = LENGTH + REACH  # bytes around an anchor, and of a piece of a periodic stretch
 #: Bytes of text hashed at once, and suffixes in a run.
 SLICE_BYTES, RUN_SUFFIXES = 1 << 20, 1 << 16
+#: Bytes of a run decompressed at once.
+READ_BYTES = 1 << 16
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BYTE = np.random.default_rng(20240902).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -37,8 +40,13 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return now ^ (now >> np.uint64(32))
 
 
-def anchors(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each text of at least LENGTH bytes: its index, anchor places and their hashes."""
+def anchors(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text of at least LENGTH bytes: its index, anchor places, their hashes, and the
+    starts of the pieces of PIECE bytes that repeat within a periodic stretch of their own.
+
+    Short texts are hashed together, long ones a slice at a time, so memory doesn't grow with
+    a text. Windows that start in a slice see the bytes they need of the next.
+    """
     at = 0
     long = [i for i, t in enumerate(texts) if len(t) >= LENGTH]
     while at < len(long):
@@ -47,23 +55,68 @@ def anchors(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             some.append(long[at])
             size += len(texts[long[at]])
             at += 1
+        if size > SLICE_BYTES:
+            text, found = texts[some[0]], []
+            for s in range(0, len(text) - LENGTH + 1, SLICE_BYTES):
+                data = np.frombuffer(text, np.uint8)[s : s + SLICE_BYTES + LENGTH - 1]
+                place, full = _chosen(data)
+                own, pieces = _thinned(data, np.unique(place), full, 0)
+                found.append((own.astype(np.int64) + s, full[own], pieces.astype(np.int64) + s))
+            places, hashes, pieces = (np.concatenate(x) for x in zip(*found, strict=True))
+            places, first = np.unique(places, return_index=True)
+            yield some[0], places.astype(np.int32), hashes[first], np.unique(pieces).astype(np.int32)
+            continue
         data = np.frombuffer(b"".join(texts[i] for i in some), np.uint8)
-        full = gram_hashes(data)
-        value, place = (full >> np.uint64(32)).astype(np.uint32), np.arange(len(full), dtype=np.int32)
-        window, width = REACH + 1, 1
-        while width * 2 <= window:
-            value, place = _lesser(value, place, width)
-            width *= 2
-        if width < window:
-            value, place = _lesser(value, place, window - width)
+        place, full = _chosen(data)
         start = 0
         for i in some:
             end = start + len(texts[i])
-            own = np.unique(place[start : end - LENGTH + 1])
-            yield i, (own - start).astype(np.int32), full[own]
+            own, pieces = _thinned(data, np.unique(place[start : end - LENGTH + 1]), full, start)
+            yield i, (own - start).astype(np.int32), full[own], pieces
             start = end
 
 
+def _chosen(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor of the LENGTH bytes at each place, and the hash of the k-gram at each place."""
+    full = gram_hashes(data)
+    value, place = (full >> np.uint64(32)).astype(np.uint32), np.arange(len(full), dtype=np.int32)
+    window, width = REACH + 1, 1
+    while width * 2 <= window:
+        value, place = _lesser(value, place, width)
+        width *= 2
+    if width < window:
+        value, place = _lesser(value, place, window - width)
+    return place, full
+
+
+def _thinned(data: np.ndarray, own: np.ndarray, full: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors without those that a periodic stretch makes superfluous, and its pieces.
+
+    Equal k-grams at a distance of d < GRAM bytes make the bytes from the first to the end of
+    the last of them periodic. Anchors that stand deep enough in there see the same bytes on
+    both sides, so one of them is enough for strings elsewhere; within the stretch, every
+    string of LENGTH bytes is found again d bytes on, so all of it is covered.
+    """
+    none = np.empty(0, np.int32)
+    if len(own) < 4:
+        return own, none
+    apart = np.diff(own)
+    same = (apart < GRAM) & (full[own[1:]] == full[own[:-1]])
+    if not same.any():
+        return own, none
+    begins = np.flatnonzero(same & np.concatenate(([True], ~same[:-1] | (apart[1:] != apart[:-1]))))
+    ends = np.flatnonzero(same & np.concatenate((~same[1:] | (apart[1:] != apart[:-1]), [True]))) + 1
+    keep, pieces = np.ones(len(own), bool), []
+    for i, j in zip(begins.tolist(), ends.tolist(), strict=True):
+        d, first, end = int(apart[i]), int(own[i]), int(own[j]) + GRAM
+        a, b = np.searchsorted(own[i : j + 1], (first + REACH, end - LENGTH + 1)) + i
+        if b - a < 2 or not np.array_equal(data[first : end - d], data[first + d : end]):
+            continue
+        keep[a + 1 : b] = False
+        pieces.append(np.append(np.arange(first, end - PIECE, PIECE), end - PIECE) - start)
+    return own[keep], np.concatenate(pieces).astype(np.int32) if pieces else none
+
+
 def _lesser(value: np.ndarray, place: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
     right = value[apart:] < value[:-apart]
     return np.where(right, value[apart:], value[:-apart]), np.where(right, place[apart:], place[:-apart])
@@ -97,32 +150,30 @@ _ENTRY = struct.Struct("<BBBBqiB")  # bytes shared with the run's suffix before,
 
 
 def encode_run(entries: list[tuple[bytes, bytes, int, int, int]]) -> bytes:
-    """A sorted run, front-coded: of each suffix only the bytes that its predecessor lacks."""
+    """A sorted run, front-coded and packed: of each suffix only the bytes that its predecessor lacks."""
     rights, lefts = [e[0] for e in entries], [e[1] for e in entries]
     shared, before = neighbour_prefixes(rights).tolist(), neighbour_prefixes(lefts).tolist()
     parts = []
     for (right, left, text, place, many), a, b in zip(entries, shared, before, strict=True):
         parts += (_ENTRY.pack(a, len(right) - a, b, len(left) - b, text, place, many), right[a:], left[b:])
-    return b"".join(parts)
-
-
-def _pack(run: bytes) -> bytes:
-    return struct.pack("<i", len(run)) + pa.compress(run, codec="zstd", asbytes=True)
-
-
-def _unpack(run: bytes) -> bytes:
-    return pa.decompress(run[4:], struct.unpack("<i", run[:4])[0], codec="zstd", asbytes=True)
+    return pa.compress(b"".join(parts), codec="zstd", asbytes=True)
 
 
 def decode_run(run: bytes) -> Iterator[tuple[int, bytes, tuple[bytes, int, int, int]]]:
-    """Each suffix with the bytes that it shares with the one before, as they were sent."""
-    at, right, left = 0, b"", b""
-    while at < len(run):
-        a, more, b, more_left, text, place, many = _ENTRY.unpack_from(run, at)
+    """Each suffix of a packed run with the bytes that it shares with the one before, as they
+    were sent; the run is decompressed as it is read."""
+    stream = pa.CompressedInputStream(pa.BufferReader(pa.py_buffer(run)), "zstd")
+    held, at, right, left = b"", 0, b"", b""
+    while True:
+        if len(held) - at < _ENTRY.size + LENGTH + REACH:
+            held, at = held[at:] + stream.read(READ_BYTES), 0
+            if not held:
+                return
+        a, more, b, more_left, text, place, many = _ENTRY.unpack_from(held, at)
         at += _ENTRY.size
-        right = right[:a] + run[at : at + more]
+        right = right[:a] + held[at : at + more]
         at += more
-        left = left[:b] + run[at : at + more_left]
+        left = left[:b] + held[at : at + more_left]
         at += more_left
         yield a, right, (left, text, place, many)
 
@@ -222,26 +273,32 @@ def _anchors_met(own: DataFrame, parts: int) -> DataFrame:
     """h, place: anchors whose k-gram another anchor has too.
 
     Anchors that meet within a batch are found at once; for all of them only one row goes to
-    those of other batches, so a k-gram of any number of texts costs a row a batch.
+    those of other batches, so a k-gram of any number of texts costs a row a batch. A place
+    under 0 is no anchor but the complement of where a piece of a periodic stretch starts.
     """
     alone, met, stands = 0, 1, 2
 
     def make():
         def step(batch: pa.RecordBatch) -> dict | None:
             keys = batch.column(0).to_numpy()
-            got = [(np.full(len(p), keys[i]), p, g) for i, p, g in anchors(column(batch, "text"))]
+            got, own = [], []
+            for i, p, g, pieces in anchors(column(batch, "text")):
+                got.append((np.full(len(p), keys[i]), p, g))
+                if len(pieces):
+                    own.append((np.full(len(pieces), keys[i]), ~pieces))
             if not got:
                 return None
             h, place, gram = (np.concatenate(x) for x in zip(*got, strict=True))
+            within, piece = (np.concatenate(x) for x in zip(*own, strict=True)) if own else (h[:0], place[:0])
             gram = gram.view(np.int64)
             each, back, counts = np.unique(gram, return_inverse=True, return_counts=True)
             many = counts[back] > 1
             first = each[counts > 1]
-            kind = np.concatenate((np.where(many, met, alone), np.full(len(first), stands)))
+            kind = np.concatenate((np.where(many, met, alone), np.full(len(first), stands), np.full(len(piece), met)))
             none = np.zeros(len(first), np.int64)
             return {
-                "gram": pa.array(np.concatenate((np.where(many, h, gram), first))), "h": pa.array(np.concatenate((h, none))),
-                "place": pa.array(np.concatenate((place, none.astype(np.int32)))), "kind": pa.array(kind.astype(np.int32)),
+                "gram": pa.array(np.concatenate((np.where(many, h, gram), first, within))), "h": pa.array(np.concatenate((h, none, within))),
+                "place": pa.array(np.concatenate((place, none.astype(np.int32), piece))), "kind": pa.array(kind.astype(np.int32)),
             }
 
         return step
@@ -288,12 +345,13 @@ def _runs(placed: DataFrame, parts: int) -> DataFrame:
     """bucket, run, covers: front-coded sorted runs of suffixes, by the hash of their k-gram.
 
     Equal suffixes with equal text before them, within a run, are covered at once and sent as
-    one, so a passage that many texts share costs a suffix a run.
+    one, so a passage that many texts share costs a suffix a run. A run ends after RUN_SUFFIXES,
+    in the middle of a text too.
     """
     fields = pa.schema([("bucket", pa.int32()), ("run", pa.binary()), ("covers", pa.binary())])
 
-    def write(held: list[list], counted: int) -> Iterator[pa.RecordBatch]:
-        out, covers = [], {}
+    def write(held: list[list], covers: dict[int, list], counted: int) -> Iterator[pa.RecordBatch]:
+        out = []
         for bucket, entries in enumerate(held):
             if not entries:
                 continue
@@ -309,29 +367,33 @@ def _runs(placed: DataFrame, parts: int) -> DataFrame:
                     for _, _, h, place in entries[i:j]:
                         covers.setdefault(h, []).append((place - len(left), place + len(right)))
                 i = j
-            out.append((bucket, _pack(encode_run(kept)), b""))
+            out.append((bucket, encode_run(kept), b""))
             entries.clear()
         rows = [(h, s, e) for h, found in covers.items() for s, e in _merge_intervals(found)]
+        covers.clear()
         for i, s in enumerate(range(0, len(rows), 1 << 14)):
             out.append(((counted + i) % parts, b"", np.array(rows[s : s + (1 << 14)], np.int64).tobytes()))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=fields)
 
     def run(batches):
-        held, count, written = [[] for _ in range(parts)], 0, 0
+        held, covers, count, written = [[] for _ in range(parts)], {}, 0, 0
         for batch in batches:
             for h, text, places in zip(*(column(batch, c) for c in ("h", "text", "places")), strict=True):
                 for place in places:
-                    if place + GRAM > len(text):
-                        continue
-                    right = text[place : place + LENGTH]
-                    left = text[max(0, place - REACH) : place][::-1]
-                    held[xxhash.xxh3_64_intdigest(right[:GRAM]) % parts].append((right, left, h, place))
                     count += 1
-                if count >= RUN_SUFFIXES:
-                    yield from write(held, written)
-                    count, written = 0, written + 1
-        yield from write(held, written)
+                    if (place + GRAM if place >= 0 else ~place + PIECE) > len(text):
+                        continue  # h names another text too
+                    if place < 0:
+                        covers.setdefault(h, []).append((~place, ~place + PIECE))
+                    else:
+                        right = text[place : place + LENGTH]
+                        left = text[max(0, place - REACH) : place][::-1]
+                        held[xxhash.xxh3_64_intdigest(right[:GRAM]) % parts].append((right, left, h, place))
+                    if count >= RUN_SUFFIXES:
+                        yield from write(held, covers, written)
+                        count, written = 0, written + 1
+        yield from write(held, covers, written)
 
     return placed.mapInArrow(released(run), "bucket int, run binary, covers binary")
 
@@ -354,7 +416,7 @@ def _merged(runs: DataFrame, parts: int) -> DataFrame:
                     own.setdefault(bucket, []).append(blob)
         for blobs in own.values():
             shared, rights, found = [], [], []
-            for n, right, rest in merge([decode_run(_unpack(b)) for b in blobs]):
+            for n, right, rest in merge([decode_run(b) for b in blobs]):
                 if n < GRAM and len(rights) >= RUN_SUFFIXES:
                     if got := _spans(shared, rights, found):
                         yield rows(*got)

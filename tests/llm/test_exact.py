@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,53 @@ def test_suffixes(spark, seed, monkeypatch):
     assert found == sorted(brute.repeats(rows), key=repr)
 
 
+def periodic(seed):
+    """Texts with periodic stretches of many lengths, whole, cut and between other bytes."""
+    r = random.Random(seed)
+    units = ["a", "ab", "aab", "".join(r.choice("ab") for _ in range(7)), "".join(r.choice("xyz") for _ in range(59)), "".join(r.choice("xyz") for _ in range(61))]
+    noise = ["".join(r.choice("cdefgh") for _ in range(400)) for _ in range(3)]
+    rows = []
+    for i in range(40):
+        parts = []
+        for _ in range(r.randrange(1, 4)):
+            unit, at = r.choice(units), r.randrange(60)
+            parts.append((unit * 900)[at : at + r.choice([150, 199, 200, 201, 260, 339, 340, 341, 400, 800])])
+            parts.append(r.choice(noise)[: r.choice([0, 1, 50, 150])])
+        rows.append((i, "".join(parts)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_suffixes_of_periodic_texts(spark, seed):
+    rows = periodic(seed)
+    found = got(suffixes.digest(frame(spark, rows).repartition(3)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert found == sorted(brute.repeats(rows), key=repr)
+    alone = rows[:1]
+    assert got(suffixes.digest(frame(spark, alone)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeats(alone)
+
+
+def test_anchors_of_slices_and_of_periodic_texts(monkeypatch):
+    r = random.Random(4)
+    text = "".join(r.choice("abcd") for _ in range(5000)).encode()
+    (_, whole, hashes, _), = suffixes.anchors([text])
+    for t, few in ((b"a" * 3_000_000, 2_000), (b"ab" * 1_500_000, 1_000)):
+        (_, places, _, pieces), = suffixes.anchors([t])
+        assert len(places) < few  # not one a byte
+        reached = np.zeros(len(t), bool)
+        for p in pieces.tolist():
+            reached[p : p + suffixes.PIECE] = True
+        assert reached[: -suffixes.REACH].all()  # what is left is found by the anchors kept
+    monkeypatch.setattr(suffixes, "SLICE_BYTES", 700)
+    (_, places, again, pieces), = suffixes.anchors([text])
+    assert (places == whole).all() and (again == hashes).all() and not len(pieces)
+
+
+def test_suffixes_of_a_long_periodic_text(spark):
+    rows = [(1, "a" * 3_000_000), (2, "xyz" + "a" * 200 + "w"), (3, "q" * 100 + "ab" * 1_000_000), (4, "a" * 199 + "b")]
+    found = got(suffixes.digest(frame(spark, rows).repartition(4)), "doc_id", "n_bytes", "n_removed", "n_spans")
+    assert found == [(1, 3_000_000, 3_000_000, 1), (2, 204, 200, 1), (3, 2_000_100, 2_000_000, 1), (4, 200, 0, 0)]
+
+
 def test_suffix_parts():
     r = random.Random(5)
     lists = [sorted("".join(r.choice("ab\0") for _ in range(r.randrange(0, 12))).encode() for _ in range(r.randrange(0, 30))) for _ in range(5)]
