@@ -71,12 +71,15 @@ def _base(tokens: list[bytes]) -> tuple[int, int | None, int | None, str]:
     """Places of the base phrases: how many, the smallest and largest start, the labels."""
     joined = b"\x00".join(tokens)
     count, starts, labels = 0, [], set()
+    ends = None  # where words end, once for all hits
     for phrase, pattern in _BASE_PATTERN.items():
         if phrase.split()[0].encode() not in joined:
             continue
         for m in pattern.finditer(joined):
+            if ends is None:
+                ends = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0)
             count += 1
-            starts.append(joined.count(b"\x00", 0, m.start()))
+            starts.append(int(np.searchsorted(ends, m.start())))
             labels.add(BASE[phrase])
     return count, min(starts, default=None), max(starts, default=None), ",".join(sorted(labels))
 
