@@ -18,8 +18,8 @@ WINDOW = 10
 #: Test words in one automaton (about 90 MB in a Python worker). More test items make more
 #: automata, one pass each.
 BLOCK_WORDS = 100_000
-#: How the names of items without an id start.
-NAMELESS = "\0"
+#: How the names of items with and without an id start.
+NAMED, NAMELESS = "=", "?"
 
 
 class SuffixAutomaton:
@@ -144,8 +144,8 @@ def blocks_of(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_W
     """Items with their words, in blocks of at most block_words; one block at a time is held.
 
     An item of more words is cut to pieces that overlap by all but one word of a window, so
-    each of its windows is whole in one of them. Items without an id have one of their own
-    that no text can have.
+    each of its windows is whole in one of them. A first character tells items with an
+    id from those without, which are named by their number.
     """
     block, size = [], 0
     rows = items.select(F.col("item_id").cast("string").alias("item_id"), utf8().alias("text"))
@@ -153,7 +153,7 @@ def blocks_of(items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_W
     step = block_words - window + 1
     for k, row in enumerate(rows.toLocalIterator()):
         tokens = words(bytes(row.text))
-        item = f"{NAMELESS}{k}" if row.item_id is None else row.item_id
+        item = f"{NAMELESS}{k}" if row.item_id is None else NAMED + row.item_id
         for at in range(0, max(1, len(tokens) - window + 1) if tokens else 0, step):
             piece = tokens[at : at + block_words]
             if block and size + len(piece) > block_words:
@@ -239,7 +239,7 @@ def digest(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words:
             "n_words": [len(words(t)) for t in texts],
             "n_hit": hits,
             "n_items": [len(x) for x in items],
-            "items_sha256": [hashlib.sha256(",".join(sorted(i for i in x if not i.startswith(NAMELESS))).encode()).hexdigest() for x in items],
+            "items_sha256": [hashlib.sha256(",".join(sorted(i[1:] for i in x if i.startswith(NAMED))).encode("utf-8", "surrogatepass")).hexdigest() for x in items],
             "contaminated": [h > 0 for h in hits],
         }
 

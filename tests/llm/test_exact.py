@@ -108,6 +108,13 @@ def test_suffix_cut_keeps_columns(spark):
     assert suffixes.cut(frame(spark, rows)).columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_decontamination_counts_ids_of_any_characters(spark):
+    rows, items = [(1, "one two three solo")], [("\0a", "one two"), ("?b", "solo"), ("=c", "three"), (None, "two three")]
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    assert got(decontaminate.digest(frame(spark, rows), bench), *columns) == brute.windows(rows, items)
+
+
 def test_decontamination(spark):
     long = "one two three four five six seven eight nine ten eleven twelve"
     items = [(1, long), (2, "short item here"), (3, ""), (4, None), (5, "ONE two"), (6, "solo"), (7, long), (None, "lost words")]
