@@ -28,18 +28,21 @@ BLOCKS = TEXT | {
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Words that name reader comments; what is no article text even inside one; what stands beside it.
-COMMENTS = {"comment", "comments", "commentlist", "reply", "replies", "respond", "disqus"}
+COMMENTS = {"comment", "comments", "commentlist", "commenter", "reply", "replies", "respond", "disqus"}
 INSERTS = COMMENTS | {
     "ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "adsbygoogle", "sponsor", "sponsored", "promo", "promoted",
     "share", "sharing", "social", "newsletter", "signup", "subscribe", "related", "cookie", "cookies", "consent", "popup", "modal", "sidebar",
-    "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pager", "pagination", "form",
+    "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pager", "pagination", "notice", "notices", "alert", "toolbar",
 }
-BESIDE = INSERTS | {"banner", "complementary", "contentinfo", "dialog", "footer", "header", "masthead", "menu", "notice", "notices", "alert", "search", "toolbar", "topbar", "widget"}
+BESIDE = INSERTS | {"banner", "complementary", "contentinfo", "dialog", "discussion", "discussions", "footer", "form", "header", "masthead", "menu", "search", "topbar", "widget"}
+#: What a heading may name that goes with it; others keep their headings.
+HEADED = COMMENTS | {"advert", "advertisement", "cookie", "cookies", "newsletter", "promoted", "related", "sharing", "sponsored", "subscribe"}
 #: Words that may stand with those in a name and change nothing.
 NEUTRAL = {
-    "area", "article", "articles", "bar", "block", "bottom", "box", "buttons", "container", "content", "desktop", "global", "inner", "item", "items", "left", "links", "list",
-    "main", "message", "mobile", "outer", "page", "panel", "policy", "post", "posts", "primary", "reader", "right", "secondary", "section", "site", "slot", "sticky",
-    "thread", "top", "unit", "user", "wrap", "wrapper",
+    "area", "article", "articles", "banner", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "count", "cta", "desktop", "facebook", "fb", "footer", "form",
+    "global", "header", "heading", "icons", "inline", "inner", "item", "items", "leaderboard", "left", "links", "list", "main", "media", "message", "meta", "mobile", "outer", "page", "panel",
+    "policy", "post", "posts", "primary", "reader", "rectangle", "right", "secondary", "section", "site", "skyscraper", "slot", "sticky", "text", "thread", "title", "tools", "top", "unit",
+    "user", "widget", "wrap", "wrapper", "x",
 }
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 #: A quote that no later quote closes at the end of a value is a character like others.
@@ -57,7 +60,7 @@ BROADCAST_BYTES = 32 << 20
 
 def names(value: str, kinds: set[str]) -> bool:
     """Whether a name in a class, id or role value is made of words of kinds, with or without
-    neutral ones: `site-header` and `adSlot1` are, `share-price` is not."""
+    neutral ones: `site-header`, `adSlot1` and `ad-300x250` are, `share-price` is not."""
     for token in value.split():
         found = {w.lower() for w in WORDS.findall(token) if not w.isdigit()}
         if found & kinds and found <= kinds | NEUTRAL:
@@ -69,9 +72,10 @@ def lines(page: str) -> list[tuple[str, int]]:
     """The text blocks of a page in order, with their flags.
 
     Dropped: markup, comments, scripts, styles, and elements that by name, class, id or role
-    are menus, headers, footers, sidebars, notices, adverts, forms or reader comments. Inside
-    an article or main element, `header` and what only its place could tell stay; headings are
-    never dropped by class. An article named as a comment is one. Character references are
+    are menus, headers, footers, sidebars, notices, adverts, forms or reader comments, or are
+    hidden. Inside an article or main element (also by role), `header` and what only its place
+    could tell stay; headings go by class where they head comments or inserts (HEADED). An
+    article named as a comment is one. Character references are
     decoded, white space in a block becomes one space.
     """
     out: list[tuple[str, int]] = []
@@ -134,12 +138,13 @@ def lines(page: str) -> list[tuple[str, int]]:
         inside = name in ("article", "main")
         dropped = name in DROPPED and not (name == "header" and article)
         if not dropped and m[2] and name not in ("html", "body"):
-            kinds = COMMENTS if inside else INSERTS if article else BESIDE
+            kinds = HEADED if re.fullmatch("h[1-6]", name) else COMMENTS if inside else INSERTS if article else BESIDE
             for key, value in ATTRIBUTE.findall(m[2]):
                 key, value = key.lower(), value.strip("\"'")
                 if key in ("class", "id", "role"):
-                    dropped |= not re.fullmatch("h[1-6]", name) and names(value, kinds)
-                elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
+                    dropped |= names(value, kinds)
+                    inside |= key == "role" and value.lower() in ("main", "article")
+                elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     dropped = True
         inside = inside and not dropped
         stack.append((name, dropped, inside))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import fingerprint, html, language, licenses, warc
@@ -49,6 +50,23 @@ def test_html_names_of_elements(spark):
     assert found[4].startswith("card a\ncard b\nthe long main text")
 
 
+INSERTED = [
+    "div class='comment-count'", "div class='fb-comments'", "h2 class='comments-title'", "div class='cookie-banner'", "div class='ad-300x250'", "div class='related-posts-widget'",
+    "div class='newsletter-cta'", "div class='notice'", "div class='post-meta-share-tools'", "p style='visibility:hidden'", "p hidden", "div role='navigation'",
+]
+OWN = ["section id='form'", "section id='discussion'", "div class='share-price'", "h2 class='article-title'", "p class='text'", "div class='post-body'", "div class='comment-on-the-budget'", "p class='x'"]
+
+
+@pytest.mark.parametrize("frame_", ["<article>{}</article>", "<main>{}</main>", "<div role='main'>{}</div>"])
+def test_html_inserts_and_own_elements_of_an_article(frame_):
+    found = html.lines(frame_.format("".join(f"<{tag}>gone {i}</{tag.split()[0]}>" for i, tag in enumerate(INSERTED)) + "".join(f"<{tag}>own {i}</{tag.split()[0]}>" for i, tag in enumerate(OWN))))
+    assert [t for t, _ in found] == [f"own {i}" for i in range(len(OWN))] and all(f & html.INSIDE for _, f in found)
+
+
+def test_html_discussion_beside_an_article():
+    assert [t for t, _ in html.lines("<div class='discussion'>said</div><article><p>own</p></article>")] == ["own"]
+
+
 def test_html_differencing_decides_inside_and_outside_articles(spark):
     def page(i):
         return f"<div>Site name</div><article><h1>Head {i}</h1><div>Print this page</div><p>Same first words</p><ul><li><a href='/x'>Next</a></li></ul><p>text {i}</p></article><div>All rights reserved by the owner of this site</div>"
@@ -107,6 +125,11 @@ def test_shared_lines_is_a_longest_common_subsequence():
         assert all(x in rest for x in kept) and len(kept) == size_of_lcs(a, b)
 
 
+def test_license_places_of_a_long_text():
+    tokens = ["mit", "license", "x"] * 100_000
+    assert licenses._base([w.encode() for w in tokens]) == (100_000, 0, 299_997, "mit")
+
+
 def test_licenses(spark):
     rows = [
         (1, "This work is licensed under the GNU General Public License, version 3."), (2, "x mit license y MIT-License mitlicense"), (3, None), (4, ""), (5, "CC BY-NC 4.0. Licensed under CC BY-NC 4.0."), (5, "cc by"),
