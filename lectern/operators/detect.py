@@ -11,11 +11,17 @@ from lectern.functions.text import excerpt, normalize_name, position, serial
 from lectern.operators.cycles import simple_cycles
 from lectern.operators.graph import importance
 from lectern.operators.paths import late_ancestors
+from lectern.session import Scratch
 
 #: Definitions less alike than this conflict (fixed value).
 SIMILARITY = 0.82
 #: Definitions of a concept that meet in one place.
 PART = 512
+#: Cones that a large concept's definitions are dealt to, at most. Fewer prune less; nothing is
+#: left out.
+CONES = 256
+#: Added to angles before they decide, for rounding.
+ROUNDING = 1e-6
 
 
 def earliest_before(
@@ -112,25 +118,69 @@ def conflict_candidates(definitions: DataFrame, concept: str, lecture: str) -> D
     return counted.where("n_defs >= 2 and n_lectures >= 2")
 
 
-def least_similar(definitions: DataFrame, concept: str, position_: str, lecture: str, vector: str) -> DataFrame:
+def _dot(x, y) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+
+
+def _angle(cosine) -> Column:
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+
+
+def least_similar(definitions: DataFrame, concept: str, position_: str, lecture: str, vector: str, part: int = PART) -> DataFrame:
     """concept, n_pairs, min_sim: the least likeness of definitions from different lectures.
 
-    Vectors are brought to length 1 once, so a pair costs one product. A concept's definitions
-    are dealt to parts of about PART rows, and each pair of parts meets in a place of its own,
-    so a concept of any number of definitions is spread; the least value is taken there before
-    it moves.
+    Positions are distinct within a concept; a definition without a lecture has no pairs.
+    Vectors are brought to length 1 once, so a pair costs one product; one of length 0 is at a
+    right angle to all. Pairs are counted from the sizes of lectures. Up to `part` definitions
+    of a concept meet directly. More are dealt to cones (`_cones`), and a definition only goes
+    to the cones that may hold one less like it than the best pair known.
     """
     wide = F.transform(vector, lambda x: x.cast("double"))
     length = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
     unit = F.when(length == 0, F.transform(wide, lambda x: F.lit(0.0))).otherwise(F.transform(wide, lambda x: x / length))
-    counts = definitions.groupBy(concept).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    rows = definitions.select(concept, F.col(position_).alias("i"), F.col(lecture).alias("l"), unit.alias("x")).join(counts, concept)
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("i"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    a = rows.select(concept, F.col("own").alias("p"), F.col("other").alias("q"), "i", F.col("l").alias("la"), "x")
-    b = rows.select(concept, F.col("other").alias("p"), F.col("own").alias("q"), F.col("i").alias("j"), F.col("l").alias("lb"), F.col("x").alias("y"))
-    pairs = a.join(b, [concept, "p", "q"]).where("i < j and la <> lb")
-    dot = F.aggregate(F.zip_with("x", "y", lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
-    return pairs.groupBy(concept).agg(F.count("*").alias("n_pairs"), F.least(F.lit(1.0), F.min(dot)).alias("min_sim"))
+    rows = definitions.select(F.col(concept).alias("c"), F.col(position_).alias("i"), F.col(lecture).alias("l"), unit.alias("x")).where("l is not null")
+    sizes = rows.groupBy("c", "l").agg(F.count("*").alias("n")).groupBy("c").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    scratch = Scratch(definitions.sparkSession)
+    sizes = scratch.save(sizes.select("c", ((F.col("n") * F.col("n") - F.col("own")) / 2).cast("long").alias("n_pairs"), F.ceil(F.col("n") / part).cast("int").alias("parts")).where("n_pairs > 0"))
+    small = rows.join(sizes.where("parts = 1").select("c"), "c")
+    one = F.array(F.lit(0), F.lit(0))
+    ends = small.select("c", "i", "l", "x", one.alias("own"), one.alias("other"))
+    found = None
+    if not sizes.where("parts > 1").isEmpty():
+        dealt, found = _cones(rows.join(sizes.where("parts > 1").select("c", "parts"), "c"), part, scratch)
+        ends = ends.unionByName(dealt)
+    a = ends.select("c", F.col("own").alias("p"), F.col("other").alias("q"), "i", F.col("l").alias("la"), "x")
+    b = ends.select("c", F.col("other").alias("p"), F.col("own").alias("q"), F.col("i").alias("j"), F.col("l").alias("lb"), F.col("x").alias("y"))
+    pairs = a.join(b, ["c", "p", "q"]).where("i < j and la <> lb")
+    least = pairs.groupBy("c").agg(F.min(_dot("x", "y")).alias("s"))
+    least = least if found is None else least.unionByName(found).groupBy("c").agg(F.min("s").alias("s"))
+    return sizes.join(least, "c", "left").select(F.col("c").alias(concept), "n_pairs", F.least(F.lit(1.0), F.col("s")).alias("min_sim"))
+
+
+def _cones(rows: DataFrame, part: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Definitions of large concepts with their own cell and each cell that they must meet,
+    and the least likeness known by then (c, s).
+
+    Some definitions, one a part and at most CONES a concept, are centres; every definition
+    belongs to the nearest. The angle of two definitions is at most that of the one and a
+    centre, and the half-angle of the centre's cone. If even that can't beat the best pair of a
+    definition and a centre, the cone is passed by. A cone is cut to cells of about `part`
+    rows, so one with most of the rows is spread as well.
+    """
+    place = F.pmod(F.xxhash64("i"), F.least("parts", F.lit(CONES)))
+    centres = rows.groupBy("c", place.alias("k")).agg(F.min_by(F.struct("x", "l"), "i").alias("z")).groupBy("c").agg(F.collect_list("z").alias("centres"))
+    near = rows.join(centres, "c").withColumn("dots", F.transform("centres", lambda z: _dot(F.col("x"), z["x"])))
+    apart = F.array_min(F.zip_with("dots", "centres", lambda d, z: F.when(z["l"] != F.col("l"), d)))
+    near = near.select("c", "i", "l", "x", "dots", (F.array_position("dots", F.array_max("dots")) - 1).cast("int").alias("cone"), apart.alias("apart"))
+    near = scratch.save(near.where("cone >= 0"))
+    best = near.groupBy("c").agg(F.min("apart").alias("s"))
+    cones = near.groupBy("c", "cone").agg(F.max(_angle(F.get("dots", "cone"))).alias("half"), F.ceil(F.count("*") / part).cast("int").alias("cells"))
+    known = cones.groupBy("c").agg(F.collect_list(F.struct("cone", "half", "cells")).alias("cones")).join(best, "c")
+    rows = near.join(known, "c").withColumn("bar", F.coalesce(_angle(F.col("s")), F.lit(0.0)) - ROUNDING)
+    rows = rows.withColumn("own", F.array("cone", F.pmod(F.xxhash64(F.lit(1), "i"), F.element_at(F.filter("cones", lambda z: z["cone"] == F.col("cone")), 1)["cells"]).cast("int")))
+    open_ = F.filter("cones", lambda z: _angle(F.get("dots", z["cone"])) + z["half"] >= F.col("bar"))
+    cells = F.flatten(F.transform(open_, lambda z: F.transform(F.sequence(F.lit(0), z["cells"] - 1), lambda k: F.array(z["cone"], k))))
+    return rows.select("c", "i", "l", "x", "own", F.explode(cells).alias("other")), best
 
 
 def verified_conflicts(candidates: DataFrame, vectors: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

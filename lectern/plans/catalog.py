@@ -92,6 +92,21 @@ def conflict_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.conflict_candidates(c.definitions(spark, sf_dir), "label", "lecture")
 
 
+@query("""WITH d AS (SELECT label, vec_id, vec_id % 10 AS lecture, embedding::DOUBLE[] AS e FROM embeddings),
+m AS (SELECT a.label, min(list_cosine_similarity(a.e, b.e)) AS s FROM d a JOIN d b ON a.label = b.label AND a.vec_id < b.vec_id AND a.lecture <> b.lecture GROUP BY 1)
+SELECT concat('label ', label) AS concept, (SELECT count(*) FROM d WHERE d.label = m.label) AS definition_count, (SELECT count(DISTINCT lecture) FROM d WHERE d.label = m.label) AS lecture_count,
+  round(least(1.0, s), 4) AS semantic_similarity FROM m WHERE s < 0.82""")
+def verified_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as concepts, each vector a definition: conflict candidates, then the verdict."""
+    rows = c.definitions(spark, sf_dir).withColumn("name", F.format_string("label %d", "label"))
+    listed = rows.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("vec_id", "lecture"))).alias("definitions"))
+    nodes = listed.withColumn("spec", F.lit("clean"))
+    places = nodes.select("spec", F.col("name").alias("concept"), F.posexplode("definitions").alias("i", "d"))
+    vectors = places.join(rows.select("vec_id", F.col("embedding").alias("vector")), F.col("d.vec_id") == F.col("vec_id")).select("spec", "concept", "i", "vector")
+    found = detect.verified_conflicts(detect.definition_conflicts(nodes), vectors)
+    return found.select("concept", F.col("definition_count").cast("long").alias("definition_count"), F.col("lecture_count").cast("long").alias("lecture_count"), "semantic_similarity")
+
+
 # Prerequisite edges ------------------------------------------------------------------------
 
 

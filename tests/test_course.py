@@ -1,5 +1,8 @@
 """The mini course, from resolution to detectors; expectations were worked out by hand."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +116,33 @@ def test_verified_conflicts(spark, course):
     assert detect.verified_conflicts(candidates, vectors, threshold=0.7).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.05, 1.0])
+def test_least_similar_by_cones(spark, spread):
+    r = random.Random(7)
+    middles = [[r.gauss(0, 1) for _ in range(6)] for _ in range(4)]
+    rows = [("small", k, k % 2, [1.0, float(k), 0.0, 0.0, 0.0, 0.0]) for k in range(5)] + [("alone", k, 1, [1.0] * 6) for k in range(40)]
+    for k in range(300):
+        rows.append(("large", k, None if k == 7 else r.choice([1, 1, 1, 2, 3]), [0.0] * 6 if k in (20, 21) else [m + r.gauss(0, spread) for m in r.choice(middles)]))
+    rows += [("tight", k, k % 3, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0 + k * spread / 100]) for k in range(120)]
+    df = spark.createDataFrame(rows, "concept string, i int, lecture int, vector array<double>")
+    want = {}
+    for name in ("small", "large", "tight"):
+        own = [(i, l, v) for c, i, l, v in rows if c == name and l is not None]
+        sims = []
+        for a, (_, la, x) in enumerate(own):
+            for _, lb, y in own[a + 1 :]:
+                if la != lb:
+                    size = math.sqrt(sum(u * u for u in x)) * math.sqrt(sum(u * u for u in y))
+                    sims.append(sum(u * v for u, v in zip(x, y)) / size if size else 0.0)
+        want[name] = (len(sims), min(sims))
+    for part in (16, 1000):
+        found = {r.concept: (r.n_pairs, r.min_sim) for r in detect.least_similar(df, "concept", "i", "lecture", "vector", part).collect()}
+        assert found.keys() == want.keys()
+        for name, (n, least) in want.items():
+            assert found[name][0] == n and found[name][1] == pytest.approx(least, abs=1e-12)
+    assert detect.least_similar(df.where("false"), "concept", "i", "lecture", "vector").count() == 0
+
+
 def test_old_and_anchored_rules(spark, course):
     _, nodes, _ = course
     rows = [("clean", l, f, t, u) for l, f, t, u in fx.EDGES]
