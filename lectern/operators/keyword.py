@@ -16,6 +16,10 @@ PHRASE = r"(?<![\p{L}\p{N}_])([A-Z][A-Za-z0-9.+-]*(?:\s+[A-Z][A-Za-z0-9.+-]*){0,
 DEFINITIONS = [
     r"\*\*{t}\*\*", r"^#{2,6}\s*{t}(?![\p{L}\p{N}_])", r"{t}\s*[—–-]\s*це(?![\p{L}\p{N}_])", r"{t}\s*[—–-]\s", r"{t}\s+is\s+", r"{t}\s+means(?![\p{L}\p{N}_])", r"{t}\s*:\s",
 ]
+#: Where two words meet at more than a space, or a text ends so: the first one's end with what
+#: stands after it, and the second one's start; and how many characters of each are a key.
+SEAM = r"([\p{L}\p{N}]{1,8}(?! [\p{L}\p{N}])[^\p{L}\p{N}]+)(?=([\p{L}\p{N}]{1,8})|\z)"
+SEAM_KEY = 3
 #: Terms that may be sent along to sift what is joined with them; more are only joined.
 SIFTED_TERMS = 2_000_000
 #: Terms of one automaton, a few hundred bytes each in a Python worker.
@@ -162,12 +166,42 @@ def defined_strings(vocab: DataFrame):
     return find
 
 
+def _seams(low: Column) -> Column:
+    """The seams of a lower-case text: left, right, and how many letters left begins with."""
+    sides = [F.regexp_extract_all(low, F.lit(SEAM), F.lit(i)) for i in (1, 2)]
+    return F.zip_with(*sides, lambda a, b: F.struct(a.alias("left"), b.alias("right"), F.length(F.regexp_extract(a, r"^[\p{L}\p{N}]+", 0)).alias("n")))
+
+
+def seamed(terms: DataFrame, texts: DataFrame) -> DataFrame:
+    """order, term: terms with a seam and the texts before their source that have one of their
+    seams, as far as SEAM looks.
+
+    A term inside a text has its seams there: its left side ends what stands there, its right
+    side starts it. So words that many texts hold bring no pairs about, if what stands beside
+    them differs. terms: term, low, source; texts: order, lower.
+    """
+    longest = F.array_max(F.transform(_seams(F.col("low")), lambda x: F.struct((F.length(x["left"]) + F.length(x["right"])).alias("size"), x.alias("x"))))["x"]
+    own = terms.withColumn("s", longest).where("s is not null").select("term", "source", "s.*")
+    p = F.least(F.col("n"), F.lit(SEAM_KEY))
+    # What a term ends with may go on in the text, but for its first character.
+    key = F.when(F.col("right") == "", F.substring("left", F.col("n") - p + 1, p + 1)).otherwise(F.concat(F.substring("left", F.col("n") - p + 1, F.length("left")), F.substring("right", 1, SEAM_KEY)))
+    own = saved(own.select("term", "source", F.col("left").alias("tail"), F.col("right").alias("head"), F.col("n").alias("m"), key.alias("key")))
+    seams = texts.select("order", F.explode(F.array_distinct(_seams(F.col("lower")))).alias("s")).select("order", "s.*")
+    seams = seams.select("*", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(SEAM_KEY)))).alias("p")).withColumn("end", F.substring("left", F.col("n") - F.col("p") + 1, F.length("left")))
+    seams = seams.select("order", "left", "right", "n", "p", "end", F.explode(F.sequence(F.lit(0), F.least(F.length("right"), F.lit(SEAM_KEY)))).alias("q"))
+    key = F.when(F.col("q") == 0, F.substring("end", F.lit(1), F.col("p") + 1)).otherwise(F.concat("end", F.substring("right", F.lit(1), F.col("q"))))
+    met = seams.select("order", "left", "right", "n", key.alias("key")).join(F.broadcast(own) if own.count() <= SIFTED_TERMS else own, "key").where("order < source and n >= m")
+    ends = F.startswith(F.substring("left", F.col("n") - F.col("m") + 1, F.length("left")), "tail")
+    return met.where(F.when(F.col("head") == "", ends).otherwise(F.endswith("left", "tail") & F.startswith("right", "head"))).select("order", "term")
+
+
 def detect_all(parts: DataFrame) -> DataFrame:
     """detect_terms over the texts' own vocabulary, without a meeting of each term and each text.
 
     parts: order (a whole number, one text each), text. A term is inside a text where its
     longest run of letters and digits is inside a word; words are taken apart once each, and
-    texts are searched only up to the first one that gave the term. What stands before the end
+    texts are searched only up to the first one that gave the term. Terms of words that meet at
+    more than a space are looked for where such seams are (`seamed`). What stands before the end
     of a definition's shape is joined with the terms.
     """
     from pyspark.sql.functions import pandas_udf
@@ -198,9 +232,13 @@ def detect_all(parts: DataFrame) -> DataFrame:
     inside = saved(inside)
     first = words.groupBy("word").agg(F.min("order").alias("at")).join(inside, "word").groupBy("piece").agg(F.min("at").alias("at"))
     single = plain.where("low = piece").join(first, "piece").select("term", F.least("at", "source").alias("at"))
-    near = plain.where("low <> piece").join(inside, "piece").join(words, "word").where("order < source").groupBy("order").agg(F.collect_set(F.struct("low", "term")).alias("near"))
-    met = near.join(texts, "order").select("order", F.explode(F.filter("near", lambda t: F.contains("lower", t["low"]))).alias("t"))
-    longer = met.select(F.col("t.term").alias("term"), F.col("order").alias("at"))
+    several = plain.where("low <> piece")
+    loose = several.where(~F.col("low").rlike(SEAM))
+    held = inside.join(loose.select("piece").distinct(), "piece", "left_semi").join(words, "word").select("piece", "order").distinct()
+    loose = loose.join(held, "piece").where("order < source").select("order", "term")
+    near = seamed(several, texts).union(loose).groupBy("order").agg(F.collect_set("term").alias("near"))
+    met = near.join(texts, "order").select("order", F.explode(F.filter("near", lambda t: F.contains("lower", F.lower(t)))).alias("term"))
+    longer = met.select("term", F.col("order").alias("at"))
     rest = texts.join(F.broadcast(vocab.where(odd))).where(F.contains("lower", F.col("low"))).select("term", F.col("order").alias("at"))
     appear = single.union(longer).union(rest).union(plain.select("term", F.col("source").alias("at"))).groupBy("term").agg(F.min("at").alias("appear"))
     said = parts.mapInArrow(defined_strings(vocab), "order long, folded string").groupBy("folded").agg(F.min("order").alias("defo"))
