@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,11 @@ PHRASE = r"(?<![\p{L}\p{N}_])([A-Z][A-Za-z0-9.+-]*(?:\s+[A-Z][A-Za-z0-9.+-]*){0,
 DEFINITIONS = [
     r"\*\*{t}\*\*", r"^#{2,6}\s*{t}(?![\p{L}\p{N}_])", r"{t}\s*[—–-]\s*це(?![\p{L}\p{N}_])", r"{t}\s*[—–-]\s", r"{t}\s+is\s+", r"{t}\s+means(?![\p{L}\p{N}_])", r"{t}\s*:\s",
 ]
+#: In folded texts: what stands after a term that is defined, but for white space before it, and
+#: the marks that stand around one or head a line; white space as DuckDB's patterns have it.
+BLANKS = "\t\n\f\r "
+DEFINED = re.compile(rf"[—–-](?=[{BLANKS}]|це(?!\w))|:(?=[{BLANKS}])|(?<=[{BLANKS}])is(?=[{BLANKS}])|(?<=[{BLANKS}])means(?!\w)")
+STARS, HASHES = re.compile(r"\*(?=\*)"), re.compile(r"(?m)^##+")
 #: Where two words meet at more than a space, or a text ends so: the first one's end with what
 #: stands after it, and the second one's start; and how many characters of each are a key.
 SEAM = r"([\p{L}\p{N}]{1,8}(?! [\p{L}\p{N}])[^\p{L}\p{N}]+)(?=([\p{L}\p{N}]{1,8})|\z)"
@@ -50,6 +58,18 @@ def is_defined(text: Column, term: Column) -> Column:
     return F.regexp(text, pattern)
 
 
+def _blocks(vocab: DataFrame) -> Iterator[list[tuple[str, str]]]:
+    """Terms and their lower case, TERMS_AT_ONCE at a time; one empty block if there are none."""
+    block, n = [], 0
+    for row in vocab.select(F.lower("term").alias("low"), "term").where("low <> ''").toLocalIterator():
+        block.append((row.low, row.term))
+        if len(block) == TERMS_AT_ONCE:
+            yield block
+            block, n = [], n + 1
+    if block or not n:
+        yield block
+
+
 def holding(texts: DataFrame, text: str, vocab: DataFrame) -> DataFrame:
     """texts with `held`: the terms whose lower case is inside the (lower-case) text; texts that
     hold none are left out.
@@ -88,28 +108,113 @@ def holding(texts: DataFrame, text: str, vocab: DataFrame) -> DataFrame:
 
         return texts.mapInArrow(run, schema)
 
-    out, block = None, []
-    for row in vocab.select(F.lower("term").alias("low"), "term").where("low <> ''").toLocalIterator():
-        block.append((row.low, row.term))
-        if len(block) == TERMS_AT_ONCE:
-            out, block = scan(block) if out is None else out.unionByName(scan(block)), []
-    if block or out is None:
+    out = None
+    for block in _blocks(vocab):
         out = scan(block) if out is None else out.unionByName(scan(block))
     return out
 
 
+def _folded(text: str) -> str:
+    """text in folded case, a character for each."""
+    low = text.casefold()
+    if len(low) == len(text):
+        return low
+    return "".join(f if len(f := c.casefold()) == 1 else f if len(f := c.lower()) == 1 else c for c in text)
+
+
+def _definition_places(text: str) -> tuple[set[int], set[int], set[int]]:
+    """Of a folded text: where a term that is defined may end, where it ends if `**` stands before
+    it too, and where one starts as a heading."""
+    ends, heads = set(), set()
+    for m in DEFINED.finditer(text):
+        at = m.start()
+        if text[at] not in "im":
+            ends.add(at)
+        while at and text[at - 1] in BLANKS:
+            at -= 1
+            ends.add(at)
+    for m in HASHES.finditer(text):
+        at, n = m.start(), len(m[0])
+        heads |= set(range(at + 2, at + min(n, 6) + 1))
+        at += n
+        while n <= 6 and at < len(text) and text[at] in BLANKS:
+            at += 1
+            heads.add(at)
+    return ends, {m.start() for m in STARS.finditer(text)}, heads
+
+
+def _first_in_tasks(rows: DataFrame, block: list[tuple[str, str]]) -> DataFrame:
+    """term, appear, defo by task, for a block of terms; rows: order, text, lower.
+
+    One pass over each text: an automaton finds the terms in it, and where one ends the shapes of a
+    definition are looked up by their places, so a text is never searched for one term.
+    """
+    kind = rows.schema["order"].dataType.simpleString()
+    shared = rows.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        terms = [t for _, t in shared.value]
+        plain, cased = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for automaton, keys in ((plain, [low for low, _ in shared.value]), (cased, [_folded(t) for t in terms])):
+            by: dict[str, list[int]] = {}
+            for i, key in enumerate(keys):
+                by.setdefault(key, []).append(i)
+            for key, own in by.items():
+                automaton.add_word(key, (len(key), tuple(own)))
+            automaton.make_automaton()
+        appear: dict = {}
+        defo: dict = {}
+        order_kind = None
+        for batch in batches:
+            order_kind = batch.schema.field(0).type
+            for order, text, lower in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                if order is None or not text or not len(plain):
+                    continue
+                held = set()
+                for _, (_, own) in plain.iter(lower):
+                    held.update(own)
+                for i in held:
+                    if i not in appear or order < appear[i]:
+                        appear[i] = order
+                wanted = {i for i in held if i not in defo or order < defo[i]}
+                if not wanted:
+                    continue
+                low = _folded(text)
+                ends, stars, heads = _definition_places(low)
+                if not (ends or stars or heads):
+                    continue
+                for last, (n, own) in cased.iter(low):
+                    e = last + 1
+                    b = e - n
+                    if e in ends or e in stars and b >= 2 and low.startswith("**", b - 2) or b in heads and not (e < len(low) and (low[e].isalnum() or low[e] == "_")):
+                        for i in wanted.intersection(own):
+                            defo[i] = order
+        if order_kind is not None:
+            found = sorted(appear)
+            yield pa.RecordBatch.from_arrays([pa.array([terms[i] for i in found], pa.string()), pa.array([appear[i] for i in found], order_kind), pa.array([defo.get(i) for i in found], order_kind)], names=["term", "appear", "defo"])
+
+    return rows.mapInArrow(run, f"term string, appear {kind}, defo {kind}")
+
+
 def first_places(parts: DataFrame, vocab: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, term, appear, defo: the first order where a term appears, and is defined.
 
-    parts: keys, order, text; vocab: keys, term. Without keys texts are searched for all terms
-    at once (`holding`); with keys, the terms of a course meet its own texts. A text is
-    searched by pattern only for the terms it holds. Terms that appear nowhere are left out.
+    parts: keys, order (a plain value), text; vocab: keys, term. Without keys texts are searched
+    for all terms at once, a pass for every TERMS_AT_ONCE of them, and tasks hand on a row a
+    term; with keys, the terms of a course meet its own texts. A text is searched by pattern
+    only for the terms it holds. Terms that appear nowhere are left out.
     """
     lower = parts.select(*keys, "order", "text", F.lower("text").alias("lower"))
-    if keys:
-        met = lower.join(vocab, list(keys)).where(F.contains("lower", F.lower("term")))
-    else:
-        met = holding(lower, "lower", vocab.distinct()).select("order", "text", F.explode("held").alias("term"))
+    if not keys:
+        found = None
+        for block in _blocks(vocab.distinct()):
+            more = _first_in_tasks(lower, block)
+            found = more if found is None else found.unionByName(more)
+        return found.groupBy("term").agg(F.min("appear").alias("appear"), F.min("defo").alias("defo"))
+    met = lower.join(vocab, list(keys)).where(F.contains("lower", F.lower("term")))
     defined = is_defined(F.col("text"), F.col("term"))
     return met.groupBy(*keys, "term").agg(F.min("order").alias("appear"), F.min(F.when(defined, F.col("order"))).alias("defo"))
 
@@ -127,8 +232,6 @@ def defined_strings(vocab: DataFrame):
     """A function from batches of order and text to order and folded: what a text defines, in
     folded case and up to the longest term. Terms sent along, if few enough, sift it before it
     is joined with them."""
-    import re
-
     longest = vocab.agg(F.coalesce(F.max(F.length("term")), F.lit(0))).first()[0]
     known = None
     if vocab.count() <= SIFTED_TERMS:
